@@ -32,6 +32,21 @@ def op3_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    ruled = quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("score").alias("anomaly_score"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import held_out, identify, training_samples
+
+    docs = read(spark, sf_dir, "documents")
+    found = identify(docs, training_samples(docs.filter(~held_out(F.col("doc_id")))))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "confident")
+
+
 def op6_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rans_files import read_token_files, write_token_files
 
@@ -39,6 +54,18 @@ def op6_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_dedup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm_scoring import score
+
+    return score(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
