@@ -60,6 +60,19 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vp_search import nearest
+
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import without_repeats
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_repeats(docs, length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ppm_scoring import score
 
