@@ -1,6 +1,6 @@
 """Evaluation of classifiers: metrics, calibration, thresholds.
 
-Predictions: id, true, predicted, confidence; probabilities as an array.
+Predictions: id, actual, predicted, confidence; probabilities as an array.
 """
 
 from __future__ import annotations
@@ -10,19 +10,19 @@ from pyspark.sql import functions as F
 
 
 def confusion(predictions: DataFrame) -> DataFrame:
-    return predictions.groupBy("true", "predicted").agg(F.count("*").alias("n"))
+    return predictions.groupBy("actual", "predicted").agg(F.count("*").alias("n"))
 
 
 def confusion_share(predictions: DataFrame) -> DataFrame:
     """Cells over their true class's rows."""
-    total = F.sum("n").over(Window.partitionBy("true"))
+    total = F.sum("n").over(Window.partitionBy("actual"))
     return confusion(predictions).withColumn("share", F.col("n") / F.greatest(total, F.lit(1)))
 
 
 def class_report(predictions: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """label, precision, recall, f1, support over all labels seen on either side, or over a fixed list; 0 where undefined."""
     cells = confusion(predictions)
-    long = cells.select(F.explode(F.array(F.struct(F.col("true").alias("label"), F.lit(1).alias("is_true")), F.struct(F.col("predicted").alias("label"), F.lit(0).alias("is_true")))).alias("x"), "n", (F.col("true") == F.col("predicted")).alias("hit"))
+    long = cells.select(F.explode(F.array(F.struct(F.col("actual").alias("label"), F.lit(1).alias("is_true")), F.struct(F.col("predicted").alias("label"), F.lit(0).alias("is_true")))).alias("x"), "n", (F.col("actual") == F.col("predicted")).alias("hit"))
     sums = long.groupBy("x.label").agg(F.sum(F.when(F.col("hit") & (F.col("x.is_true") == 1), F.col("n")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("x.is_true") == 1, F.col("n")).otherwise(0)).alias("support"), F.sum(F.when(F.col("x.is_true") == 0, F.col("n")).otherwise(0)).alias("named"))
     if labels is not None:
         sums = labels.select("label").join(sums, "label", "left").na.fill(0)
@@ -34,14 +34,14 @@ def class_report(predictions: DataFrame, labels: DataFrame | None = None) -> Dat
 def overall(report: DataFrame, predictions: DataFrame) -> DataFrame:
     weight = lambda c: F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support")), F.lit(0.0)).alias(f"weighted_{c}")
     names = ("precision", "recall", "f1")
-    accuracy = predictions.agg(F.avg((F.col("true") == F.col("predicted")).cast("double")).alias("accuracy"))
+    accuracy = predictions.agg(F.avg((F.col("actual") == F.col("predicted")).cast("double")).alias("accuracy"))
     return report.agg(*(F.avg(c).alias(f"macro_{c}") for c in names), *(weight(c) for c in names)).crossJoin(accuracy)
 
 
 def confused_pairs(predictions: DataFrame, k: int = 10, directed: bool = False) -> DataFrame:
     """The k most frequent confusions."""
-    wrong = confusion(predictions).filter("true <> predicted")
-    pair = [F.col("true").alias("a"), F.col("predicted").alias("b")] if directed else [F.least("true", "predicted").alias("a"), F.greatest("true", "predicted").alias("b")]
+    wrong = confusion(predictions).filter("actual <> predicted")
+    pair = [F.col("actual").alias("a"), F.col("predicted").alias("b")] if directed else [F.least("actual", "predicted").alias("a"), F.greatest("actual", "predicted").alias("b")]
     return wrong.groupBy(*pair).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").limit(k)
 
 
@@ -49,7 +49,7 @@ def calibration_bins(predictions: DataFrame, bins: int = 10) -> DataFrame:
     """bin (lo, hi], n, accuracy and confidence; empty bins stay, a confidence of 0 is in none."""
     spark = predictions.sparkSession
     grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    own = predictions.filter("confidence > 0").groupBy((F.ceil(F.col("confidence") * bins).cast("int") - 1).alias("bin")).agg(F.count("*").alias("n"), F.avg((F.col("true") == F.col("predicted")).cast("double")).alias("accuracy"), F.avg("confidence").alias("confidence"))
+    own = predictions.filter("confidence > 0").groupBy((F.ceil(F.col("confidence") * bins).cast("int") - 1).alias("bin")).agg(F.count("*").alias("n"), F.avg((F.col("actual") == F.col("predicted")).cast("double")).alias("accuracy"), F.avg("confidence").alias("confidence"))
     return grid.join(own, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), "accuracy", "confidence")
 
 
@@ -66,7 +66,7 @@ def threshold_curve(predictions: DataFrame, out_of_domain: DataFrame, steps: int
     """
     spark = predictions.sparkSession
     place = F.floor(F.col("confidence") * steps + 1e-9).cast("int")
-    inside = predictions.select(place.alias("k"), F.lit(1).alias("i"), (F.col("true") == F.col("predicted")).cast("int").alias("c"), F.lit(0).alias("o"))
+    inside = predictions.select(place.alias("k"), F.lit(1).alias("i"), (F.col("actual") == F.col("predicted")).cast("int").alias("c"), F.lit(0).alias("o"))
     outside = out_of_domain.select(place.alias("k"), F.lit(0).alias("i"), F.lit(0).alias("c"), F.lit(1).alias("o"))
     counts = inside.unionByName(outside).groupBy("k").agg(*(F.sum(x).alias(x) for x in "ico"))
     grid = spark.range(steps + 1).select(F.col("id").cast("int").alias("k"))
@@ -123,7 +123,7 @@ def choose_model(models: DataFrame, near: float = 0.005) -> DataFrame:
 
 
 def errors(predictions: DataFrame) -> DataFrame:
-    return predictions.filter("true <> predicted").orderBy(F.desc("confidence"), "id")
+    return predictions.filter("actual <> predicted").orderBy(F.desc("confidence"), "id")
 
 
 def fit_text_classifier(rows: DataFrame, text: str, label: str, strength: float = 1.0):

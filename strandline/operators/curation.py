@@ -53,8 +53,12 @@ def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
     def of(word: Column, n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1))), lambda i: F.substring(word, i, F.lit(n)))
 
-    # a word of up to n characters is its own gram of n, and that of every longer n is the same again
-    each = [F.flatten(F.transform(F.filter(words, lambda w, n=n: F.length(w) >= n) if n > low else words, lambda w, n=n: of(w, n))) for n in range(low, high + 1)]
+    # a word of up to n characters is its own gram of the shortest length, and of no longer one
+    def grams(n: int) -> Column:
+        long = words if n == low else F.filter(words, lambda w: F.length(w) >= n)
+        return F.flatten(F.transform(long, lambda w: of(w, n)))
+
+    each = [grams(n) for n in range(low, high + 1)]
     return F.concat(*each)
 
 

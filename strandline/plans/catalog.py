@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import latent, robust
+from . import classification, curation, generated, latent, robust, statistics, structure
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "latent", "robust"]
+__all__ = ["QUERIES", "SQL", "classification", "curation", "generated", "latent", "robust", "statistics", "structure"]

@@ -59,7 +59,7 @@ def csv_complete(spark: SparkSession, path: str, schema: T.StructType | str, *re
 
 def line_files(spark: SparkSession, path: str) -> DataFrame:
     """label (the file's name), line (from 1) and text; blank and ``#`` lines are skipped. Files are read whole, one row each."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("label"), F.posexplode(F.split("value", r"\r?\n")).alias("k", "text"))
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("label"), F.posexplode(F.split("value", r"\r?\n")).alias("k", "text"))
     return whole.select("label", (F.col("k") + 1).alias("line"), F.trim("text").alias("text")).filter((F.col("text") != "") & ~F.col("text").startswith("#"))
 
 

@@ -13,7 +13,7 @@ def write_json(rows: DataFrame, path: str) -> None:
 def write_csv(rows: DataFrame, path: str, digits: int | None = None, quote_all: bool = False, one_file: bool = False) -> None:
     """``digits`` fixes the decimals of floating columns; a missing value is written as None then."""
     if digits is not None:
-        rows = rows.select(*(F.coalesce(F.format_string(f"%.{digits}f", c), F.lit("None")).alias(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes))
+        rows = rows.select(*(F.when(F.col(c).isNull(), "None").otherwise(F.format_string(f"%.{digits}f", c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes))
     (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).option("quoteAll", quote_all).csv(path)
 
 
