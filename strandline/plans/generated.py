@@ -63,3 +63,25 @@ def synthetic_drift_levels(spark, sf_dir):
 
     rows = G.synthetic_drift(spark, table(spark, sf_dir, "customer").count(), SEVERITIES)
     return level_means(rows, "entropy").select("level", "n", F.round("mean", 9).alias("mean"), F.round("z", 9).alias("z"))
+
+
+@query()
+def contrast_pairs(spark, sf_dir):
+    from ..operators.rewrites import contrast_pairs as run
+
+    return run(programs(spark)).select("program", "kind", "rewritten", "same_shape")
+
+
+@query()
+def injected_bugs(spark, sf_dir):
+    from ..operators.rewrites import injected_bugs as run
+
+    return run(programs(spark))
+
+
+@query()
+def styled_turns(spark, sf_dir):
+    from ..functions.noise import style
+
+    rows = table(spark, sf_dir, "conversations").withColumn("item", F.col("conv_id") * 1000 + F.col("turn"))
+    return rows.select("conv_id", "turn", F.md5(style(F.col("text"), F.col("item"), {"plain": 3, "lower": 2, "typo": 2, "short": 1, "polite": 1, "no_mark": 1})).alias("text_md5"))
