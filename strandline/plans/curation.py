@@ -174,3 +174,20 @@ def corrected_labels(spark, sf_dir):
 @query(f"SELECT doc_id FROM documents ORDER BY {uniform_sql('7', 'doc_id')}, doc_id LIMIT 100")
 def hash_sample(spark, sf_dir):
     return C.hash_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 100, 7)
+
+
+@query()
+def curation_audit(spark, sf_dir):
+    from ..operators.pipelines import curated
+
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text", F.col("lang").alias("label"), F.when(F.col("doc_id") % 4 == 0, "original").otherwise("expansion").alias("source"))
+    return curated(rows, spark.createDataFrame([], "key string, old string, new string"), 100)[1]
+
+
+@query(f"""WITH r AS (SELECT text, CAST(quality AS VARCHAR) AS label, {_KEY} AS key FROM documents JOIN labels USING (doc_id)), t AS (FROM r WHERE trim(coalesce(text, '')) <> '' AND label IS NOT NULL),
+c AS (SELECT key FROM t GROUP BY key HAVING count(DISTINCT label) > 1), a AS (FROM t WHERE key NOT IN (FROM c))
+SELECT 'read' AS "check", count(*) AS n FROM r UNION ALL SELECT 'with_values', count(*) FROM t UNION ALL SELECT 'known_label', count(*) FROM t UNION ALL SELECT 'without_conflicts', count(*) FROM a UNION ALL SELECT 'kept', count(DISTINCT key) FROM a""")
+def cleaning_report(spark, sf_dir):
+    from ..operators.pipelines import cleaned
+
+    return cleaned(labelled(spark, sf_dir).select("text", F.col("quality").cast("string").alias("label")), ["0", "1"])[1]

@@ -173,3 +173,39 @@ def drift_intervals(spark, sf_dir):
 def drift_lead(spark, sf_dir):
     found = [D.detection_level(_intervals(spark, sf_dir, v), way).select(F.lit(v).alias("metric"), "detected") for v, way in (("accuracy", "down"), ("value", "up"))]
     return D.lead(found[0].unionByName(found[1]), "accuracy")
+
+
+@query()
+def separability_table(spark, sf_dir):
+    from ..operators import tables
+
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("dimension"), (F.col("user_id") % 2 == 0).alias("positive"), "value")
+    pairs = halves(spark, sf_dir).select(F.lit("halves").alias("dimension"), "x", "y")
+    return tables.separability(rows, pairs)
+
+
+@query()
+def emergence_table(spark, sf_dir):
+    from ..operators import tables
+
+    return tables.emergence(halves(spark, sf_dir).select(F.col("label").alias("dimension"), "x", "y"))
+
+
+def _metric_scores(spark, sf_dir):
+    rows = brands(spark, sf_dir).withColumnRenamed("p_brand", "model")
+    cells = F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(t).alias("task"), F.col(m).alias("m"), F.col(t).alias("t")) for m in ("price", "size") for t in ("qty", "size") if m != t))
+    return rows.select("model", F.col("price").alias("z"), F.inline(cells))
+
+
+@query()
+def association_table(spark, sf_dir):
+    from ..operators import tables
+
+    return tables.shown(tables.association(_metric_scores(spark, sf_dir)), rho=2, p=3, q=3)
+
+
+@query()
+def best_predictor_table(spark, sf_dir):
+    from ..operators import tables
+
+    return tables.best_predictors(tables.association(_metric_scores(spark, sf_dir)))
