@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts
-from .tokens import ChunkCache, chunks_of
+from .tokens import Cache, chunks_of
 
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -170,28 +170,17 @@ class Encoder:
     def __init__(self, path: str):
         self.v = Vocabulary(path)
         self.transducer = Transducer(self.v)
-        self.pretokens: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.rest = ChunkCache(lambda chunks: [self.chunk(" " + x) for x in chunks])
-        self.first = ChunkCache(lambda chunks: [self.chunk(x) for x in chunks], 50_000)
+        self.pretokens = Cache(self.transduced, 200_000)
+        self.rest = Cache(lambda x: self.chunk(" " + x), 250_000)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.v.special, key=len, reverse=True))) + ")") if self.v.special else None
 
-    def pretoken(self, text: str) -> bytes:
-        packed = self.pretokens.get(text)
-        if packed is None:
-            packed = self.older.get(text)
-            if packed is None:
-                out = array("I", self.transducer.feed(text.encode()))
-                out.extend(self.transducer.finish())
-                packed = out.tobytes()
-            if len(text) <= 64:
-                if len(self.pretokens) >= 200_000:
-                    self.older, self.pretokens = self.pretokens, {}
-                self.pretokens[text] = packed
-        return packed
+    def transduced(self, text: str) -> bytes:
+        out = array("I", self.transducer.feed(text.encode()))
+        out.extend(self.transducer.finish())
+        return out.tobytes()
 
     def plain(self, text: str) -> bytes:
-        return b"".join(map(self.pretoken, PATTERN.findall(text)))
+        return b"".join(map(self.pretokens.__getitem__, PATTERN.findall(text)))
 
     def chunk(self, text: str) -> bytes:
         if self.specials is None or not self.specials.search(text):
@@ -200,11 +189,8 @@ class Encoder:
         return b"".join(array("I", [self.v.special[x]]).tobytes() if k % 2 else self.plain(x) for k, x in enumerate(parts))
 
     def packed(self, group: list[str]) -> list[bytes]:
-        cut = [chunks_of(x) for x in group]
-        self.first.ensure(x[0] for x in cut)
-        self.rest.ensure([y for x in cut for y in x[1:]])
         rest = self.rest.__getitem__
-        return [self.first[x[0]] + b"".join(map(rest, x[1:])) for x in cut]
+        return [self.chunk(x[0]) + b"".join(map(rest, x[1:])) for x in map(chunks_of, group)]
 
 
 class ByteToText:

@@ -117,15 +117,15 @@ def coder(table: bytes) -> Coder:
 
 
 def encode_texts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit, with the end id) of every whole text."""
+    """doc_id and ids (little-endian unsigned 16-bit, which the vocabulary must fit, with the end id) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = text_encoder(path, False), struct.pack("<I", end_id)
+        encoder, end = text_encoder(path, False, "H"), struct.pack("<H", end_id)
         for batch in batches:
             ids = [x + end for x in encoder.packed(texts(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def counted(rows: DataFrame) -> DataFrame:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for ids in batch.column("ids").to_pylist():
-                more = np.bincount(np.frombuffer(ids, "<u4"), minlength=len(total))
+                more = np.bincount(np.frombuffer(ids, "<u2"), minlength=len(total))
                 more[: len(total)] += total
                 total = more
         seen = np.flatnonzero(total)
@@ -167,7 +167,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1, folder: str |
         ids, held, size = [], [], 0
 
         def close() -> pa.RecordBatch:
-            values = [[part], [before], [size], [ids], [[len(x) // 4 for x in held]], [code.encode(np.frombuffer(b"".join(held), "<u4"))]]
+            values = [[part], [before], [size], [ids], [[len(x) // 2 for x in held]], [code.encode(np.frombuffer(b"".join(held), "<u2"))]]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(values, types, strict=True)], ["part", "before", "n_tokens", "doc_ids", "lengths", "payload"])
 
@@ -175,7 +175,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1, folder: str |
             for doc_id, packed in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 ids.append(doc_id)
                 held.append(packed)
-                size += len(packed) // 4
+                size += len(packed) // 2
                 if size >= block_ids:
                     yield close()
                     before += size

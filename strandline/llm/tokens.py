@@ -9,37 +9,33 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from functools import lru_cache
 
+import regex
+
 #: A blank is no safe place to cut if white space stands on both sides of it, or before it at the end.
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 _SAFE = re.compile(r"(?<!\s) | (?=\S)")
 
 
-class ChunkCache(dict):
-    """chunk -> packed ids, in two generations of at most ``cap`` chunks."""
+class Cache(dict):
+    """What ``make`` gives, kept in two generations of at most ``cap`` entries each."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], cap: int = 250_000):
+    def __init__(self, make: Callable[[str], bytes], cap: int):
         super().__init__()
-        self.encode, self.cap, self.old = encode, cap, {}
-
-    def ensure(self, chunks: Iterable[str]) -> None:
-        """Afterwards every one of ``chunks`` is there until the next call."""
-        need = set(chunks).difference(self)
-        if len(self) + len(need) > self.cap:
-            self.old = dict(self)
-            self.clear()
-            need = set(chunks)
-        misses = []
-        for chunk in need:
-            packed = self.old.get(chunk)
-            if packed is None:
-                misses.append(chunk)
-            else:
-                self[chunk] = packed
-        if misses:
-            self.update(zip(misses, self.encode(misses), strict=True))
+        self.make, self.cap, self.old = make, cap, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.cap:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
 
 
 def chunks_of(text: str) -> list[str]:
@@ -60,48 +56,80 @@ def library(path: str):
     return loaded
 
 
-def _by_library(path: str, prefix: str) -> Callable[[list[str]], list[bytes]]:
-    loaded = library(path)
+def byte_letters() -> dict[int, str]:
+    """The printable characters that stand for bytes in these vocabularies."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class PreTokens:
+    """Packed ids of chunks.
+
+    Chunks of plain Latin text are cut here by the vocabulary's pattern, and
+    the library's model merges each pre-token that a bounded cache doesn't
+    hold. Others (combining marks, other scripts, odd blanks, special strings)
+    go through the whole library.
+    """
+
+    plain = re.compile("[!-~\n\r\t¡-įı-ɏ]*")
+
+    def __init__(self, path: str, pattern: str, lower: bool, kind: str, cap: int = 150_000):
+        self.library, self.kind = library(path), kind
+        self.model, self.lower = self.library.model, lower
+        self.cut = regex.compile(pattern).findall
+        self.letters = byte_letters()
+        self.known = Cache(self.merged, cap)
+
+    def merged(self, pretoken: str) -> bytes:
+        name = pretoken.encode().decode("latin-1").translate(self.letters)
+        return array(self.kind, [x.id for x in self.model.tokenize(name)]).tobytes()
 
-    def encode(chunks: list[str]) -> list[bytes]:
-        found = loaded.encode_batch_fast([prefix + x for x in chunks], add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+    def encode(self, chunk: str, prefix: str = "") -> bytes:
+        if self.plain.fullmatch(chunk) and "<|" not in chunk:
+            text = prefix + (chunk.lower() if self.lower else chunk)
+            if chunk.isalpha():  # a pre-token itself, which the chunk's own cache holds
+                return self.merged(text)
+            return b"".join(map(self.known.__getitem__, self.cut(text)))
+        return array(self.kind, self.library.encode(prefix + chunk, add_special_tokens=False).ids).tobytes()
 
-    return encode
+
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+STOPS = (",", ".")
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class TextEncoder:
-    """Packed ids (little-endian unsigned 32-bit) of whole texts, as the library gives them.
+    """Packed ids (little-endian, unsigned, 32 or 16 bits) of whole texts, as the library gives them.
 
     ``blank_joins``: a blank belongs to the token after it (byte-level
-    vocabularies); otherwise white space is dropped.
+    vocabularies); otherwise white space is dropped and case folded.
     """
 
-    def __init__(self, path: str, blank_joins: bool):
+    def __init__(self, path: str, blank_joins: bool, kind: str = "I"):
         self.blank_joins = blank_joins
-        self.rest = ChunkCache(_by_library(path, " " if blank_joins else ""))
-        self.first = ChunkCache(_by_library(path, ""), 50_000) if blank_joins else self.rest
+        if kind == "H" and library(path).get_vocab_size() > 1 << 16:
+            raise ValueError("ids don't fit into 16 bits")
+        pieces = PreTokens(path, BYTE_PATTERN if blank_joins else WORD_PATTERN, not blank_joins, kind)
+        prefix = " " if blank_joins else ""
+
+        def chunk(x: str) -> bytes:
+            # a stop after a word is a pre-token of its own, and most words are known without it
+            if x[-1:] in STOPS and x[:-1].isalpha() and pieces.plain.fullmatch(x):
+                return rest[x[:-1]] + pieces.known[x[-1]]
+            return pieces.encode(x, prefix)
+
+        self.first = pieces.encode
+        self.rest = rest = Cache(chunk, 200_000)
 
     def packed(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            group, size = [], 0
-            while at < len(texts) and size < 2_000_000:
-                group.append(chunks_of(texts[at]) if self.blank_joins else texts[at].split(" "))
-                size += len(texts[at])
-                at += 1
-            self.first.ensure(x[0] for x in group)
-            self.rest.ensure([y for x in group for y in x[self.blank_joins :]])
-            first, rest = self.first.__getitem__, self.rest.__getitem__
-            if self.blank_joins:
-                out += [first(x[0]) + b"".join(map(rest, x[1:])) for x in group]
-            else:
-                out += [b"".join(map(rest, x)) for x in group]
-        return out
+        rest = self.rest.__getitem__
+        if not self.blank_joins:
+            return [b"".join(map(rest, x.split(" "))) for x in texts]
+        return [self.first(x[0]) + b"".join(map(rest, x[1:])) for x in map(chunks_of, texts)]
 
 
 @lru_cache(maxsize=4)
-def text_encoder(path: str, blank_joins: bool) -> TextEncoder:
+def text_encoder(path: str, blank_joins: bool, kind: str = "I") -> TextEncoder:
     """One encoder for each Python worker."""
-    return TextEncoder(path, blank_joins)
+    return TextEncoder(path, blank_joins, kind)
