@@ -8,11 +8,16 @@ which the bytes that the longer one has seen are excluded.
 
 The trie is an array for each order. A byte's cost is found in it for many
 bytes at once: the longest context first, the rest only for those that escape.
+
+A byte's cost follows from it and the ORDER bytes before it. So costs are found
+once for each gram that occurs, in shards: all contexts of two bytes and more
+that a gram needs end in the same two bytes and meet there; the two shortest
+orders go to every shard. Texts then look up frequent grams in a broadcast
+table, and the others are joined: nothing that was counted is left out.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -137,7 +142,10 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame) -> DataFrame:
-    """Counts over whole training texts, summed up in each task: (word, null, n) and (null, gram, n)."""
+    """Counts over whole training texts, summed up in each task: (word, null, n) and (null, gram, n).
+
+    The grams of the held-out fold (``held_out``) come with them, counted as 0.
+    """
 
     def rows(words: Counter, keys: list, counts: list) -> pa.RecordBatch:
         key, count = merged(keys, counts) if keys else (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -150,20 +158,22 @@ def learn(docs: DataFrame) -> DataFrame:
         words: Counter = Counter()
         keys, counts, held = [], [], 0
         for batch in batches:
-            data, starts = bytearray(), []
-            found = texts(batch)
-            for k, text in enumerate(found):
-                own = words_of(text)
-                words.update(own)
-                words[END] += 1
-                starts.append(len(data))
-                data += stream(own)
-                if len(data) > 4_000_000 or k + 1 == len(found):
-                    key, count = np.unique(grams(data)[places(starts, len(data))], return_counts=True)
-                    keys.append(key)
-                    counts.append(count)
-                    held += len(key)
-                    data, starts = bytearray(), []
+            own = list(map(words_of, texts(batch)))
+            for only_seen in (False, True):
+                data, starts = bytearray(), []
+                found = [x for x, y in zip(own, batch.column("held_out").to_pylist(), strict=True) if y == only_seen]
+                for k, x in enumerate(found):
+                    if not only_seen:
+                        words.update(x)
+                        words[END] += 1
+                    starts.append(len(data))
+                    data += stream(x)
+                    if len(data) > 4_000_000 or k + 1 == len(found):
+                        key, count = np.unique(grams(data)[places(starts, len(data))], return_counts=True)
+                        keys.append(key)
+                        counts.append(count * (not only_seen))
+                        held += len(key)
+                        data, starts = bytearray(), []
             if held > 3_000_000:
                 key, count = merged(keys, counts)
                 keys, counts, held = [key], [count], len(key)
@@ -172,7 +182,7 @@ def learn(docs: DataFrame) -> DataFrame:
                 words, keys, counts, held = Counter(), [], [], 0
         yield rows(words, keys, counts)
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, gram long, n long")
+    return docs.select(F.col("text").cast("string"), "held_out").mapInArrow(run, "word binary, gram long, n long")
 
 
 def places(starts: list[int], size: int) -> np.ndarray:
@@ -191,6 +201,66 @@ def stream_costs(trie: Trie, data: bytes | bytearray, starts: list[int]) -> np.n
     return np.add.reduceat(cost, starts)
 
 
+def looked_up(often: np.ndarray, costs: np.ndarray, data: bytes | bytearray, starts: list[int]) -> tuple[np.ndarray, list, list]:
+    """Of each of the joined streams: the costs of its grams that are in ``often`` (sorted), its other grams and how many times it has them."""
+    own = places(starts, len(data))
+    key = grams(data)[own]
+    at = np.minimum(np.searchsorted(often, key), max(len(often) - 1, 0))
+    hit = often[at] == key if len(often) else np.zeros(len(key), bool)
+    cost = np.zeros(len(own))
+    cost[own] = np.where(hit, costs[at], 0.0) if len(often) else 0.0
+    text = np.searchsorted(starts, np.flatnonzero(own)[~hit], "right") - 1
+    order = np.lexsort((key[~hit], text))
+    text, key = text[order], key[~hit][order]
+    first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (key[1:] != key[:-1])]) if len(key) else np.empty(0, np.int64)
+    times = np.diff(np.r_[first, len(key)])
+    edges = np.searchsorted(text[first], np.arange(1, len(starts)))
+    return np.add.reduceat(cost, starts), np.split(key[first], edges), np.split(times, edges)
+
+
+def gram_costs(counted: DataFrame) -> DataFrame:
+    """gram, n, cost of all rows of ``counted`` (gram, n) in the trie of those with an n over 0.
+
+    A shard holds the grams whose context ends in the same two bytes, so 2^24
+    at most.
+    """
+    spark = counted.sparkSession
+    seen, short = counted.filter("n > 0"), []
+    for k in range(2):
+        # 256 and 65,536 keys at most
+        found = seen.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("key")).agg(F.sum("n").alias("n")).toPandas().sort_values("key")
+        short.append((found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)))
+    shared = spark.sparkContext.broadcast(short)
+
+    def costs(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        known, count = key[n > 0], n[n > 0]
+        longer = [merged([known & ((1 << (8 * (k + 1))) - 1)], [count]) for k in range(2, ORDER + 1)]
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(Trie([*shared.value, *longer]).cost(key))], ["gram", "n", "cost"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, held = [], [], 0
+        for batch in batches:
+            keys.append(batch.column("gram").to_numpy())
+            counts.append(batch.column("n").to_numpy())
+            held += len(keys[-1])
+            if held < 500_000:
+                continue
+            # all but the last shard, which may go on
+            key, n = np.concatenate(keys), np.concatenate(counts)
+            shard = key >> 8 & 0xFFFF
+            whole = int(np.searchsorted(shard, shard[-1]))
+            if whole:
+                yield costs(key[:whole], n[:whole])
+            keys, counts = [key[whole:]], [n[whole:]]
+            held = len(key) - whole if whole else 0
+        if keys:
+            yield costs(np.concatenate(keys), np.concatenate(counts))
+
+    shard = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
+    dealt = counted.select("gram", "n", shard.alias("shard")).repartition("shard").sortWithinPartitions("shard")
+    return dealt.select("gram", "n").mapInArrow(run, "gram long, n long, cost double")
+
+
 def at_most(rows: DataFrame, most: int) -> int:
     """The least power of two so that at most ``most`` rows have an n of it or more."""
     steps = rows.groupBy(F.floor(F.log2("n")).alias("power")).count().orderBy(F.desc("power")).collect()
@@ -207,34 +277,32 @@ def score(docs: DataFrame, most_grams: int = 2_000_000, most_words: int = 250_00
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
     Learned from all rows but the held-out fold. Two bounds keep what the
-    workers hold fixed, and neither drops a text: the trie keeps the
-    ``most_grams`` most frequent byte grams of the longest order (of each
-    shorter order at least as many counts), as escapes cover the rest; words
-    beyond the ``most_words`` most frequent are joined instead of broadcast. A
+    workers hold fixed, and neither drops a count: the costs of byte grams
+    beyond the ``most_grams`` most frequent, and words beyond the
+    ``most_words`` most frequent, are joined instead of broadcast. A
     null or empty text is its end alone; repeated rows count and are scored
     again; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    partial = stage(learn(docs.filter(~is_held_out(F.col("doc_id")))), "counts")
+    partial = stage(learn(docs.select("text", is_held_out(F.col("doc_id")).alias("held_out"))), "counts")
     words = stage(partial.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
     often = at_most(words, most_words)
     known = words.filter(F.col("n") >= often).toPandas()
     logs = dict(zip(map(bytes, known["word"]), np.log10(known["n"].to_numpy(float) + 0.1).tolist(), strict=True))
     counted = stage(partial.filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    least, tables = at_most(counted, most_grams), []
-    for k in range(ORDER + 1):
-        shorter = counted.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("key")).agg(F.sum("n").alias("n")) if k < ORDER else counted.withColumnRenamed("gram", "key")
-        found = shorter.filter(F.col("n") >= least).toPandas().sort_values("key")
-        tables.append((found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)))
-    # at most ``most_words`` words and ``most_grams`` grams of each order
-    shared, name = spark.sparkContext.broadcast((logs, tables)), uuid.uuid4().hex
+    costs = stage(gram_costs(counted), "costs")
+    often_gram = at_most(counted.filter("n > 0"), most_grams)
+    found = costs.filter(F.col("n") >= often_gram).select("gram", "cost").toPandas().sort_values("gram")
+    # at most ``most_words`` words and ``most_grams`` grams
+    shared = spark.sparkContext.broadcast((logs, found["gram"].to_numpy(np.int64), found["cost"].to_numpy(float)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, trie = loaded(name, shared)
+        logs, often_grams, often_costs = shared.value
         for batch in batches:
             out: dict[str, list] = {"n_tokens": [], "n_often": [], "sum_often": [], "rare": []}
-            costs, data, starts = [], bytearray(), []
+            scores: dict[str, list] = {"score": [], "grams": [], "times": []}
+            data, starts = bytearray(), []
             found = texts(batch)
             for k, text in enumerate(found):
                 own = words_of(text)
@@ -248,28 +316,19 @@ def score(docs: DataFrame, most_grams: int = 2_000_000, most_words: int = 250_00
                 starts.append(len(data))
                 data += stream(own)
                 if len(data) > 2_000_000 or k + 1 == len(found):
-                    costs.append(stream_costs(trie, data, starts))
+                    for name, x in zip(scores, looked_up(often_grams, often_costs, data, starts), strict=True):
+                        scores[name].extend(x)
                     data, starts = bytearray(), []
-            cost = np.concatenate(costs) if costs else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_often"], pa.int64()), pa.array(out["sum_often"], pa.float64()), pa.array(out["rare"], pa.list_(pa.binary())), pa.array(cost)], ["doc_id", "held_out", "n_tokens", "n_often", "sum_often", "rare", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_often"], pa.int64()), pa.array(out["sum_often"], pa.float64()), pa.array(out["rare"], pa.list_(pa.binary())), pa.array(scores["score"], pa.float64()), pa.array(scores["grams"], pa.list_(pa.int64())), pa.array(scores["times"], pa.list_(pa.int64()))], ["doc_id", "held_out", "n_tokens", "n_often", "sum_often", "rare", "score", "grams", "times"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), is_held_out(F.col("doc_id")).alias("held_out"))
-    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_often long, sum_often double, rare array<binary>, score double")
+    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_often long, sum_often double, rare array<binary>, score double, grams array<long>, times array<long>")
     scored = stage(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.explode("rare").alias("word")).join(words.filter(F.col("n") < often), "word", "left")
     sums = rare.groupBy("row").agg(F.count("n").alias("n_rare"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("sum_rare"))
+    missed = scored.select("row", F.explode(F.arrays_zip("grams", "times")).alias("x")).select("row", F.col("x.grams").alias("gram"), "x.times")
+    rest = missed.join(costs.filter(F.col("n") < often_gram), "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("cost")).alias("rest"))
     n_known = F.col("n_often") + F.coalesce("n_rare", F.lit(0))
     base = F.col("sum_often") + F.coalesce("sum_rare", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(total + 0.1 * (distinct + 1))))
-    return scored.drop("rare").join(sums, "row", "left").select("doc_id", "held_out", "n_tokens", n_known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
-
-
-_LOADED: dict[str, tuple] = {}
-
-
-def loaded(name: str, shared) -> tuple[dict[bytes, float], Trie]:
-    """The words and the trie, built once for each Python worker."""
-    if name not in _LOADED:
-        _LOADED.clear()
-        logs, tables = shared.value
-        _LOADED[name] = logs, Trie(tables)
-    return _LOADED[name]
+    score = F.col("score") + F.coalesce("rest", F.lit(0.0))
+    return scored.drop("rare", "grams", "times").join(sums, "row", "left").join(rest, "row", "left").select("doc_id", "held_out", "n_tokens", n_known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))

@@ -291,3 +291,18 @@ def test_language_model(spark, documents, most_words):
     assert got == sorted(((*x[:4], round(x[4], 6)) for x in base_scores(rows)), key=str)
     assert all(x["score"] < 0 for x in out)
     assert ppm_scoring.score(frame(spark, rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most_grams", [2_000_000, 40, 0])
+def test_language_model_keeps_every_gram(spark, most_grams):
+    """Scores are those of the whole model whatever is broadcast."""
+    pick = random.Random(9)
+    texts = [" ".join(pick.choice(["ab", "abc", "bca", "é", "x", f"r{pick.randint(0, 99)}"]) for _ in range(pick.randint(0, 30))) for _ in range(60)]
+    rows = [*enumerate(texts, 100), *ODD]
+    train = [t or "" for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 10]
+    assert len(train) < len(rows)
+    out = ppm_scoring.score(frame(spark, rows), most_grams=most_grams).collect()
+    got = sorted((str(x["doc_id"]), x["n_tokens"], x["score"]) for x in out)
+    want = sorted((str(i), len(WORD.findall((t or "").translate(LOWER))) + 1, plain_ppm(train, t or "")) for i, t in rows)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=1e-9)
