@@ -306,3 +306,52 @@ def test_language_model_keeps_every_gram(spark, most_grams):
     want = sorted((str(i), len(WORD.findall((t or "").translate(LOWER))) + 1, plain_ppm(train, t or "")) for i, t in rows)
     assert [x[:2] for x in got] == [x[:2] for x in want]
     assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=1e-9)
+
+
+def test_near_duplicate_stage_links_similar_texts(spark, documents):
+    """The stage keeps the least id of each component at a Jaccard similarity of 0.8, or of SimHash links."""
+    import corpus_pipeline
+
+    pick = random.Random(10)
+    vocabulary = [f"w{k}" for k in range(300)]
+    texts = [" ".join(pick.choices(vocabulary, k=pick.randint(3, 120))) for _ in range(40)]
+    for text in texts[:25]:
+        for _ in range(3):
+            words = text.split()
+            for _ in range(pick.randint(1, 3)):
+                words[pick.randrange(len(words))] = pick.choice(vocabulary)
+            texts.append(" ".join(words))
+    common = " ".join(pick.choices(vocabulary, k=30))
+    texts += [f"{common} {' '.join(pick.choices(vocabulary, k=pick.randint(2, 60)))}" for _ in range(40)]
+    rows = [*enumerate(texts, 100), *ODD, *zip(documents["doc_id"].tolist(), documents["text"].tolist(), strict=True)]
+    rows = [*dict(((i, t), None) for i, t in rows if i not in (4, 7, 8, 9)), (None, texts[0])]
+
+    def shingles(text):
+        words = (text or "").translate(LOWER).encode().split()
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()}
+
+    docs = spark.createDataFrame([(i, t, "en", "q", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    root = {i: i for i, _ in rows if i is not None}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    def join(i, j):
+        i, j = sorted((find(i), find(j)))
+        root[j] = i
+
+    for x in simhash_dedup.near_duplicates(docs).collect():
+        if x["doc_id"] is not None:
+            join(x["doc_id"], x["component_id"])
+    before = sum(i == find(i) for i in root)
+    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y) and x:
+                join(i, j)
+    want = {i for i in root if i == find(i)}
+    assert len(want) < before - 10
+    got = [x["doc_id"] for x in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+    assert len(got) == len(want) + sum(i is None for i, _ in rows) and set(got) - {None} == want
