@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -221,6 +222,55 @@ def capped(rows: DataFrame, by: str, most: int, item: str, protected: Column, se
     return rows.withColumn("_k", F.row_number().over(window)).filter((F.col("_k") <= most) | protected).drop("_k")
 
 
+def block_pairs(packed: DataFrame, by: str, item: str, least: float, block: int = 512) -> DataFrame:
+    """a < b of all pairs of a class with a cosine of ``least`` or more, by products of blocks; for long texts, whose prefixes all meet.
+
+    ``packed``: item, by, terms (distinct numbers), weights (of length one).
+    """
+    largest = packed.groupBy(by).count().agg(F.max("count")).head()[0] or 0
+    n = -(-largest // block) or 1
+    kind = packed.schema[item].dataType.simpleString()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(item)
+        sizes = group["terms"].map(len).to_numpy()
+        row = np.repeat(np.arange(len(group)), sizes)
+        _, term = np.unique(np.concatenate(group["terms"].to_list()), return_inverse=True)
+        order = np.argsort(term, kind="stable")
+        row, term, weight = row[order], term[order], np.concatenate(group["weights"].to_list())[order]
+        # a pair within one block is found where the block meets itself
+        own, one = group["_own"].to_numpy(), group["_i"].iloc[0] == group["_j"].iloc[0]
+        cosine = np.zeros((len(group), len(group)))
+        for low in range(0, int(term[-1]) + 1, 4096):
+            x, y = np.searchsorted(term, [low, low + 4096])
+            part = np.zeros((len(group), 4096))
+            part[row[x:y], term[x:y] - low] = weight[x:y]
+            cosine += part @ part.T
+        a, b = np.nonzero(np.triu(cosine >= least - 1e-12, 1) & (one | (own[:, None] != own[None, :])))
+        items = group[item].to_numpy()
+        return pd.DataFrame({"a": items[a], "b": items[b]})
+
+    own = packed.withColumn("_own", F.pmod(F.xxhash64(item), F.lit(n)).cast("int"))
+    dealt = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_i", F.least("_own", "_o")).withColumn("_j", F.greatest("_own", "_o")).drop("_o")
+    return dealt.groupBy(by, "_i", "_j").applyInPandas(run, f"a {kind}, b {kind}")
+
+
+def linked_within(rows: DataFrame, text: str, by: str, item: str, least: float) -> DataFrame:
+    """item, by, component: rows of a class are linked at a cosine of ``least`` or more of character grams, weighed over all rows.
+
+    Texts that only differ in form have the same grams and are compared once.
+    """
+    keyed = rows.select(item, by, T.dedup_key(F.coalesce(text, F.lit("")), False).alias("key"))
+    terms = char_grams(F.col("key"))
+    first = keyed.groupBy(by, "key").agg(F.min(item).alias("first"))
+    weights = tfidf(first.select(F.col("first").alias(item), "key"), item, terms, frequencies(keyed, item, terms))
+    packed = weights.groupBy(item).agg(F.collect_list(F.xxhash64("term")).alias("terms"), F.collect_list("weight").alias("weights"))
+    pairs = block_pairs(packed.join(first.select(F.col("first").alias(item), by), item), by, item, least)
+    found = components(first.select(F.col("first").alias(item)), pairs, item)
+    named = first.join(found.withColumnRenamed(item, "first"), "first").select(F.col(by).alias("_by"), F.col("key").alias("_key"), "component")
+    return keyed.join(named, F.col(by).eqNullSafe(F.col("_by")) & (F.col("key") == F.col("_key"))).select(item, by, "component")
+
+
 def leakage_safe_split(rows: DataFrame, component: str, by: str, item: str, test: float = 0.15, validation: float = 0.15) -> DataFrame:
     """Whole components of a class go to one side: the largest first, to test, then validation while they have room, else train."""
     sizes = rows.groupBy(by, component).agg(F.count("*").alias("n"))

@@ -133,8 +133,8 @@ def cap_per_group(spark, sf_dir):
 
 @query()
 def leakage_safe_split(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.md5("text").alias("component"))
-    return C.leakage_safe_split(rows, "component", "lang", "doc_id").select("doc_id", "split")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return C.leakage_safe_split(C.linked_within(rows, "text", "lang", "doc_id", 0.75), "component", "lang", "doc_id").select("doc_id", "split")
 
 
 @query(f"""WITH k AS (SELECT md5(text) AS key, row_number() OVER (PARTITION BY lang ORDER BY {_ORDER}, doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents),

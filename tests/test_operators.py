@@ -162,6 +162,27 @@ def test_splits(spark):
     assert safe.groupBy("label", "component").agg(F.count_distinct("split").alias("n")).filter("n > 1").count() == 0 and safe.count() == 200
 
 
+def test_split_keeps_similar_texts_together(spark, tmp_path):
+    from strandline.plans.curation import leakage_safe_split
+
+    random = np.random.default_rng(4)
+    words = ["".join(random.choice(list("abcdefghijklmnop"), 6)) for _ in range(400)]
+    texts = [" ".join(random.choice(words, 20)) for _ in range(24)]
+    rows = [(k, x, "en" if k % 2 else "de") for k, x in enumerate(texts)]
+    rows += [(100 + k, f"{x.upper()}!", label) for k, x, label in rows[:6]] + [(200 + k, x.replace(x.split()[3], "qrstuv"), label) for k, x, label in rows]
+    rows += [(300, None, "en"), (301, "", "en")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    split = {x["doc_id"]: x["split"] for x in leakage_safe_split(spark, str(tmp_path)).collect()}
+    assert sorted(split) == sorted(x[0] for x in rows) and len(set(split.values())) == 3
+    assert all(split[k] == split[200 + k] for k in range(24)) and all(split[k] == split[100 + k] for k in range(6))
+    weights = curation.tfidf(frame, "doc_id", curation.words(F.col("text"))).cache()
+    packed = weights.groupBy("doc_id").agg(F.collect_list(F.xxhash64("term")).alias("terms"), F.collect_list("weight").alias("weights")).withColumn("one", F.lit(1))
+    want = {(x["a"], x["b"]) for x in curation.similar_pairs(weights, "doc_id", 0.5).collect()}
+    for block in (512, 7):
+        assert sorted(map(tuple, curation.block_pairs(packed, "one", "doc_id", 0.5, block).collect())) == sorted(want)
+
+
 def test_contract(spark):
     rows = spark.createDataFrame([("Hi", "a"), ("hi!", "a"), ("", "a"), ("x", "made_up")], "text string, label string")
     found = {x["check"] for x in curation.contract_errors(rows, "text", "label", ["a", "b"], 1, 10).collect()}
