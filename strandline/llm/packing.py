@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage, texts
-from .tokens import text_encoder
+from .tokens import ranks_decide, text_encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tail boolean"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tail", pa.bool_())])
@@ -117,8 +117,10 @@ def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0, window
     partition keeps open, ``fan_in`` how many partitions' last sequences meet.
     """
 
+    by_rank = ranks_decide(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = text_encoder(path, True)
+        encoder = text_encoder(path, True, "I", by_rank)
         end = np.array([end_id], dtype="<u4").tobytes()
         packer = Packer(length, windows, TaskContext.get().partitionId() << 32)
         for batch in batches:

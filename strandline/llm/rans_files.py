@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, stage, texts
-from .tokens import text_encoder
+from .tokens import ranks_decide, text_encoder
 
 BITS = 20
 LOW = np.uint64(1 << 31)
@@ -118,9 +118,10 @@ def coder(table: bytes) -> Coder:
 
 def encode_texts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id and ids (little-endian unsigned 16-bit, which the vocabulary must fit, with the end id) of every whole text."""
+    by_rank = ranks_decide(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = text_encoder(path, False, "H"), struct.pack("<H", end_id)
+        encoder, end = text_encoder(path, False, "H", by_rank), struct.pack("<H", end_id)
         for batch in batches:
             ids = [x + end for x in encoder.packed(texts(batch))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])

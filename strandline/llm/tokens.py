@@ -7,12 +7,14 @@ after another. Chunks repeat; a bounded cache keeps what the library gave.
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import regex
+import tiktoken
 
 #: A blank is no safe place to cut if white space stands on both sides of it, or before it at the end.
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
@@ -63,25 +65,83 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: Stands for the end of a word; no byte of UTF-8 has this value.
+END_OF_WORD = b"\xff"
+
+
+def token_bytes(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]], bytes]:
+    """A vocabulary's tokens as bytes with their ids, its merges in their order, and what ends each word."""
+    model = json.loads(library(path).to_str())["model"]
+    suffix = model["end_of_word_suffix"] or ""
+    byte_of = {letter: b for b, letter in byte_letters().items()}
+
+    def plain(token: str) -> bytes:
+        ends = bool(suffix) and token.endswith(suffix)
+        return bytes(byte_of[x] for x in (token.removesuffix(suffix) if ends else token)) + END_OF_WORD * ends
+
+    special = {x.content for x in library(path).get_added_tokens_decoder().values()}
+    merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
+    return {plain(x): k for x, k in model["vocab"].items() if x not in special}, [(plain(a), plain(b)) for a, b in merges], END_OF_WORD if suffix else b""
+
+
+@lru_cache(maxsize=4)
+def ranks_decide(path: str) -> bool:
+    """Whether merging by the ids of what results is merging by the vocabulary's list of merges.
+
+    It is if ids ascend with the merges and the list merges each token's own
+    bytes to that token: then two neighbours that make up a token can only be
+    the pair that the list has for it, as all that was merged within them
+    before is what would have been merged in that token alone.
+    """
+    ids, merges, end = token_bytes(path)
+    rank = {}
+    for a, b in merges:
+        rank.setdefault((a, b), len(rank))
+    made = [ids.get(a + b, -1) for a, b in merges]
+    first = {bytes([x]) for x in range(256)} | ({bytes([x]) + end for x in range(256)} if end else set())
+    if sorted(made) != made or len(set(made)) != len(made) or not first <= ids.keys() or max(ids[x] for x in first) > min(made, default=len(ids)):
+        return False
+    far = len(rank)
+    for a, b in merges:
+        token = a + b
+        parts = [token[k : k + 1] for k in range(len(token))]
+        if end and parts[-1] == end:
+            parts[-2:] = [parts[-2] + end]
+        while len(parts) > 1:
+            best, at = min((rank.get(pair, far), k) for k, pair in enumerate(zip(parts, parts[1:], strict=False)))
+            if best == far:
+                return False
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return True
+
+
 class PreTokens:
     """Packed ids of chunks.
 
     Chunks of plain Latin text are cut here by the vocabulary's pattern, and
-    the library's model merges each pre-token that a bounded cache doesn't
-    hold. Others (combining marks, other scripts, odd blanks, special strings)
+    each pre-token that a bounded cache doesn't hold is merged: by the ids of
+    what results (``by_rank``, where ``ranks_decide`` holds) or by the library's
+    model. Others (combining marks, other scripts, odd blanks, special strings)
     go through the whole library.
     """
 
     plain = re.compile("[!-~\n\r\t¡-įı-ɏ]*")
 
-    def __init__(self, path: str, pattern: str, lower: bool, kind: str, cap: int = 150_000):
+    def __init__(self, path: str, pattern: str, lower: bool, kind: str, by_rank: bool, cap: int = 150_000):
         self.library, self.kind = library(path), kind
         self.model, self.lower = self.library.model, lower
         self.cut = regex.compile(pattern).findall
         self.letters = byte_letters()
+        if by_rank:
+            ids, _, self.end = token_bytes(path)
+            self.one = tiktoken.Encoding("by rank", pat_str=pattern, mergeable_ranks=ids, special_tokens={})._core_bpe.encode_single_piece
+        self.merged = self.by_rank if by_rank else self.by_list
         self.known = Cache(self.merged, cap)
 
-    def merged(self, pretoken: str) -> bytes:
+    def by_rank(self, pretoken: str) -> bytes:
+        return array(self.kind, self.one(pretoken.encode() + self.end)).tobytes()
+
+    def by_list(self, pretoken: str) -> bytes:
         name = pretoken.encode().decode("latin-1").translate(self.letters)
         return array(self.kind, [x.id for x in self.model.tokenize(name)]).tobytes()
 
@@ -95,8 +155,22 @@ class PreTokens:
 
 
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same cuts where no two blanks stand together; it needs no looking ahead.
+SINGLE_BLANKS = BYTE_PATTERN.replace(r"|\s+(?!\S)", "")
 STOPS = (",", ".")
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN_TEXT = re.compile("[ -~\n\r\t¡-įı-ɏ‐-‧]*")
+_TWO_BLANKS = re.compile(r"\s\s")
+_BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
+
+
+def parts_of(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """A text cut before blanks between two words, about every ``size`` characters."""
+    at = 0
+    while len(text) - at > size and (cut := _BETWEEN_WORDS.search(text, at + size)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
 
 
 class TextEncoder:
@@ -104,13 +178,15 @@ class TextEncoder:
 
     ``blank_joins``: a blank belongs to the token after it (byte-level
     vocabularies); otherwise white space is dropped and case folded.
+    ``by_rank``: what ``ranks_decide`` says of the vocabulary. Then plain texts
+    of byte-level vocabularies are cut and merged in one call, without caches.
     """
 
-    def __init__(self, path: str, blank_joins: bool, kind: str = "I"):
-        self.blank_joins = blank_joins
+    def __init__(self, path: str, blank_joins: bool, kind: str = "I", by_rank: bool = False):
+        self.blank_joins, self.kind = blank_joins, kind
         if kind == "H" and library(path).get_vocab_size() > 1 << 16:
             raise ValueError("ids don't fit into 16 bits")
-        pieces = PreTokens(path, BYTE_PATTERN if blank_joins else WORD_PATTERN, not blank_joins, kind)
+        pieces = PreTokens(path, BYTE_PATTERN if blank_joins else WORD_PATTERN, not blank_joins, kind, by_rank)
         prefix = " " if blank_joins else ""
 
         def chunk(x: str) -> bytes:
@@ -121,15 +197,26 @@ class TextEncoder:
 
         self.first = pieces.encode
         self.rest = rest = Cache(chunk, 200_000)
+        self.whole = None
+        if by_rank and blank_joins:
+            ids = token_bytes(path)[0]
+            self.whole, self.single = (tiktoken.Encoding("whole", pat_str=x, mergeable_ranks=ids, special_tokens={})._core_bpe.encode_ordinary for x in (BYTE_PATTERN, SINGLE_BLANKS))
+
+    def joined(self, text: str) -> bytes:
+        """Ids of a text for a vocabulary in which a blank belongs to what follows it."""
+        if self.whole and _PLAIN_TEXT.fullmatch(text) and "<|" not in text:
+            return array(self.kind, (self.whole if _TWO_BLANKS.search(text) else self.single)(text)).tobytes()
+        chunks = chunks_of(text)
+        return self.first(chunks[0]) + b"".join(map(self.rest.__getitem__, chunks[1:]))
 
     def packed(self, texts: list[str]) -> list[bytes]:
+        if self.blank_joins:
+            return [b"".join(map(self.joined, parts_of(x))) for x in texts]
         rest = self.rest.__getitem__
-        if not self.blank_joins:
-            return [b"".join(map(rest, x.split(" "))) for x in texts]
-        return [self.first(x[0]) + b"".join(map(rest, x[1:])) for x in map(chunks_of, texts)]
+        return [b"".join(map(rest, x.split(" "))) for x in texts]
 
 
 @lru_cache(maxsize=4)
-def text_encoder(path: str, blank_joins: bool, kind: str = "I") -> TextEncoder:
+def text_encoder(path: str, blank_joins: bool, kind: str = "I", by_rank: bool = False) -> TextEncoder:
     """One encoder for each Python worker."""
-    return TextEncoder(path, blank_joins, kind)
+    return TextEncoder(path, blank_joins, kind, by_rank)

@@ -26,14 +26,30 @@ def packed(path, texts, kind="I"):
     return [array(kind, x.ids).tobytes() for x in tokens.library(path).encode_batch(texts, add_special_tokens=False)]
 
 
+PLAIN = [" ", " ", "  ", "\n", " \r\n", "the", "The", "ation", "ción", "übe", "'s", "'LL", "1", "23", "²", "é", "—", "’", "“", ".", ",", "!!", "ª", "aaaa", "###"]
+
+
+@pytest.mark.parametrize("by_rank", [False, True])
 @pytest.mark.parametrize(("path", "joins", "kind"), [(BYTE, True, "I"), (WORD, False, "H")])
-def test_encoder_equals_library(path, joins, kind):
-    texts = mixed(4000)
-    encoder = tokens.TextEncoder(path, joins, kind)
+def test_encoder_equals_library(path, joins, kind, by_rank):
+    pick = random.Random(6)
+    texts = mixed(4000) + ["".join(pick.choice(PLAIN) for _ in range(pick.randint(0, 20))) for _ in range(6000)] + ["".join(pick.choice("etaoinshrdlu") for _ in range(700))]
+    encoder = tokens.TextEncoder(path, joins, kind, by_rank)
     encoder.rest.cap = 300  # generations change
     assert encoder.packed(texts) == packed(path, texts, kind)
 
 
+def test_ranks_decide():
+    assert tokens.ranks_decide(BYTE) and tokens.ranks_decide(WORD)
+
+
+def test_parts_of_long_texts_join():
+    for text in mixed(500, 8, 200) + ["word " * 400, "x" * 900, " " * 900, ""]:
+        parts = list(tokens.parts_of(text, 50))
+        assert "".join(parts) == text
+        assert b"".join(packed(BYTE, parts)) == packed(BYTE, [text])[0]
+
+
 def test_token_counts_equal_library():
     texts = mixed(4000, 2)
     counter = token_counts.Counter(PIECE, cap=500)
