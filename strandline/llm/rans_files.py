@@ -47,7 +47,7 @@ def quantized(counts: np.ndarray) -> np.ndarray:
 
 
 class Coder:
-    def __init__(self, freq: np.ndarray, lanes: int = 512, every: int = 256):
+    def __init__(self, freq: np.ndarray, lanes: int = 512, every: int = 128):
         self.lanes, self.every = lanes, every
         self.freq = freq.astype(np.uint64)
         self.start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64) if len(freq) else self.freq
@@ -81,20 +81,49 @@ class Coder:
     def parts(self, block: bytes) -> int:
         return _HEAD.unpack_from(block)[4]
 
-    def decode(self, block: bytes, part: int | None = None) -> np.ndarray:
-        """All ids of a block, or those from one checkpoint to the next."""
+    def opened(self, block: bytes) -> tuple[int, int, int, int, memoryview, np.ndarray]:
+        """ids, lanes, steps between checkpoints, checkpoints, the checkpoints' bytes and the words, all verified."""
         magic, n, lanes, every, marks, words, crc = _HEAD.unpack_from(block)
         body = memoryview(block)[_HEAD.size :]
-        size = 4 + 8 * lanes
-        if magic != MAGIC or len(body) != marks * size + 4 * words or zlib.crc32(body) != crc:
+        size = marks * (4 + 8 * lanes)
+        if magic != MAGIC or len(body) != size + 4 * words or zlib.crc32(body) != crc:
             raise ValueError("damaged block")
-        stream = np.frombuffer(body, "<u4", words, marks * size).astype(np.uint64)
-        steps = -(-n // lanes)
-        first, last = (0, steps) if part is None else (part * every, min(steps, (part + 1) * every))
-        if first >= last:
-            return np.empty(0, np.uint32)
-        (at,) = struct.unpack_from("<I", body, first // every * size)
-        state = np.frombuffer(body, "<u8", lanes, first // every * size + 4).astype(np.uint64)
+        return n, lanes, every, marks, body, np.frombuffer(body, "<u4", words, size).astype(np.uint64)
+
+    def decode(self, block: bytes, part: int | None = None) -> np.ndarray:
+        """All ids of a block, or those from one checkpoint to the next. Parts of one length are decoded side by side."""
+        n, lanes, every, marks, body, stream = self.opened(block)
+        if part is not None:
+            return self.steps(n, lanes, every, body, stream, part)
+        whole = n // (lanes * every)
+        found = [self.together(lanes, every, body, stream, whole)] if whole else []
+        return np.concatenate([*found, *(self.steps(n, lanes, every, body, stream, k) for k in range(whole, marks)), np.empty(0, np.uint32)])
+
+    def checkpoint(self, lanes: int, body: memoryview, part: int) -> tuple[int, np.ndarray]:
+        at = part * (4 + 8 * lanes)
+        return struct.unpack_from("<I", body, at)[0], np.frombuffer(body, "<u8", lanes, at + 4).astype(np.uint64)
+
+    def together(self, lanes: int, every: int, body: memoryview, stream: np.ndarray, parts: int) -> np.ndarray:
+        """The ids of the first ``parts`` parts, which are whole, a row of states for each."""
+        marks = [self.checkpoint(lanes, body, k) for k in range(parts)]
+        at, state = np.array([x[0] for x in marks], np.int64), np.stack([x[1] for x in marks])
+        mask, out = np.uint64((1 << BITS) - 1), np.empty((parts, every, lanes), np.uint32)
+        for step in range(every):
+            slot = state & mask
+            ids = self.symbol[slot]
+            out[:, step] = ids
+            state = self.freq[ids] * (state >> np.uint64(BITS)) + slot - self.start[ids]
+            low = state < LOW
+            row, column = np.nonzero(low)
+            used = np.count_nonzero(low, axis=1)
+            first = np.cumsum(used) - used
+            state[row, column] = (state[row, column] << np.uint64(32)) | stream[np.arange(len(row)) + (at - first)[row]]
+            at += used
+        return out.ravel()
+
+    def steps(self, n: int, lanes: int, every: int, body: memoryview, stream: np.ndarray, part: int) -> np.ndarray:
+        first, last = part * every, min(-(-n // lanes), (part + 1) * every)
+        at, state = self.checkpoint(lanes, body, part)
         mask, out = np.uint64((1 << BITS) - 1), np.empty(min(n, last * lanes) - first * lanes, np.uint32)
         for step in range(first, last):
             width = min(lanes, n - step * lanes)
@@ -145,7 +174,7 @@ def counted(rows: DataFrame) -> DataFrame:
     return rows.select("ids").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
 
 
-def write_token_files(docs: DataFrame, path: str, end_id: int = 1, folder: str | None = None, block_ids: int = 1 << 18) -> str:
+def write_token_files(docs: DataFrame, path: str, end_id: int = 1, folder: str | None = None, block_ids: int = 1 << 19) -> str:
     """Encode all ``docs`` (doc_id, text), write a token file set, return its folder.
 
     A null or empty text is the end id alone. Rows are in ascending doc_id
