@@ -65,8 +65,9 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-#: Stands for the end of a word; no byte of UTF-8 has this value.
-END_OF_WORD = b"\xff"
+#: Stands for the end of a word in vocabularies that drop white space; their own token for that byte takes a value that UTF-8 never has.
+END_OF_WORD = b" "
+_FREED = bytes.maketrans(b" \xff", b"\xff ")
 
 
 def token_bytes(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]], bytes]:
@@ -77,7 +78,8 @@ def token_bytes(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]],
 
     def plain(token: str) -> bytes:
         ends = bool(suffix) and token.endswith(suffix)
-        return bytes(byte_of[x] for x in (token.removesuffix(suffix) if ends else token)) + END_OF_WORD * ends
+        found = bytes(byte_of[x] for x in (token.removesuffix(suffix) if ends else token))
+        return found.translate(_FREED) + END_OF_WORD * ends if suffix else found
 
     special = {x.content for x in library(path).get_added_tokens_decoder().values()}
     merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
@@ -160,6 +162,9 @@ SINGLE_BLANKS = BYTE_PATTERN.replace(r"|\s+(?!\S)", "")
 STOPS = (",", ".")
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN_TEXT = re.compile("[ -~\n\r\t¡-įı-ɏ‐-‧]*")
+_SIGNS, _NUMBERS = (re.escape("".join(regex.findall(x, "".join(map(chr, [*range(33, 127), *range(161, 592)]))))) for x in (r"[^\p{L}\p{N}]", r"\p{N}"))
+#: What white space doesn't part from the pre-tokens of WORD_PATTERN beside it in a plain text.
+_INNER = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[{_SIGNS}‐-‧]+")
 _TWO_BLANKS = re.compile(r"\s\s")
 _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 
@@ -179,7 +184,7 @@ class TextEncoder:
     ``blank_joins``: a blank belongs to the token after it (byte-level
     vocabularies); otherwise white space is dropped and case folded.
     ``by_rank``: what ``ranks_decide`` says of the vocabulary. Then plain texts
-    of byte-level vocabularies are cut and merged in one call, without caches.
+    are cut and merged in one call, without caches.
     """
 
     def __init__(self, path: str, blank_joins: bool, kind: str = "I", by_rank: bool = False):
@@ -201,6 +206,8 @@ class TextEncoder:
         if by_rank and blank_joins:
             ids = token_bytes(path)[0]
             self.whole, self.single = (tiktoken.Encoding("whole", pat_str=x, mergeable_ranks=ids, special_tokens={})._core_bpe.encode_ordinary for x in (BYTE_PATTERN, SINGLE_BLANKS))
+        elif by_rank:
+            self.whole = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=token_bytes(path)[0], special_tokens={})._core_bpe.encode_ordinary
 
     def joined(self, text: str) -> bytes:
         """Ids of a text for a vocabulary in which a blank belongs to what follows it."""
@@ -209,11 +216,15 @@ class TextEncoder:
         chunks = chunks_of(text)
         return self.first(chunks[0]) + b"".join(map(self.rest.__getitem__, chunks[1:]))
 
+    def apart(self, text: str) -> bytes:
+        """Ids of a text for a vocabulary that drops white space."""
+        if self.whole and _PLAIN_TEXT.fullmatch(text) and "<|" not in text:
+            spaced = _INNER.sub(r" \g<0> ", text.lower().replace("\n", " ").replace("\r", " ").replace("\t", " ")) + " "
+            return array(self.kind, self.whole(spaced)).tobytes()
+        return b"".join(map(self.rest.__getitem__, text.split(" ")))
+
     def packed(self, texts: list[str]) -> list[bytes]:
-        if self.blank_joins:
-            return [b"".join(map(self.joined, parts_of(x))) for x in texts]
-        rest = self.rest.__getitem__
-        return [b"".join(map(rest, x.split(" "))) for x in texts]
+        return [b"".join(map(self.joined if self.blank_joins else self.apart, parts_of(x))) for x in texts]
 
 
 @lru_cache(maxsize=4)
