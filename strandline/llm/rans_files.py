@@ -213,8 +213,10 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1, folder: str |
         if held:
             yield close()
 
-    ordered = rows.select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    blocks = ordered.mapInArrow(run, "part long, before long, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary")
+    # rows of one id may go to several parts
+    named = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "ids")
+    ordered = named.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
+    blocks = ordered.select("doc_id", "ids").mapInArrow(run, "part long, before long, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary")
     blocks.write.option("compression", "none").parquet(f"{folder}/blocks")
     return folder
 
