@@ -39,7 +39,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.staged_at = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more: what was made of them is staged itself."""
+    for x in tables:
+        jvm, conf = x.sparkSession._jvm, x.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(x.staged_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:

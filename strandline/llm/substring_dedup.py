@@ -11,12 +11,13 @@ goes, each different text once, into shards of bounded size, whose repeated
 windows come from interval expansion on a Burrows-Wheeler transform. A gram
 with too many different texts is split by where in the window it stands: the
 halves are filed under longer strings, again and again if need be, until the
-string is the window itself.
+string is the window itself. In a shard, texts that share no longer string
+around their gram with another go before the expansion.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import release, stage
 from .interval_expansion import repeated_windows
 
 GRAM = 32
@@ -143,16 +144,22 @@ _NAMES = [x.split()[0] for x in REGION.split(", ")]
 
 
 def cut_out(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Regions of the texts: ``wanted`` has an array of structs for each row identity."""
+    """Regions of the texts: ``wanted`` has an array of structs for each row identity.
+
+    The join sorts by it, so of equal rows only the first in a task is cut.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
-                data = text.encode()
+            for *own, text, asked in zip(*(batch.column(x).to_pylist() for x in ("r1", "r2", "text", "asked")), strict=True):
+                if own == last:
+                    continue
+                last, data = own, text.encode()
                 out = [(x["key"], x["s1"], x["s2"], x["m"], x["anchor"] - x["lo"], data[x["lo"] : x["hi"] + length], x["key"], x["s1"], x["s2"], 0) for x in asked]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == 5 else pa.int64()) for k, x in enumerate(zip(*out, strict=True))], _NAMES)
 
-    return rows.join(wanted, ["r1", "r2"]).select("text", "asked").mapInArrow(run, REGION)
+    return rows.join(wanted, ["r1", "r2"]).select("r1", "r2", "text", "asked").mapInArrow(run, REGION)
 
 
 def halves(regions: DataFrame, size: int, length: int) -> DataFrame:
@@ -190,10 +197,30 @@ def ranges(regions: DataFrame, length: int) -> DataFrame:
     return regions.select("o_key", "o_s1", "o_s2", F.col("base").alias("first"), (F.col("base") + F.octet_length("text") - length).alias("last"))
 
 
+def may_repeat(regions: Iterable[tuple[int, int, bytes]], length: int, cells: int = 4) -> np.ndarray:
+    """Which regions (key, before, text) have a window that may be another's, too.
+
+    Windows are told apart by where the anchor stands in them, in ``cells``
+    ranges. All windows of a range share a string; a region none of whose
+    strings is under its key a second time repeats nothing.
+    """
+    size = -(-(length - GRAM + 1) // cells)
+    digest, first, repeats = xxhash.xxh3_64_intdigest, {}, []
+    for k, (key, before, text) in enumerate(regions):
+        repeats.append(False)
+        for cell in range(max(0, before - len(text) + length) // size, before // size + 1):
+            core = text[max(0, before - cell * size) : before - (cell + 1) * size + 1 + length]
+            j = first.setdefault((key, digest(core, seed=cell)), k)
+            if j != k:
+                repeats[j] = repeats[k] = True
+    return np.array(repeats, bool)
+
+
 def expanded(regions: DataFrame, shards: int, length: int) -> DataFrame:
     """The repeated windows of regions, shard by shard. A shard gets all regions of its keys."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.filter(pa.array(may_repeat(zip(*(table.column(x).to_pylist() for x in ("key", "before", "text")), strict=True), length)))
         texts = table.column("text").to_pylist()
         out = []
         origin = list(zip(*(table.column(x).to_pylist() for x in ("m", "o_key", "o_s1", "o_s2", "base")), strict=True))
@@ -209,9 +236,14 @@ def expanded(regions: DataFrame, shards: int, length: int) -> DataFrame:
 
 
 def repeated_ranges(rows: DataFrame, length: int, shard_bytes: int, group_bytes: int) -> DataFrame:
-    """r1, r2, begin, end of all byte ranges of ``rows`` (r1, r2, text) that repeated windows cover; they may overlap."""
+    """r1, r2, cut (structs of begin and end) of all byte ranges of ``rows`` (r1, r2, text) that repeated windows cover; they may overlap.
+
+    Keys that repeat are staged before they are joined. So both sides of such
+    a join are plain exchanges, and Spark splits a key that has many rows.
+    """
     found = stage(found_items(rows, length), "items")
-    met = found.join(groups(found, F.lit(1)), "key")
+    repeated = stage(groups(found, F.lit(1)), "groups")
+    met = found.join(repeated, "key")
     span = [F.col("lo").alias("begin"), (F.col("hi") + length).alias("end")]
     result = met.filter("alike").select("r1", "r2", *span)
 
@@ -220,61 +252,86 @@ def repeated_ranges(rows: DataFrame, length: int, shard_bytes: int, group_bytes:
     texts = mixed.groupBy("key", "s1", "s2").agg(F.count("*").alias("m"), F.min(F.struct("r1", "r2", "lo", "hi", "anchor")).alias("at"))
     asked = texts.groupBy("at.r1", "at.r2").agg(F.collect_list(F.struct("key", "s1", "s2", "m", "at.lo", "at.hi", "at.anchor")).alias("asked"))
     now = stage(cut_out(rows, asked, length), "regions")
+    own = [found, repeated, mixed, now]
     repeats = now.filter("m > 1").transform(ranges, length)
     size = 1 << (length - GRAM).bit_length()
     while True:
         sizes = now.groupBy("key").agg(F.sum(F.octet_length("text")).alias("bytes"))
         total, hot = sizes.agg(F.coalesce(F.sum(F.when(F.col("bytes") <= group_bytes, F.col("bytes"))), F.lit(0)), F.count_if(F.col("bytes") > group_bytes)).head()
+        small = now
         if hot:
-            small = now.join(sizes.filter(F.col("bytes") <= group_bytes).select("key"), "key", "left_semi")
-        else:
-            small = now
+            large = stage(sizes.filter(F.col("bytes") > group_bytes).select("key"), "hot")
+            own.append(large)
+            small = now.join(large, "key", "left_anti")
         if total:
             repeats = repeats.unionByName(expanded(small, -(-total // shard_bytes), length))
         if not hot:
             break
         size = max(1, size // 2)
-        parts = stage(halves(now.join(sizes.filter(F.col("bytes") > group_bytes).select("key"), "key", "left_semi"), size, length), "parts")
-        met = parts.join(groups(parts, F.col("m")), "key")
+        parts = stage(halves(now.join(large, "key", "left_semi"), size, length), "parts")
+        repeated = stage(groups(parts, F.col("m")), "groups")
+        met = parts.join(repeated, "key")
         repeats = repeats.unionByName(met.filter("alike").transform(ranges, length))
         mixed_parts = met.filter("not alike").drop("alike")
         once = mixed_parts.groupBy("key", "s1", "s2").agg(F.sum("m").alias("m"), F.min(F.struct("o_key", "o_s1", "o_s2", "base", "before", "text")).alias("x"))
         now = stage(once.select("key", "s1", "s2", "m", "x.before", "x.text", "x.o_key", "x.o_s1", "x.o_s2", "x.base"), "regions")
+        own += [parts, repeated, now]
         # a part that several origins have is repeated in all of them
         shared = now.filter("m > 1").select("key", "s1", "s2")
         repeats = repeats.unionByName(mixed_parts.join(shared, ["key", "s1", "s2"], "left_semi").transform(ranges, length))
     repeats = repeats.select(F.col("o_key").alias("key"), F.col("o_s1").alias("s1"), F.col("o_s2").alias("s2"), "first", "last").distinct()
     more = mixed.join(repeats, ["key", "s1", "s2"]).select("r1", "r2", (F.col("lo") + F.col("first")).alias("begin"), (F.col("lo") + F.col("last") + length).alias("end"))
-    return result.unionByName(more)
+    cut = stage(result.unionByName(more).groupBy("r1", "r2").agg(F.collect_set(F.struct("begin", "end")).alias("cut")), "cuts")
+    release(*own)
+    return cut
+
+
+def passages(data: bytes, cut: Iterable[dict], least_words: int) -> list[list[int]]:
+    """Maximal runs [begin, end] of what is cut, but those with fewer whole words than ``least_words``."""
+    runs: list[list[int]] = []
+    for x in sorted((x["begin"], x["end"]) for x in cut):
+        if runs and x[0] <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], x[1])
+        else:
+            runs.append(list(x))
+    return [x for x in runs if whole_words(data, *x) >= least_words] if least_words else runs
+
 
+def whole_words(data: bytes, begin: int, end: int) -> int:
+    """Words that stand wholly in data[begin:end]."""
+    words = data[begin:end].split()
+    cut_first = begin > 0 and bool(data[begin - 1 : begin].strip()) and bool(data[begin : begin + 1].strip())
+    cut_last = end < len(data) and bool(data[end : end + 1].strip()) and bool(data[end - 1 : end].strip())
+    return max(0, len(words) - cut_first - cut_last)
 
-def without_repeats(docs: DataFrame, length: int = 400, shard_bytes: int = 2 << 20, group_bytes: int = 1 << 20) -> DataFrame:
+
+def without_repeats(docs: DataFrame, length: int = 400, least_words: int = 0, shard_bytes: int = 3 << 19, group_bytes: int = 1 << 20) -> DataFrame:
     """All rows of ``docs`` with kept (the bytes that stay), n_bytes, n_removed and n_spans (maximal removed runs).
 
     A byte goes if a string of ``length`` bytes that covers it starts at
     another place too, in the same row or another; strings are judged on the
-    input. A null or short text keeps all it has; a repeated row repeats its
-    text. Columns of ``docs`` stay; the new ones come last and must not clash.
+    input. With ``least_words``, maximal runs of fewer whole words stay. A null
+    or short text keeps all it has; a repeated row repeats its text. Columns of
+    ``docs`` stay, whatever their names; the new ones come last and replace
+    those that have their names.
     """
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
-    rows = docs.select(*row_identity(F.col("doc_id"), F.col("text").cast("string")), F.col("text").cast("string").alias("text"))
+    new = ("kept", "n_bytes", "n_removed", "n_spans")
+    names = [x for x in docs.columns if x.lower() not in new]
+    # columns go by their places, so that no name of theirs meets one used here
+    placed = docs.select(*(F.col(f"`{x}`").cast("string" if x == "text" else docs.schema[x].dataType).alias(f"c{k}") for k, x in enumerate(names)))
+    text, doc_id = f"c{names.index('text')}", f"c{names.index('doc_id')}"
+    rows = placed.select(*row_identity(F.col(doc_id), F.col(text)), F.col(text).alias("text"))
     cut = repeated_ranges(rows.filter(F.octet_length("text") >= length), length, shard_bytes, group_bytes)
-    cut = cut.distinct().groupBy("r1", "r2").agg(F.collect_list(F.struct("begin", "end")).alias("cut"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, removed, spans, sizes = [], [], [], []
-            texts = batch.column("text").to_pylist()
-            for text, ranges in zip(texts, batch.column("cut").to_pylist(), strict=True):
-                data = (text or "").encode()
+            for own, cuts in zip(batch.column(text).to_pylist(), batch.column("cut").to_pylist(), strict=True):
+                data = (own or "").encode()
                 sizes.append(len(data))
-                runs: list[list[int]] = []
-                for x in sorted((x["begin"], x["end"]) for x in ranges or ()):
-                    if runs and x[0] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], x[1])
-                    else:
-                        runs.append(list(x))
+                runs = passages(data, cuts or (), least_words)
                 out, at = [], 0
                 for a, b in runs:
                     out.append(data[at:a])
@@ -283,11 +340,9 @@ def without_repeats(docs: DataFrame, length: int = 400, shard_bytes: int = 2 <<
                 kept.append(b"".join(out))
                 removed.append(len(data) - len(kept[-1]))
                 spans.append(len(runs))
-            own = {k: c for k, c in zip(batch.schema.names, batch.columns, strict=True) if k != "cut"}
-            own |= {"kept": pa.array(kept, pa.binary()), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64())}
-            yield pa.RecordBatch.from_pydict(own)
-
-    named = docs.withColumn("text", F.col("text").cast("string")).withColumns(dict(zip(("r1", "r2"), row_identity(F.col("doc_id"), F.col("text").cast("string")), strict=True)))
-    joined = named.join(cut, ["r1", "r2"], "left").select(*docs.columns, "cut")
-    types = ", ".join(f"`{x.name}` {'string' if x.name == 'text' else x.dataType.simpleString()}" for x in docs.schema.fields)
-    return joined.mapInArrow(run, f"{types}, kept binary, n_bytes long, n_removed long, n_spans long")
+            found = [pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f"c{k}") for k in range(len(names))), *found], [*(f"c{k}" for k in range(len(names))), *new])
+
+    joined = placed.withColumns(dict(zip(("r1", "r2"), row_identity(F.col(doc_id), F.col(text)), strict=True))).join(cut, ["r1", "r2"], "left").select(*placed.columns, "cut")
+    types = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in placed.schema.fields)
+    return joined.mapInArrow(run, f"{types}, kept binary, n_bytes long, n_removed long, n_spans long").toDF(*names, *new)

@@ -213,11 +213,39 @@ def test_without_repeats(spark, group_bytes, shard_bytes):
     for k in range(24):
         rows.append((k, prose(pick.randint(0, 90)) + passage[pick.randint(0, 25) : pick.randint(80, 130)] + prose(pick.randint(0, 90))))
     rows += [(50, rows[3][1]), (51, rows[3][1][:-4] + "zzzz"), (52, rows[3][1] * 2), (53, "m" * 300), (54, "ab" * 120), (55, None), (56, ""), (57, rows[4][1]), (57, rows[4][1]), (None, rows[5][1] + "q")]
-    out = substring_dedup.without_repeats(spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, cut int").drop("cut"), 48, shard_bytes, group_bytes)
+    docs = spark.createDataFrame([(*x, 1, "r", 2.0, b"k", None) for x in rows], "doc_id long, text string, cut int, r1 string, c0 double, kept binary, `a b` string")
+    out = substring_dedup.without_repeats(docs, 48, 0, shard_bytes, group_bytes)
+    assert out.columns == ["doc_id", "text", "cut", "r1", "c0", "a b", "kept", "n_bytes", "n_removed", "n_spans"]
+    assert out.select("cut", "r1", "c0").distinct().collect() == [(1, "r", 2.0)]
     got = sorted(((x["doc_id"], bytes(x["kept"]), x["n_removed"], x["n_spans"]) for x in out.collect()), key=str)
     assert got == sorted(without(rows, 48), key=str)
 
 
+def test_short_passages_stay():
+    data = b"one two three four five six seven"
+    at = lambda words: {"begin": data.index(words), "end": data.index(words) + len(words)}
+    assert substring_dedup.passages(data, [at(b"two three four"), at(b"ive six")], 3) == [[4, 18]]
+    assert substring_dedup.passages(data, [at(b"two three f"), at(b" three four ")], 3) == [[4, 19]]
+    assert substring_dedup.passages(data, [at(b"wo three four fi")], 3) == []
+    assert substring_dedup.passages(data, [at(data)], 7) == [[0, len(data)]] and substring_dedup.passages(data, [at(b"wo")], 0) == [[5, 7]]
+
+
+def test_equal_rows_are_cut_once(spark):
+    pick = random.Random(11)
+    text = "".join(pick.choice("abcdefgh ij") for _ in range(6000))
+    rows = [(1, text), (2, "x" * 700 + text[1000:5000]), *[(3, text[100:3000] + "y" * 90)] * 40]
+    got = sorted(((x["doc_id"], bytes(x["kept"]), x["n_removed"], x["n_spans"]) for x in substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 48).collect()), key=str)
+    assert got == sorted(without(rows, 48), key=str)
+
+
+def test_passage_over_the_edge_of_a_part(spark):
+    """A text over the 4 MiB that are looked at together."""
+    text, edge = random.Random(12).randbytes(2_200_000).hex(), 1 << 22
+    rows = [(1, text), (2, text[edge - 1000 : edge + 900] + "z"), (3, text[:500])]
+    out = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"]) for x in substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: (4_400_000, 2400, 2), 2: (1901, 1900, 1), 3: (500, 500, 1)}
+
+
 def test_substring_query(spark, sf_dir, documents):
     import hashlib
 
