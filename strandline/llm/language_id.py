@@ -7,19 +7,19 @@ A narrow margin between the two smallest is a rejection.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import texts
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
@@ -70,39 +70,54 @@ def training_samples(docs: DataFrame, rows: int = 80, chars: int = 1500) -> dict
     return {x["lang"]: " ".join(samples[x["lang"]]).encode() for x in common if x["lang"] in samples}
 
 
+def verdict(languages: Languages, text: str, margin: float, least: int) -> tuple[str, float, bool]:
+    """lang_pred, score and confident of a text."""
+    if not languages.names or not _LETTER.search(text):
+        return UNKNOWN, 0.0, False
+    sizes = languages.sizes(text)
+    best = int(np.argmin(sizes))
+    second = np.min(np.delete(sizes, best), initial=np.inf)
+    sure = second > sizes[best] and (sizes[best] < least or second - sizes[best] >= margin * sizes[best])
+    return languages.names[best], float(1 / np.exp2(np.maximum(sizes[best] - sizes, -60)).sum()), bool(sure)
+
+
 def identify(docs: DataFrame, samples: dict[str, bytes], level: int = 6, block: int = 1024, margin: float = 0.002, least: int = 200) -> DataFrame:
     """doc_id, lang_pred, score, confident of every whole text of ``docs`` (doc_id, text).
 
     ``und`` and score 0 where the text is null or has no letter, or nothing
     was learned. The score is the weight of the smallest result among all,
     halved with each byte that another is smaller by; equal sizes go to the
-    language that comes first in ``samples``. Not confident: ``und``, or the
-    smallest is ``least`` bytes at least and the second larger by less than the
-    share ``margin`` of it; a shorter text can't show a margin. Repeated rows give repeated rows, an empty table none.
+    language that comes first in ``samples``. Not confident: ``und``, or two
+    results are equal, or the smallest is ``least`` bytes at least and the
+    second larger by less than the share ``margin`` of it. Under ``least``
+    bytes any margin over zero will do, as a byte is more than that share.
+    Repeated rows give repeated rows, an empty table none.
     """
     frozen = tuple(samples.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = loaded(frozen, level, block)
         for batch in batches:
-            names, scores, sure = [], [], []
-            for text in texts(batch):
-                if not frozen or not _LETTER.search(text):
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    sure.append(False)
-                    continue
-                sizes = languages.sizes(text)
-                best = int(np.argmin(sizes))
-                second = np.min(np.delete(sizes, best), initial=np.inf)
-                names.append(languages.names[best])
-                scores.append(float(1 / np.exp2(np.maximum(sizes[best] - sizes, -60)).sum()))
-                sure.append(bool(sizes[best] < least or second - sizes[best] >= margin * sizes[best]))
+            found = [verdict(languages, x, margin, least) for x in texts(batch)]
+            names, scores, sure = zip(*found, strict=True) if found else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.bool_())], ["doc_id", "lang_pred", "score", "confident"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, confident boolean")
 
 
+def confident_documents(docs: DataFrame, samples: dict[str, bytes], level: int = 6, block: int = 1024, margin: float = 0.002, least: int = 200) -> DataFrame:
+    """The rows and columns of ``docs`` of which ``identify`` is confident, without a join."""
+    frozen = tuple(samples.items())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages = loaded(frozen, level, block)
+        for batch in batches:
+            yield batch.filter(pa.array([verdict(languages, x, margin, least)[2] for x in texts(batch)], pa.bool_()))
+
+    typed = docs.withColumn("text", F.col("text").cast("string"))
+    return typed.mapInArrow(run, typed.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold that is never learned from: crc32 of the id as text, modulo 4, is 2. A null id is in none."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

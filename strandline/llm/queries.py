@@ -36,7 +36,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
     ruled = quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("score").alias("anomaly_score"))
+    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("score").alias("anomaly_score"), F.col("score_all").alias("anomaly_score_all"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

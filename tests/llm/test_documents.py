@@ -40,20 +40,72 @@ def test_rule_counts(documents):
 def test_quality_rules(spark, sf_dir, documents):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = {x["doc_id"]: x for x in queries.op4_quality_rules(spark, sf_dir).collect()}
-    quality = {x["doc_id"]: x["quality"] for x in labels.collect()}
     assert len(out) == len(documents)
     for doc_id, text in zip(documents["doc_id"], documents["text"], strict=True):
         want = counts(text)
         row = out[doc_id]
         assert (row["n_words"], row["word_chars"], row["n_symbols"], row["n_dup_lines"], row["n_repeat_words"]) == want
         assert row["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (row["base_failed"] and row["kept"])
-    judged = [(quality[k], x["kept"]) for k, x in out.items() if k in quality and not x["base_failed"]]
+    # ten times the rows: six rows labelled bad pass the base rules in the smallest table
+    larger = sf_dir.replace("sf0.001", "sf0.01")
+    judged = [(x["quality"], x["kept"]) for x in queries.op4_quality_rules(spark, larger).join(spark.read.parquet(f"{larger}/labels.parquet"), "doc_id").filter("not base_failed").collect()]
     assert np.mean([k for q, k in judged if q == 1]) > 0.97 and np.mean([k for q, k in judged if q == 0]) < 0.5
     odd = quality_rules.quality_rules(frame(spark, ODD), labels.limit(0))
     assert odd.count() == len(ODD) and odd.filter("kept is null").count() == 0
     assert quality_rules.quality_rules(frame(spark, ODD).limit(0), labels).count() == 0
 
 
+def test_good_documents_are_those_kept(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("documents", "labels"))
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(ODD, "doc_id long, text string"))
+    kept = sorted(str(x["doc_id"]) for x in quality_rules.quality_rules(rows, labels).filter("kept").collect())
+    good = quality_rules.good_documents(rows.withColumn("score", F.lit("s")), labels)
+    assert good.columns == ["doc_id", "text", "score"] and sorted(str(x["doc_id"]) for x in good.collect()) == kept
+    assert quality_rules.good_documents(rows.limit(0), labels).count() == 0
+
+
+def plain_path(tree, row):
+    """Nodes passed, one at a time, and what the leaf adds for the rows in it."""
+    feature, threshold, child, path = tree
+    node, passed = 0, 0
+    while feature[node] >= 0:
+        node = child[node] + (row[feature[node]] >= threshold[node])
+        passed += 1
+    return passed, path[node]
+
+
+def test_forest_paths_by_brute_force():
+    """Each leaf's path length is its depth and the expected depth of a tree over the rows that end there."""
+    pick = np.random.default_rng(3)
+    rows = np.round(pick.normal(size=(300, 5)), 1)
+    forest = quality_rules.grow(rows, 7, 300, 5)  # every tree sees every row
+    expected = lambda n: 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+    total = np.zeros(len(rows))
+    for tree in forest.trees:
+        leaves = [plain_path(tree, x) for x in rows]
+        ends = Counter()
+        for x in rows:
+            node = 0
+            while tree[0][node] >= 0:
+                node = tree[2][node] + (x[tree[0][node]] >= tree[1][node])
+            ends[node] += 1
+        for k, x in enumerate(rows):
+            node = 0
+            while tree[0][node] >= 0:
+                node = tree[2][node] + (x[tree[0][node]] >= tree[1][node])
+            assert leaves[k][1] == pytest.approx(leaves[k][0] + expected(ends[node]))
+            total[k] += leaves[k][1]
+    assert forest.score(rows) == pytest.approx(2 ** (-total / 7 / expected(300)))
+
+
+def test_limits_use_both_labels():
+    clear = [(0.4, 900, 0), (0.5, 100, 10), (0.6, 1, 30), (0.7, 1, 60)]
+    assert quality_rules.limit(clear, 0.01, 10, 0.65) == 0.5
+    assert quality_rules.limit(clear, 0.001, 10, 0.65) == 0.6
+    assert quality_rules.limit([(0.4, 900, 90), (0.7, 10, 1)], 0.05, 10, 0.65) == 1.0  # it tells nothing about bad rows
+    assert quality_rules.limit([(0.4, 900, 0)], 0.05, 10, 0.65) == 0.65 and quality_rules.limit([], 0.05, 10, 0.6) == 0.6
+
+
 def test_isolation_forest_finds_outliers():
     random_ = np.random.default_rng(0)
     rows = random_.normal(size=(2000, 3))
@@ -75,6 +127,29 @@ def test_language_id(spark, sf_dir, documents):
     assert found[0] == found[1] == found[2] == found[7] == ("und", False) and found[3][0] in samples
     assert [x["lang_pred"] for x in language_id.identify(frame(spark, ODD), {}).collect()] == ["und"] * len(ODD)
     assert language_id.identify(frame(spark, ODD).limit(0), samples).count() == 0
+    kept = language_id.confident_documents(frame(spark, ODD), samples)
+    assert kept.columns == ["doc_id", "text", "kept", "score"] and [x["doc_id"] for x in kept.collect()] == [ODD[k][0] for k, x in enumerate(found) if x[1]]
+
+
+def test_numbers_and_signs_are_no_letters(spark):
+    rows = [(k, x) for k, x in enumerate(["½ ² 12", "①", "Ⅷ", "_", "١", "ª", "Ж"])]
+    out = {x["doc_id"]: x for x in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), {"en": b"the one"}).collect()}
+    assert [out[k]["lang_pred"] for k in range(7)] == ["und"] * 5 + ["en"] * 2 and not out[0]["confident"]
+
+
+def test_sizes_by_plain_compression():
+    """Sizes are those of zstandard with the raw dictionary, block by block; equal ones are no verdict."""
+    import zstandard
+
+    samples = {"a": b"the cat and the dog and the bird " * 9, "b": b"der hund und die katze und das tier " * 9}
+    found = language_id.Languages(samples, 6, 64)
+    text = "The dog und die\tbird " * 20
+    data = " ".join(text.lower().split()).encode()
+    for k, name in enumerate(samples):
+        coder = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(samples[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+        plain = sum(len(coder.compress(data[j : j + 64])) for j in range(0, len(data), 64))
+        assert abs(found.sizes(text)[k] - plain) <= 0.05 * plain
+    assert language_id.verdict(language_id.Languages({"a": b"same", "b": b"same"}, 6, 64), "some text", 0.002, 200) == ("a", 0.5, False)
 
 
 def fingerprint(text):
