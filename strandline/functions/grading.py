@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What marks an answer, and numbers with and without thousands marks.
 MARKER = r"(?i)(?:final\s+answer|answer)\s*[:=]\s*(.+)"
-NUMBER = r"-?\d+(?:\.\d+)?"
+NUMBER = r"-?\d{1,3}(?:,\d{3})+(?:\.\d+)?|-?\d+(?:\.\d+)?"
 
 
 def normal_answer(text: Column) -> Column:
@@ -17,16 +18,17 @@ def normal_answer(text: Column) -> Column:
 def extract_answer(raw: Column, kind: Column) -> Column:
     """The answer in a text by type: the last number, the first lone letter A to D, or the first line.
 
-    It is looked for after a marker if there is one, to that line's end. Null
-    where nothing is found.
+    It is looked for after a marker if there is one, to that line's end; a
+    number or letter that isn't there, in the whole text. A comma is part of a
+    number only as a thousands mark. Null where nothing is found.
     """
-    marked = F.nullif(F.regexp_extract(raw, MARKER, 1), F.lit(""))
+    raw = F.trim(F.regexp_replace(raw, r"^\s+|\s+$", ""))
+    marked = F.trim(F.nullif(F.regexp_extract(raw, MARKER, 1), F.lit("")))
     region = F.coalesce(marked, raw)
-    last = lambda text: F.try_element_at(F.regexp_extract_all(F.replace(text, F.lit(","), F.lit("")), F.lit(NUMBER), F.lit(0)), F.lit(-1))
-    numeric = F.coalesce(last(region), last(raw))
-    letter = F.nullif(F.regexp_extract(F.upper(region), r"\b([A-D])\b", 1), F.lit(""))
-    line = normal_answer(F.split(F.trim(region), "\n")[0])
-    return F.when(kind == "numeric", numeric).when(kind == "mcq", letter).otherwise(F.nullif(line, F.lit("")))
+    last = lambda text: F.replace(F.try_element_at(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), F.lit(-1)), F.lit(","), F.lit(""))
+    letter = lambda text: F.nullif(F.regexp_extract(F.upper(text), r"\b([A-D])\b", 1), F.lit(""))
+    line = normal_answer(F.split(region, "\n")[0])
+    return F.when(kind == "numeric", F.coalesce(last(region), last(raw))).when(kind == "mcq", F.coalesce(letter(region), letter(raw))).otherwise(F.nullif(line, F.lit("")))
 
 
 def grade(answer: Column, gold: Column, kind: Column, tolerance: float = 1e-6) -> Column:

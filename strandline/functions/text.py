@@ -125,3 +125,8 @@ def chunks(text: Column, limit: int = 4800) -> Column:
         return F.when(fits, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(x)))
 
     return F.aggregate(parts, start, add)
+
+
+def name_words(name: Column) -> Column:
+    """The runs of Latin letters of a name, in lower case, joined by blanks: a summary of what it names."""
+    return F.array_join(F.regexp_extract_all(F.lower(name), F.lit("[a-z]+"), F.lit(0)), " ")

@@ -116,18 +116,30 @@ def greatest_similarity(queries: DataFrame, item: str, label: str, others: DataF
     return queries.select(item).distinct().join(best, item, "left").select(item, F.coalesce("max_any", F.lit(0.0)).alias("max_any"), F.coalesce("max_same", F.lit(0.0)).alias("max_same"))
 
 
+def checkpoint_folder(spark) -> None:
+    """See that checkpoints go to the folder that the session names; only a local session without one gets a temporary one."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        named = tempfile.mkdtemp(prefix="strandline-")
+    context.setCheckpointDir(named)
+
+
 def components(nodes: DataFrame, edges: DataFrame, item: str) -> DataFrame:
     """item, component (its least item) of all nodes; edges are (a, b).
 
     Labels go to the least of the neighbours' and then jump to their label's
     label, so rounds grow with the logarithm of the longest path. Each round
-    ends in a checkpoint.
+    ends in a checkpoint, in the shared folder that the session names.
     """
     spark = nodes.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-"))
+    checkpoint_folder(spark)
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     now = nodes.select(F.col(item).alias("node"), F.col(item).alias("label"))
     while True:
@@ -141,7 +153,7 @@ def components(nodes: DataFrame, edges: DataFrame, item: str) -> DataFrame:
 
 
 def greedy_victims(pairs: DataFrame, component: DataFrame, item: str, original: DataFrame) -> DataFrame:
-    """Items to drop: pairs by falling similarity, the later or non-original of each unless one is gone already.
+    """Items to drop: pairs by falling similarity, the later or non-original of each unless one is gone already. Two originals both stay.
 
     The order matters only within a component, so each is one small group.
     ``pairs``: a, b, similarity. ``original``: item, is_original.
@@ -149,7 +161,7 @@ def greedy_victims(pairs: DataFrame, component: DataFrame, item: str, original:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         gone: set = set()
         for row in group.sort_values(["similarity", "a", "b"], ascending=[False, True, True]).itertuples():
-            if row.a not in gone and row.b not in gone:
+            if row.a not in gone and row.b not in gone and not (row.original_a and row.original_b):
                 gone.add(row.a if row.original_b and not row.original_a else row.b)
         return pd.DataFrame({item: sorted(gone)})
 

@@ -69,3 +69,48 @@ def template_errors(templates: DataFrame, intents: list[str], moods: list[str])
     missing = grid.join(usable, ["intent", "mood"], "left_anti").select(F.lit("missing").alias("check"), "intent", "mood")
     shared = usable.groupBy("response").agg(F.count("*").alias("n"), F.collect_list(F.struct("intent", "mood")).alias("cells")).filter("n > 1").select(F.lit("reused").alias("check"), F.inline("cells"))
     return missing.unionByName(shared)
+
+
+def has_keyword(text: Column, keywords: list[str]) -> Column:
+    """Whether the cleaned, lower-cased text holds any of the keywords, as substrings; a null text holds none."""
+    from ..functions.text import clean
+
+    lowered = F.lower(clean(text, False))
+    return F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(lowered, k)) if keywords else F.lit(False)
+
+
+def single_mood(scores: Column, labels: list[str], least: float = 0.5, neutral: str = "neutral") -> Column:
+    """struct(mood, confidence, status, raw): the label of the greatest score, neutral below ``least``; ties to the first."""
+    best = F.array_max(scores)
+    raw = F.element_at(F.array(*map(F.lit, labels)), F.array_position(scores, best).cast("int"))
+    sure = best >= least
+    return F.struct(F.when(sure, raw).otherwise(neutral).alias("mood"), F.round(best, 4).alias("confidence"), F.when(sure, "confident").otherwise("fallback_neutral").alias("status"), raw.alias("raw"))
+
+
+def response_matrix(intents: DataFrame, moods: DataFrame, urgent: str, social: list[str]) -> DataFrame:
+    """intent, mood, response: opener and body, trimmed.
+
+    ``intents``: intent, body. ``moods``: mood, opener, social_opener,
+    urgent_opener. A grid of two bounded lists.
+    """
+    grid = intents.crossJoin(moods)
+    opener = F.when(F.col("intent") == urgent, F.col("urgent_opener")).when(F.col("intent").isin(social), F.col("social_opener")).otherwise(F.col("opener"))
+    return grid.select("intent", "mood", F.trim(F.concat_ws(" ", F.nullif(opener, F.lit("")), "body")).alias("response"))
+
+
+def overridden(rows: DataFrame, text: str, urgent: str, keywords: list[str], least: float) -> DataFrame:
+    """The second pipeline after the models have spoken: keywords override the intent, a weak intent falls back.
+
+    ``rows``: the text, intent, confidence. A blank text gives no answer
+    (status ``empty``). New: safety_override, and status ``override``,
+    ``answered`` or ``low_confidence``.
+    """
+    from ..functions.text import clean
+
+    blank = clean(F.col(text), False) == ""
+    override = ~blank & has_keyword(F.col(text), keywords) & (F.coalesce(F.col("intent"), F.lit("")) != urgent)
+    weak = F.coalesce(F.col("confidence"), F.lit(0.0)) < least
+    status = F.when(blank, "empty").when(F.col("safety_override"), "override").when(weak, "low_confidence").otherwise("answered")
+    marked = rows.withColumn("safety_override", override)
+    marked = marked.withColumn("intent", F.when(F.col("safety_override"), urgent).otherwise(F.col("intent"))).withColumn("confidence", F.when(F.col("safety_override"), 1.0).otherwise(F.col("confidence")))
+    return marked.withColumn("status", status)

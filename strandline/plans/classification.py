@@ -21,10 +21,11 @@ def scored(spark, sf_dir):
     long = rows.select("vec_id", "label", F.posexplode("v").alias("d", "x"))
     means = long.filter("vec_id % 2 = 0").groupBy(F.col("label").alias("c"), "d").agg(F.avg("x").alias("m"))
     centroids = means.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda x: x["m"]).alias("m"))
-    # one row: as many vectors as there are labels
-    every = centroids.agg(F.array_sort(F.collect_list(F.struct("c", "m"))).alias("centroids"))
-    distance = lambda k: F.round(-V.total(F.zip_with("v", k["m"], lambda a, b: (a - b) * (a - b))), 6)
-    return rows.join(F.broadcast(every)).select("vec_id", "label", F.transform("centroids", lambda k: k["c"]).alias("names"), F.transform("centroids", distance).alias("scores"))
+    # as many rows as there are labels; the aggregate keeps the distances from being computed again at each use
+    distance = F.round(-V.total(F.zip_with("v", "m", lambda a, b: (a - b) * (a - b))), 6)
+    each = rows.join(F.broadcast(centroids)).select("vec_id", "label", "c", distance.alias("s"))
+    found = each.groupBy("vec_id", "label").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("x"))
+    return found.select("vec_id", "label", F.col("x.c").alias("names"), F.col("x.s").alias("scores"))
 
 
 def predictions(spark, sf_dir):

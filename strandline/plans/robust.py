@@ -89,10 +89,12 @@ def word_stats(spark, sf_dir):
 
 
 _TYPED = "CASE turn % 3 WHEN 0 THEN 'numeric' WHEN 1 THEN 'mcq' ELSE 'exact' END"
-_MARKED = r"coalesce(nullif(regexp_extract(text, '(?i)(?:final\s+answer|answer)\s*[:=]\s*(.+)', 1), ''), text)"
-_LAST = lambda x: rf"regexp_extract_all(replace({x}, ',', ''), '-?\d+(?:\.\d+)?')[-1]"
+_RAW = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+_MARKED = rf"coalesce(trim(nullif(regexp_extract({_RAW}, '(?i)(?:final\s+answer|answer)\s*[:=]\s*(.+)', 1), '')), {_RAW})"
+_LAST = lambda x: rf"replace(regexp_extract_all({x}, '-?\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|-?\d+(?:\.\d+)?')[-1], ',', '')"
+_LETTER = lambda x: rf"nullif(regexp_extract(upper({x}), '\b([A-D])\b', 1), '')"
 _NORMAL = lambda x: rf"trim(regexp_replace(regexp_replace(lower(trim({x})), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'))"
-_ANSWER = rf"CASE {_TYPED} WHEN 'numeric' THEN coalesce({_LAST(_MARKED)}, {_LAST('text')}) WHEN 'mcq' THEN nullif(regexp_extract(upper({_MARKED}), '\b([A-D])\b', 1), '') ELSE nullif({_NORMAL(f"string_split(trim({_MARKED}), chr(10))[1]")}, '') END"
+_ANSWER = rf"CASE {_TYPED} WHEN 'numeric' THEN coalesce({_LAST(_MARKED)}, {_LAST('text')}) WHEN 'mcq' THEN coalesce({_LETTER(_MARKED)}, {_LETTER('text')}) ELSE nullif({_NORMAL(f"string_split({_MARKED}, chr(10))[1]")}, '') END"
 
 
 def _typed(spark, sf_dir):
