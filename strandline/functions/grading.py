@@ -56,9 +56,22 @@ def parse_choice(raw: Column) -> Column:
 
 
 def overlap_f1(left: Column, right: Column) -> Column:
-    """F1 of two arrays as multisets; 0 if either is empty or they share nothing."""
-    count = lambda array, x: F.size(F.filter(array, lambda y: y == x))
-    shared = F.aggregate(F.array_distinct(left), F.lit(0), lambda total, x: total + F.least(count(left, x), count(right, x)))
+    """F1 of two arrays as multisets; 0 if either is empty or they share nothing.
+
+    Both are sorted together and counted in one pass, so the work grows with
+    their length and not with their pairs.
+    """
+    tagged = lambda array, side: F.transform(array, lambda x: F.struct(x.alias("x"), F.lit(side).alias("side")))
+    state = lambda x, l, r, s: F.struct(x.alias("x"), l.alias("l"), r.alias("r"), s.alias("s"))  # noqa: E731, E741
+    zero = F.lit(0)
+
+    def add(done: Column, e: Column) -> Column:
+        left, right = F.when(e["side"] == 0, 1).otherwise(0), F.when(e["side"] == 1, 1).otherwise(0)
+        same = done["x"] == e["x"]
+        return F.when(same, state(done["x"], done["l"] + left, done["r"] + right, done["s"])).otherwise(state(e["x"], left, right, done["s"] + F.least(done["l"], done["r"])))
+
+    start = state(F.lit("").cast("string"), zero, zero, zero)
+    shared = F.aggregate(F.array_sort(F.concat(tagged(left, 0), tagged(right, 1))), start, add, lambda done: done["s"] + F.least(done["l"], done["r"]))
     return F.when((F.size(left) == 0) | (F.size(right) == 0), 0.0).otherwise(F.lit(2.0) * shared / (F.size(left) + F.size(right)))
 
 
@@ -78,3 +91,21 @@ def rouge1(prediction: Column, gold: Column) -> Column:
 def letters_prompt(sequence: Column, shots: Column) -> Column:
     """Shots, then the sequence whose end is asked for."""
     return F.concat_ws("\n", shots, F.concat(F.lit("Sequence: "), sequence, F.lit("\nNext: ")))
+
+
+def answer_prompt(header: str, prefix: Column, shots: Column) -> Column:
+    """A header, shots (an array of structs prefix and answer) with their answers, then the sequence that is asked for."""
+    shown = F.array_join(F.transform(shots, lambda x: F.concat(F.lit("Sequence: "), x["prefix"], F.lit("\nAnswer: "), x["answer"], F.lit("\n\n"))), "")
+    return F.concat(F.lit(header + "\n"), shown, F.lit("Sequence: "), prefix, F.lit("\nAnswer:"))
+
+
+def sense_block(item: Column) -> Column:
+    """What is asked of an item (a struct prefix, option_a, option_b, hint)."""
+    return F.concat(F.lit("Prefix: "), item["prefix"], F.lit(", Options: A. "), item["option_a"], F.lit(" or B. "), item["option_b"], F.lit(". Hint: "), item["hint"], F.lit(" Your response:"))
+
+
+def sense_prompt(header: str, item: Column, shots: Column) -> Column:
+    """A header, shots (items with gold_status and gold_answer) with their responses, then the item."""
+    status = lambda x: F.when(x["gold_status"] == "AMBIGUOUS", "AMBIGUOUS").otherwise("NOT AMBIGUOUS")
+    shown = F.array_join(F.transform(shots, lambda x: F.concat(sense_block(x), F.lit(" ambiguous status="), status(x), F.lit("; answer="), x["gold_answer"], F.lit("\n"))), "\n\n")
+    return F.concat(F.lit(header + "\n"), shown, F.lit("\n\n"), sense_block(item))

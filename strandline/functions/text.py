@@ -114,8 +114,8 @@ def line_of(text: Column, place: Column) -> Column:
 
 
 def chunks(text: Column, limit: int = 4800) -> Column:
-    """Sentences joined greedily to pieces of at most ``limit`` characters; a longer sentence is a piece."""
-    parts = F.split(F.trim(text), r"(?<=[.?!])\s+")
+    """Sentences joined greedily to pieces of at most ``limit`` characters; a longer sentence is a piece, a text within the limit stays as it is."""
+    parts = F.split(F.trim(text), r"(?<=[.?!।])\s+")
     start = F.array().cast("array<string>")
 
     def add(done: Column, x: Column) -> Column:
@@ -124,7 +124,19 @@ def chunks(text: Column, limit: int = 4800) -> Column:
         fits = last.isNotNull() & (F.length(joined) <= limit)
         return F.when(fits, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(x)))
 
-    return F.aggregate(parts, start, add)
+    return F.when(F.length(text) <= limit, F.array(text)).otherwise(F.aggregate(parts, start, add))
+
+
+def variants(prompt: Column, names: dict[str, str] | None = None, noop: str | None = None, reorder: bool = False, seed: int = 0) -> Column:
+    """Array of structs (kind, prompt): the rewrites that a specification asks for, which leave the answer as it is."""
+    made = []
+    if names is not None:
+        made.append(F.struct(F.lit("rename").alias("kind"), rename_words(prompt, names).alias("prompt")))
+    if noop is not None:
+        made.append(F.struct(F.lit("noop").alias("kind"), append_sentence(prompt, noop).alias("prompt")))
+    if reorder:
+        made.append(F.struct(F.lit("reorder").alias("kind"), shuffle_sentences(prompt, seed).alias("prompt")))
+    return F.array(*made) if made else F.array().cast("array<struct<kind:string,prompt:string>>")
 
 
 def name_words(name: Column) -> Column:

@@ -121,3 +121,15 @@ def pooled(tokens: DataFrame, by: list[str], order: str, vector: str, selected:
     value = {"mean": F.avg("x"), "max": F.max("x"), "sum": F.sum("x"), "last": F.max_by("x", order)}[how]
     points = long.groupBy(*by, "d").agg(value.alias("x"))
     return points.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda p: p["x"]).alias(vector))
+
+
+def layer_profiles(rows: DataFrame, model: str, layer: str, vector: str) -> DataFrame:
+    """model, and by layer the effective ranks and participation ratios, with their greatest and last; a layer of under two rows has 0."""
+    keyed = rows.withColumn("_key", F.concat_ws("|", F.lpad(F.col(layer).cast("string"), 6, "0"), F.col(model).cast("string")))
+    cov = covariance(keyed, "_key", vector)
+    found = participation_ratio(cov, "_key").join(effective_rank(cov, "_key"), "_key")
+    named = keyed.groupBy(F.col(model).alias("model"), F.col(layer).alias("layer"), "_key").agg(F.count("*").alias("n")).join(found, "_key", "left").na.fill(0.0, ["participation_ratio", "effective_rank"])
+    ordered = F.array_sort(F.collect_list(F.struct("layer", "effective_rank", "participation_ratio"))).alias("x")
+    profiles = named.groupBy("model").agg(ordered).select("model", F.col("x.effective_rank").alias("er_by_layer"), F.col("x.participation_ratio").alias("pr_by_layer"))
+    ends = [f(F.col(f"{x}_by_layer")).alias(f"{name}_{x}") for x in ("er", "pr") for name, f in (("max", F.array_max), ("last", lambda c: F.element_at(c, -1)))]
+    return profiles.select("*", *ends)

@@ -136,6 +136,30 @@ def t_test_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) or b < 1 else student_p(a, b) for a, b in zip(t, df, strict=True)])
 
 
+@F.pandas_udf(DoubleType())
+def t_bound(df: pd.Series, alpha: pd.Series) -> pd.Series:
+    """The t that |t| exceeds with probability ``alpha``, by bisection."""
+
+    def found(n: float, p: float) -> float | None:
+        if pd.isna(n) or n < 1:
+            return None
+        low, high = 0.0, 1.0
+        while student_p(high, n) > p and high < 1e12:
+            low, high = high, high * 2
+        for _ in range(80):
+            middle = (low + high) / 2
+            low, high = (middle, high) if student_p(middle, n) > p else (low, middle)
+        return (low + high) / 2
+
+    return pd.Series([found(n, p) for n, p in zip(df, alpha, strict=True)])
+
+
+def ols_interval(fits: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """The rows of ``ols`` with the interval of beta and its p."""
+    bound = t_bound((F.col("n") - 2).cast("double"), F.lit(alpha))
+    return fits.withColumn("low", F.col("beta") - bound * F.col("se")).withColumn("high", F.col("beta") + bound * F.col("se")).withColumn("p", correlation_p(F.col("beta"), F.col("n")))
+
+
 def correlation_p(rho: Column, n: Column) -> Column:
     """Two-sided p of a correlation with n - 2 degrees of freedom."""
     t = rho * F.sqrt(F.try_divide(n - 2, 1 - rho * rho))

@@ -208,3 +208,13 @@ def program_graph(programs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["program", "a", "b"])
 
     return programs.select("program", "source").mapInPandas(run, "program string, a int, b int")
+
+
+def structural_profile(syntax: DataFrame, control: DataFrame, bindings: DataFrame, delta: str = "delta") -> tuple[DataFrame, DataFrame]:
+    """The profiles of all three metrics as (metric, model, layer, value), and the peak of each."""
+    parts = {"SRS": layer_ratio(syntax), "CFS": layer_ratio(control), "CFS_norm": normalised_profile(control, delta), "DFBS": binding_profile(bindings)}
+    named = [x.select(F.lit(k).alias("metric"), "model", "layer", "value") for k, x in parts.items()]
+    tops = [peaks(x).select(F.lit(k).alias("metric"), "model", "peak", "depth", "value") for k, x in parts.items()]
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, named), reduce(DataFrame.unionByName, tops)

@@ -12,11 +12,11 @@ from .robust import _KEY
 
 
 def labelled(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.md5(T.dedup_key(F.col("text"), False)).alias("key"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.md5(T.dedup_key(F.col("text"), False)).alias("key"))
     return rows.join(table(spark, sf_dir, "labels"), "doc_id")
 
 
-_LAB = f"d AS (SELECT doc_id, text, lang, md5({_KEY}) AS key, quality FROM documents JOIN labels USING (doc_id))"
+_LAB = f"d AS (SELECT doc_id, text, lang, source, md5({_KEY}) AS key, quality FROM documents JOIN labels USING (doc_id))"
 
 
 @query("SELECT md5(text) AS key, count(*) AS size, min(doc_id) AS first FROM documents GROUP BY text HAVING count(*) > 1")
@@ -30,14 +30,14 @@ def keep_first(spark, sf_dir):
     return C.keep_first(rows, ["key"], "doc_id").select("doc_id")
 
 
-@query(f"WITH {_LAB} SELECT key, count(*) AS n FROM d GROUP BY key HAVING count(DISTINCT quality) > 1")
+@query(f"WITH {_LAB} SELECT key, count(*) AS n FROM d GROUP BY key HAVING count(DISTINCT source) > 1")
 def label_conflicts(spark, sf_dir):
-    return C.conflicting_keys(labelled(spark, sf_dir), "key", "quality")
+    return C.conflicting_keys(labelled(spark, sf_dir), "key", "source")
 
 
-@query(f"WITH {_LAB}, f AS (SELECT key, arg_min(quality, doc_id) AS kept_label, min(doc_id) AS kept FROM d GROUP BY key) SELECT doc_id, key, quality, kept, kept_label FROM d JOIN f USING (key) WHERE quality <> kept_label")
+@query(f"WITH {_LAB}, f AS (SELECT key, arg_min(source, doc_id) AS kept_label, min(doc_id) AS kept FROM d GROUP BY key) SELECT doc_id, key, source, kept, kept_label FROM d JOIN f USING (key) WHERE source <> kept_label")
 def conflict_log(spark, sf_dir):
-    return C.conflict_log(labelled(spark, sf_dir), "key", "quality", "doc_id")
+    return C.conflict_log(labelled(spark, sf_dir), "key", "source", "doc_id")
 
 
 @query(f"""WITH {_LAB}, bad AS (SELECT key FROM d GROUP BY key HAVING count(DISTINCT quality) > 1), g AS (SELECT key, count(*) AS n, count(DISTINCT (text, quality)) AS forms FROM d WHERE key NOT IN (FROM bad) GROUP BY key)

@@ -225,3 +225,56 @@ def provenance(spark, sf_dir):
 def corpus_counts(spark, sf_dir):
     rows = table(spark, sf_dir, "documents")
     return E.corpus_counts(rows.select(F.col("source").alias("repo"), F.contains("text", F.lit("\n")).alias("syntactic"), F.contains("text", F.lit(" the ")).alias("control"), F.col("n_chars").alias("n_uses")))
+
+
+@query("""SELECT vec_id, 'Continue.' || chr(10) || 'Sequence: a' || chr(10) || 'Answer: b' || chr(10) || chr(10) || 'Sequence: ' || label || chr(10) || 'Answer:' AS prompt FROM embeddings""")
+def answer_prompts(spark, sf_dir):
+    from ..functions.grading import answer_prompt
+
+    shots = F.array(F.struct(F.lit("a").alias("prefix"), F.lit("b").alias("answer")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", answer_prompt("Continue.", F.col("label").cast("string"), shots).alias("prompt"))
+
+
+@query("""SELECT p_partkey, 'Which?' || chr(10) || 'Prefix: the bank, Options: A. river or B. money. Hint: water Your response: ambiguous status=AMBIGUOUS; answer=A' || chr(10) || chr(10) || chr(10) || 'Prefix: ' || p_name || ', Options: A. ' || p_brand || ' or B. ' || p_type || '. Hint: ' || p_size || ' Your response:' AS prompt FROM part""")
+def sense_prompts(spark, sf_dir):
+    from ..functions.grading import sense_prompt
+
+    shot = F.struct(*(F.lit(v).alias(k) for k, v in {"prefix": "the bank", "option_a": "river", "option_b": "money", "hint": "water", "gold_status": "AMBIGUOUS", "gold_answer": "A"}.items()))
+    item = F.struct(F.col("p_name").alias("prefix"), F.col("p_brand").alias("option_a"), F.col("p_type").alias("option_b"), F.col("p_size").cast("string").alias("hint"))
+    return table(spark, sf_dir, "part").select("p_partkey", sense_prompt("Which?", item, F.array(shot)).alias("prompt"))
+
+
+@query("SELECT conv_id, turn, kind, prompt FROM (SELECT conv_id, turn, unnest([{'kind': 'rename', 'prompt': regexp_replace(text, '\\bthe\\b', 'some', 'g')}, {'kind': 'noop', 'prompt': rtrim(text) || CASE WHEN regexp_matches(rtrim(text), '[.?!]$') THEN ' ' ELSE '. ' END || 'It rained.'}], recursive := true) FROM conversations WHERE text IS NOT NULL)")
+def prompt_variants(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").filter("text is not null")
+    return rows.select("conv_id", "turn", F.inline(T.variants(F.col("text"), {"the": "some"}, "It rained.")))
+
+
+@query()
+def layer_profiles(spark, sf_dir):
+    from ..operators.latent import layer_profiles as run
+
+    rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 4).alias("layer"), F.col("label").alias("model"), F.col("embedding").cast("array<double>").alias("v"))
+    out = run(rows, "model", "layer", "v")
+    return out.select("model", *(F.transform(c, lambda x: F.round(x, 6)).alias(c) for c in ("er_by_layer", "pr_by_layer")), *(F.round(c, 6).alias(c) for c in ("max_er", "last_er", "max_pr", "last_pr")))
+
+
+@query()
+def ols_interval(spark, sf_dir):
+    from ..operators.stats import ols
+    from ..operators.stats import ols_interval as run
+
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.avg("l_quantity").alias("q"), F.avg("l_extendedprice").alias("p"))
+    out = run(ols(rows, "q", "p", "l_returnflag"))
+    return out.select("l_returnflag", "n", *(F.round(c, 6).alias(c) for c in ("beta", "se", "r2", "low", "high", "p")))
+
+
+@query()
+def structural_profile(spark, sf_dir):
+    from ..operators import structure as X
+    from .structure import distances
+
+    pairs = distances(spark, sf_dir).withColumn("delta", F.lit(0.5))
+    bindings = pairs.select("model", "layer", F.col("dist").alias("b"), F.lit(1.0).alias("n"))
+    profile, _ = X.structural_profile(pairs, pairs, bindings)
+    return profile.withColumn("value", F.round("value", 7))

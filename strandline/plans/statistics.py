@@ -110,7 +110,7 @@ def bh_adjust(spark, sf_dir):
     return _r(S.adjusted(rows, "p", "id", "grp"), digits=12)
 
 
-_BOOT = 40
+_BOOT = 200
 
 
 @query(f"""WITH r AS (SELECT l_returnflag AS flag, o_orderkey AS id, v, row_number() OVER (PARTITION BY l_returnflag ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n
@@ -161,7 +161,7 @@ def drift_baseline_correct(spark, sf_dir):
 def _intervals(spark, sf_dir, value):
     rows = weeks(spark, sf_dir)
     base = rows.filter("level = 0").select("sample", F.col(value).alias("base"))
-    return D.bootstrap_levels(rows.join(base, "sample").select("level", "sample", F.col(value).alias("value"), "base"), replicates=400)
+    return D.bootstrap_levels(rows.join(base, "sample").select("level", "sample", F.col(value).alias("value"), "base"))
 
 
 @query()

@@ -27,12 +27,12 @@ def neg_band_join(spark, sf_dir):
     return first.select("id", "other", (F.col("id") - F.col("other")).alias("gap"))
 
 
-@query("""WITH o AS (SELECT o_orderkey, o_custkey % 50 AS k, datediff('day', DATE '1970-01-01', o_orderdate::DATE) AS a FROM orders), l AS (SELECT l_suppkey % 50 AS k, datediff('day', DATE '1970-01-01', l_shipdate::DATE) AS s FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 49)
+@query("""WITH o AS (SELECT o_orderkey, o_custkey AS k, datediff('day', DATE '1970-01-01', o_orderdate::DATE) AS a FROM orders), l AS (SELECT l_suppkey AS k, datediff('day', DATE '1970-01-01', l_shipdate::DATE) AS s FROM lineitem)
 SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey FROM o WHERE EXISTS (SELECT 1 FROM l WHERE l.k = o.k AND o.a < l.s + 2 AND o.a + 3 > l.s)""")
 def span_overlap(spark, sf_dir):
     day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date"))
-    points = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("k"), day("o_orderdate").alias("a")).withColumn("b", F.col("a") + 3)
-    spans = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 and l_quantity > 49").select((F.col("l_suppkey") % 50).alias("k"), day("l_shipdate").alias("s")).withColumn("e", F.col("s") + 2).distinct()
+    points = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), day("o_orderdate").alias("a")).withColumn("b", F.col("a") + 3)
+    spans = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), day("l_shipdate").alias("s")).withColumn("e", F.col("s") + 2).distinct()
     return X.overlap_join(points, spans, ["k"], "a", "b", "s", "e", 8).select("o_orderkey")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether any file matches, asked of the path's own file system."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop)
     return found is not None and len(found) > 0
 
 
@@ -82,3 +82,52 @@ def cached_sample(rows: DataFrame, item: str, n: int, seed: int, path: str) -> D
     if not exists(spark, path):
         hash_sample(rows, item, n, seed).write.parquet(path)
     return spark.read.parquet(path)
+
+
+def named_documents(spark: SparkSession, pattern: str, schema: T.StructType | str, name: str, siblings: str | None = None, sibling_schema: T.StructType | str | None = None, sibling_name: str | None = None) -> DataFrame:
+    """One row for each JSON document, with ``key``, the first group that ``name`` matches in the file's name.
+
+    With ``siblings``, documents of another pattern, their columns come with
+    those of the same key; null where there is none.
+    """
+    read = lambda files, kind, regex: spark.read.schema(kind).option("multiLine", True).json(files).withColumn("key", F.regexp_extract(F.col("_metadata.file_name"), regex, 1)) if exists(spark, files) else spark.createDataFrame([], kind).withColumn("key", F.lit(""))
+    rows = read(pattern, schema, name)
+    if siblings is None:
+        return rows
+    return rows.join(read(siblings, sibling_schema, sibling_name), "key", "left")
+
+
+def downstream_documents(spark: SparkSession, structural: DataFrame, scores: str, info: str) -> DataFrame:
+    """The rows of ``structural`` (model, ...) whose model has a document of task scores, with those and its parameter count.
+
+    Score documents: model, scores (a map), synthetic. Info documents:
+    model_id, params (such as 0.5B).
+    """
+    from ..functions.text import parameter_count
+
+    own = spark.read.schema("model string, scores map<string,double>, synthetic boolean").option("multiLine", True).json(scores) if exists(spark, scores) else spark.createDataFrame([], "model string, scores map<string,double>, synthetic boolean")
+    sizes = spark.read.schema("model_id string, params string").option("multiLine", True).json(info) if exists(spark, info) else spark.createDataFrame([], "model_id string, params string")
+    known = sizes.groupBy(F.col("model_id").alias("model")).agg(F.min(parameter_count(F.col("params"))).alias("params"))
+    return structural.join(own, "model").join(known, "model", "left")
+
+
+def configuration(path: str | None = None, variable: str = "STRANDLINE_CONFIG") -> dict:
+    """A configuration file, JSON or, where that package is installed, YAML; ``variable`` names it if ``path`` doesn't. Read by the driver alone."""
+    import json
+    import os
+
+    chosen = path or os.environ.get(variable)
+    if not chosen:
+        raise ValueError(f"no configuration: give a path or set {variable}")
+    with open(chosen, encoding="utf-8") as file:
+        if chosen.endswith((".yaml", ".yml")):
+            import yaml
+
+            return yaml.safe_load(file)
+        return json.load(file)
+
+
+def configured_path(config: dict, name: str, root: str) -> str:
+    """A path of the configuration's ``paths``; relative ones, without a scheme, start from ``root``."""
+    found = str(config["paths"][name])
+    return found if found.startswith("/") or "://" in found else f"{root.rstrip('/')}/{found}"

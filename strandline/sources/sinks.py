@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,17 +17,22 @@ def write_csv(rows: DataFrame, path: str, digits: int | None = None, quote_all:
     (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).option("quoteAll", quote_all).csv(path)
 
 
-def write_document(rows: DataFrame, path: str) -> None:
-    """All rows of a small table as one JSON array."""
+def write_document(rows: DataFrame, path: str, most: int = 100_000) -> None:
+    """All rows of a small table, ``most`` at most, as one JSON array; more is an error."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows")
     rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+_LATEX = {**{c: "\\" + c for c in "&%$#_{}"}, "\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}", "<": r"\textless{}", ">": r"\textgreater{}"}
+
+
 def latex(rows: DataFrame, caption: str, most: int = 200) -> str:
     """A booktabs table of at most ``most`` rows; more is an error."""
     found = rows.take(most + 1)
     if len(found) > most:
         raise ValueError(f"more than {most} rows")
-    escape = lambda x: "".join("\\" + c if c in "&%$#_{}" else c for c in ("--" if x is None else str(x)))
+    escape = lambda x: "".join(_LATEX.get(c, c) for c in ("--" if x is None else str(x)))
     lines = [" & ".join(escape(x) for x in row) + r" \\" for row in [rows.columns, *map(list, found)]]
     return "\n".join([r"\begin{table}", rf"\caption{{{escape(caption)}}}", rf"\begin{{tabular}}{{{'l' * len(rows.columns)}}}", r"\toprule", lines[0], r"\midrule", *lines[1:], r"\bottomrule", r"\end{tabular}", r"\end{table}"])
 
@@ -38,3 +43,44 @@ def markdown(rows: DataFrame, title: str, notice: str = "", most: int = 200) ->
         raise ValueError(f"more than {most} rows")
     line = lambda row: "| " + " | ".join("--" if x is None else str(x) for x in row) + " |"
     return "\n".join([f"## {title}", *([f"> {notice}"] if notice else []), "", line(rows.columns), line(["---"] * len(rows.columns)), *map(line, found)])
+
+
+def report(title: str, notices: list[str], sections: list[tuple[str, DataFrame]]) -> str:
+    """A Markdown document: a title, what must be known of the data, and a table for each section."""
+    return "\n\n".join([f"# {title}", *(f"> {x}" for x in notices), *(markdown(rows, name) for name, rows in sections)]) + "\n"
+
+
+def write_bundle(tables: dict[str, DataFrame], path: str, notices: list[str] | None = None) -> None:
+    """Each table as CSV, LaTeX and Markdown under ``path``, by name, and a report of all."""
+    for name, rows in tables.items():
+        write_csv(rows, f"{path}/{name}.csv", one_file=True)
+        write_text(rows.sparkSession, latex(rows, name.replace("_", " ")), f"{path}/{name}.tex")
+        write_text(rows.sparkSession, markdown(rows, name), f"{path}/{name}.md")
+    if tables:
+        write_text(next(iter(tables.values())).sparkSession, report("Tables", notices or [], list(tables.items())), f"{path}/report.md")
+
+
+def write_text(spark, text: str, path: str) -> None:
+    """One text at a path, in whatever store it is."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_model(model, path: str) -> None:
+    """A fitted text classifier (``fit_text_classifier``) as tables: terms with their weight, coefficients, intercepts."""
+    spark = SparkSession.getActiveSession()
+    labels, terms, idf, fitted = model.stages[0].labels, model.stages[4].vocabulary, model.stages[5].idf.toArray(), model.stages[6]
+    weights, base = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+    spark.createDataFrame([(k, x, float(idf[k])) for k, x in enumerate(terms)], "place int, term string, idf double").write.mode("overwrite").parquet(f"{path}/terms")
+    spark.createDataFrame([(i, k, float(w)) for i, row in enumerate(weights) for k, w in enumerate(row) if w], "label int, place int, weight double").write.mode("overwrite").parquet(f"{path}/weights")
+    spark.createDataFrame([(i, labels[i] if i < len(labels) else "", float(x)) for i, x in enumerate(base)], "label int, name string, intercept double").write.mode("overwrite").parquet(f"{path}/labels")
+
+
+def scored_by_tables(rows: DataFrame, item: str, text: str, path: str) -> DataFrame:
+    """item, name, logit: what a model written by ``write_model`` says of texts, by joins alone."""
+    spark = rows.sparkSession
+    terms, weights, labels = (spark.read.parquet(f"{path}/{x}") for x in ("terms", "weights", "labels"))
+    one = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    two = F.when(F.size("_one") > 1, F.zip_with(F.slice("_one", 1, F.greatest(F.size("_one") - 1, F.lit(1))), F.slice("_one", 2, F.greatest(F.size("_one") - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    counted = rows.select(item, one.alias("_one")).select(item, F.explode(F.concat("_one", two)).alias("term")).groupBy(item, "term").count()
+    sums = counted.join(terms, "term").join(weights, "place").groupBy(item, "label").agg(F.sum(F.col("count") * F.col("idf") * F.col("weight")).alias("sum"))
+    return rows.select(item).join(labels).join(sums, [item, "label"], "left").select(item, "name", (F.col("intercept") + F.coalesce("sum", F.lit(0.0))).alias("logit"))

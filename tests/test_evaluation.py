@@ -114,3 +114,79 @@ def test_no_rows(spark):
     assert evaluation.pass_rates(none).count() == 0
     assert tuple(evaluation.provenance(none, none.withColumn("synthetic", F.lit(True))).head()) == ([], False, False)
     assert [tuple(x) for x in evaluation.graded_by_rule(none, "task", "overlap").collect()] in ([], [(None, 0, 0.0)])
+
+
+def test_profile_of_layers(spark):
+    import numpy as np
+
+    from strandline.operators import latent
+
+    pick = np.random.default_rng(2)
+    rows = [("m", layer, pick.normal(size=3).tolist()) for layer in (0, 1) for _ in range(9)] + [("m", 2, [1.0, 2.0, 3.0])]
+    out = latent.layer_profiles(spark.createDataFrame(rows, "model string, layer long, v array<double>"), "model", "layer", "v").head()
+    want_er, want_pr = [], []
+    for layer in (0, 1):
+        values = np.linalg.eigvalsh(np.cov(np.array([v for _, k, v in rows if k == layer]).T))
+        p = values / values.sum()
+        want_er.append(float(np.exp(-(p * np.log(p)).sum())))
+        want_pr.append(float(values.sum() ** 2 / (values**2).sum()))
+    assert out["er_by_layer"] == pytest.approx([*want_er, 0]) and out["pr_by_layer"] == pytest.approx([*want_pr, 0])
+    assert out["last_er"] == out["last_pr"] == 0 and out["max_pr"] == pytest.approx(max(want_pr))
+
+
+def test_interval_of_a_slope(spark):
+    from strandline.operators import stats
+
+    fits = spark.createDataFrame([(12, 0.5, 0.2), (2, 0.5, 0.2)], "n long, beta double, se double")
+    out = stats.ols_interval(fits).orderBy("n").collect()
+    assert out[0]["low"] is None
+    assert (out[1]["low"], out[1]["high"]) == pytest.approx((0.5 - 2.228139 * 0.2, 0.5 + 2.228139 * 0.2), abs=1e-5)
+
+
+def test_overlap_counts_as_multisets(spark):
+    from collections import Counter
+
+    from strandline.functions.grading import overlap_f1
+
+    rows = [("aab", "abb"), ("", "a"), ("abc", "xyz"), ("ééa", "éa"), ("aaaa", "aa")]
+    out = spark.createDataFrame(rows, "l string, r string").select(overlap_f1(F.split("l", ""), F.split("r", ""))).collect()
+    for (a, b), x in zip(rows, out, strict=True):
+        shared = sum((Counter(a) & Counter(b)).values())
+        if a and b:
+            assert x[0] == pytest.approx(2 * shared / (len(a) + len(b)))
+
+
+def test_bundles_and_documents(spark, tmp_path):
+    import json
+
+    from strandline.sources import files, sinks
+
+    rows = spark.createDataFrame([("a<b", 0.5), ("c\\d~^", None)], "name string, x double")
+    sinks.write_bundle({"one": rows}, str(tmp_path / "out"), ["made up"])
+    text = "\n".join(x["value"] for x in spark.read.text(str(tmp_path / "out/one.tex")).collect())
+    assert r"a\textless{}b" in text and r"c\textbackslash{}d\textasciitilde{}\textasciicircum{}" in text
+    assert "> made up" in "\n".join(x["value"] for x in spark.read.text(str(tmp_path / "out/report.md")).collect())
+    with pytest.raises(ValueError, match="more than 1"):
+        sinks.write_document(rows, str(tmp_path / "doc"), most=1)
+    for name, content in {"struct_a.json": {"model": "m1", "layers": 3}, "struct_b.json": {"model": "m2", "layers": 4}, "info_a.json": {"model_id": "m1", "params": "0.5B"}, "down_a.json": {"model": "m1", "scores": {"t": 0.5}, "synthetic": True}}.items():
+        (tmp_path / name).write_text(json.dumps(content, indent=1))
+    found = files.named_documents(spark, f"{tmp_path}/struct_*.json", "model string, layers int", r"struct_(.*)\.json", f"{tmp_path}/info_*.json", "params string", r"info_(.*)\.json")
+    assert sorted((x["model"], x["params"]) for x in found.collect()) == [("m1", "0.5B"), ("m2", None)]
+    both = files.downstream_documents(spark, found.select("model", "layers"), f"{tmp_path}/down_*.json", f"{tmp_path}/info_*.json").collect()
+    assert [(x["model"], x["scores"], x["params"]) for x in both] == [("m1", {"t": 0.5}, 5e8)]
+    (tmp_path / "conf.json").write_text('{"paths": {"test": "data/test.csv", "abs": "/x", "far": "s3://b/x"}}')
+    conf = files.configuration(str(tmp_path / "conf.json"))
+    assert [files.configured_path(conf, k, "/root/") for k in ("test", "abs", "far")] == ["/root/data/test.csv", "/x", "s3://b/x"]
+
+
+def test_models_as_tables(spark, tmp_path):
+    from strandline.sources import sinks
+
+    train = spark.createDataFrame([(k, f"{w} {o} {k % 3}", w) for w, o in (("red", "one"), ("green", "two"), ("blue", "one")) for k in range(12)], "id long, text string, label string")
+    model = classify.fit_text_classifier(train, "text", "label")
+    sinks.write_model(model, str(tmp_path))
+    texts = spark.createDataFrame([(1, "red one 2"), (2, "Green, two!"), (3, "")], "id long, text string")
+    raw = {x["id"]: list(x["rawPrediction"]) for x in model.transform(texts.withColumn("label", F.lit("red"))).collect()}
+    names = model.stages[0].labels
+    for x in sinks.scored_by_tables(texts, "id", "text", str(tmp_path)).filter("name <> ''").collect():
+        assert x["logit"] == pytest.approx(raw[x["id"]][names.index(x["name"])], abs=1e-6)
