@@ -228,8 +228,8 @@ def gram_costs(counted: DataFrame) -> DataFrame:
     seen, short = counted.filter("n > 0"), []
     for k in range(2):
         # 256 and 65,536 keys at most
-        found = seen.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("key")).agg(F.sum("n").alias("n")).toPandas().sort_values("key")
-        short.append((found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)))
+        found = seen.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("key")).agg(F.sum("n").alias("n")).orderBy("key").toArrow()
+        short.append((found.column("key").to_numpy(), found.column("n").to_numpy()))
     shared = spark.sparkContext.broadcast(short)
 
     def costs(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -288,14 +288,16 @@ def score(docs: DataFrame, most_grams: int = 2_000_000, most_words: int = 250_00
     words = stage(partial.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
     often = at_most(words, most_words)
-    known = words.filter(F.col("n") >= often).toPandas()
-    logs = dict(zip(map(bytes, known["word"]), np.log10(known["n"].to_numpy(float) + 0.1).tolist(), strict=True))
+    known = words.filter(F.col("n") >= often).select("word", "n").toArrow()
+    logs = dict(zip(known.column("word").to_pylist(), np.log10(known.column("n").to_numpy().astype(float) + 0.1).tolist(), strict=True))
     counted = stage(partial.filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     costs = stage(gram_costs(counted), "costs")
     often_gram = at_most(counted.filter("n > 0"), most_grams)
-    found = costs.filter(F.col("n") >= often_gram).select("gram", "cost").toPandas().sort_values("gram")
+    found = costs.filter(F.col("n") >= often_gram).select("gram", "cost").toArrow()
+    order = np.argsort(found.column("gram").to_numpy())
     # at most ``most_words`` words and ``most_grams`` grams
-    shared = spark.sparkContext.broadcast((logs, found["gram"].to_numpy(np.int64), found["cost"].to_numpy(float)))
+    shared = spark.sparkContext.broadcast((logs, found.column("gram").to_numpy()[order], found.column("cost").to_numpy()[order]))
+    del known, logs, found, order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs, often_grams, often_costs = shared.value
