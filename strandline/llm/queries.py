@@ -79,9 +79,75 @@ def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(read(spark, sf_dir, "documents"))
 
 
+def op11_latent_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import held_out
+    from .latent_voting import score
+
+    found = score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), held_out(F.col("doc_id")))
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import fill_in_middle, restored
+
+    made = fill_in_middle(read(spark, sf_dir, "documents"), grammar="character")
+    digest = lambda x: F.sha2(x.cast("binary"), 256)
+    count = lambda x: F.length(x).cast("long")
+    return made.select("doc_id", "n", "form", count("prefix").alias("prefix_chars"), count("middle").alias("middle_chars"), digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_ball_k_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ball_k_means import ball_k_means
+
+    return ball_k_means(read(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
+def fill_in_middle_sql() -> str:
+    """Texts cut by code points; their rebuilt form is the text."""
+    draw = lambda k: f"('0x' || substring(seed, {8 * k + 1}, 8))::BIGINT"
+    return f"""
+        WITH cut AS (
+            SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS seed FROM documents),
+        drawn AS (
+            SELECT *, {draw(0)} % (n + 1) AS x, {draw(1)} % (n + 1) AS y,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {draw(2)} % 100 >= 90 THEN 'plain'
+                    WHEN {draw(3)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM cut),
+        parts AS (
+            SELECT *, substring(t, 1, least(x, y)) AS p, substring(t, least(x, y) + 1, abs(x - y)) AS m, substring(t, greatest(x, y) + 1) AS s FROM drawn)
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+            sha256(t) AS restored_sha256
+        FROM parts"""
+
+
+def k_means_sql(k: int = 40, rounds: int = 5) -> str:
+    """Each round in turn: all distances, the nearest centroid, exact means."""
+    steps = [
+        """kept AS (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"""c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v AS centre FROM kept QUALIFY c < {k})""",
+    ]
+    for t in range(rounds + 1):
+        steps.append(f"""d{t} AS MATERIALIZED (SELECT r, c, list_sum(list_transform(range(1, 65), lambda i: (v[i] - centre[i]) * (v[i] - centre[i])))::BIGINT AS d FROM kept, c{t})""")
+        steps.append(f"""a{t} AS MATERIALIZED (SELECT r, arg_min(c, d::HUGEINT * {k} + c) AS c, min(d) AS d FROM d{t} GROUP BY r)""")
+        if t < rounds:
+            part = "(SELECT c, i, sum(x)::HUGEINT AS s, count(*) AS n FROM (SELECT a.c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM kept JOIN a{0} a USING (r)) GROUP BY c, i)".format(t)
+            mean = "(s - ((s % n) + n) % n) // n"
+            steps.append(f"""c{t + 1} AS MATERIALIZED (
+                SELECT o.c, coalesce(m.centre, o.centre) AS centre FROM c{t} o
+                LEFT JOIN (SELECT c, list(({mean})::BIGINT ORDER BY i) AS centre FROM {part} GROUP BY c) m USING (c))""")
+    return f"""
+        WITH {", ".join(steps)}
+        SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+            sha256(array_to_string(centre, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} USING (c)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_fill_in_middle": fill_in_middle_sql(), "op13_ball_k_means": k_means_sql()}
