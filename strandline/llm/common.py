@@ -18,13 +18,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by the session.
 
-    Only where the session names none (a local session, as in tests) a
-    temporary folder is set for it.
+    Only a local session that names none, as in tests, gets a temporary
+    folder; elsewhere executors would write to their own disks.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir()
     if not isinstance(named, str):
         named = named.get() if named.isDefined() else None
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="strandline-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

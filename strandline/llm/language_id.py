@@ -49,25 +49,28 @@ def loaded(samples: tuple[tuple[str, bytes], ...], level: int, block: int) -> La
     return Languages(dict(samples), level, block)
 
 
-def training_samples(docs: DataFrame, rows: int = 80, chars: int = 1500) -> dict[str, bytes]:
+def training_samples(docs: DataFrame, rows: int = 80, chars: int = 1500, languages: int = 256) -> dict[str, bytes]:
     """Training text for each language of ``docs`` (doc_id, text, lang).
 
-    The sample is bounded: of each language the ``rows`` documents that come
-    first by a hash of their id, ``chars`` characters from the middle of each.
-    Rows without text, letter or language teach nothing. The languages come
-    in the order of their counts over all rows.
+    The sample is bounded: of each of the ``languages`` most common languages
+    the ``rows`` documents that come first by a hash of id and text, ``chars``
+    characters from the middle of each. Rows without text, letter or language
+    teach nothing; a null id is an id like any other. Of rows equal in id, text
+    and language one is taken; an id with several texts has several places.
+    The languages come in the order of their counts over all rows.
     """
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
-    chosen = usable.select("lang", "doc_id").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rows)
-    # at most ``rows`` ids of each language
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64(F.lit(5), "doc_id", "text").alias("place"))
+    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    order = Window.partitionBy("lang").orderBy("place")
+    places = usable.select("lang", "place").distinct().withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rows)
+    # at most ``rows`` places of each language, and one text for each
     text = F.substring("text", F.greatest(F.lit(1), (F.length("text") - chars) / 2).cast("int"), F.lit(chars))
-    found = usable.select("lang", "doc_id", text.alias("text")).join(F.broadcast(chosen.select("lang", "doc_id")), ["lang", "doc_id"], "left_semi").orderBy("lang", F.xxhash64("doc_id", F.lit(5))).collect()
+    chosen = F.broadcast(places.filter(F.col("lang").isin([x["lang"] for x in common])).select("lang", "place"))
+    found = usable.join(chosen, ["lang", "place"], "left_semi").groupBy("lang", "place").agg(F.min(text).alias("text")).orderBy("lang", "place").collect()
     samples: dict[str, list[str]] = {}
     for row in found:
         samples.setdefault(row["lang"], []).append(" ".join(row["text"].lower().split()))
-    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
-    return {x["lang"]: " ".join(samples[x["lang"]]).encode() for x in common if x["lang"] in samples}
+    return {x["lang"]: " ".join(samples[x["lang"]]).encode() for x in common}
 
 
 def verdict(languages: Languages, text: str, margin: float, least: int) -> tuple[str, float, bool]:

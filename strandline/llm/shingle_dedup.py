@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stage, texts
-from .simhash_dedup import components, near_duplicates
+from .simhash_dedup import components, near_duplicates, without
 
 
 def shingles(text: str, size: int = 5) -> np.ndarray:
@@ -137,10 +137,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """The columns and rows of ``docs``, of each component only the row with the least doc_id.
 
     Documents link as in ``near_duplicates`` and, by MinHash keys, at a Jaccard
-    similarity of 0.8 or more of five-word shingles. A repeated doc_id stays once. Rows without
-    doc_id stay as they are.
+    similarity of 0.8 or more of five-word shingles. Rows equal in id and text
+    stay once. An id with several texts names none of them, so its rows all
+    stay, and rows without doc_id stay as they are.
     """
     known = near_duplicates(docs).filter("doc_id > component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     gone = components(links(docs, stage(known, "known"))).filter("root < node").select(F.col("node").alias("doc_id"))
-    named = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    return without(docs, gone)

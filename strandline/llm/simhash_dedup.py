@@ -121,11 +121,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the ids in ``gone``, but for ids that have several texts; of rows equal in id and text one."""
+    named = docs.filter("doc_id is not null")
+    digest = F.xxhash64("text", F.lit(3))
+    forms = named.select("doc_id", digest.alias("digest")).groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.count("*").alias("rows"))
+    repeated = stage(forms.filter("rows > 1").select("doc_id", (F.col("low") < F.col("high")).alias("several")), "repeated")
+    gone = gone.join(repeated.filter("several").select("doc_id"), "doc_id", "left_anti")
+    left = named.join(gone, "doc_id", "left_anti")
+    # only ids that repeat are sorted for equal rows
+    again = left.join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(again).unionByName(docs.filter("doc_id is null"))
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The columns and rows of ``docs``, of each component only the row whose doc_id names it.
 
-    A repeated doc_id stays once. Rows without doc_id stay as they are.
+    Rows equal in id and text stay once. An id with several texts names none of
+    them, so its rows all stay, and rows without doc_id stay as they are.
     """
-    kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    return without(docs, near_duplicates(docs).filter("doc_id > component_id").select("doc_id").distinct())

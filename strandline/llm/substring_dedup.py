@@ -287,22 +287,43 @@ def repeated_ranges(rows: DataFrame, length: int, shard_bytes: int, group_bytes:
 
 
 def passages(data: bytes, cut: Iterable[dict], least_words: int) -> list[list[int]]:
-    """Maximal runs [begin, end] of what is cut, but those with fewer whole words than ``least_words``."""
+    """Maximal runs [begin, end] of what is cut.
+
+    With ``least_words`` a run is first trimmed to the whole words in it, so
+    that no word loses a part, and goes only if it has that many. The blanks
+    before and behind it stay but for those behind, of which none is needed
+    where others stand before: neighbours are still apart.
+    """
     runs: list[list[int]] = []
     for x in sorted((x["begin"], x["end"]) for x in cut):
         if runs and x[0] <= runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], x[1])
         else:
             runs.append(list(x))
-    return [x for x in runs if whole_words(data, *x) >= least_words] if least_words else runs
+    if not least_words:
+        return runs
+    return [x for x in (word_edges(data, *x) for x in runs) if len(data[x[0] : x[1]].split()) >= least_words]
 
 
-def whole_words(data: bytes, begin: int, end: int) -> int:
-    """Words that stand wholly in data[begin:end]."""
-    words = data[begin:end].split()
-    cut_first = begin > 0 and bool(data[begin - 1 : begin].strip()) and bool(data[begin : begin + 1].strip())
-    cut_last = end < len(data) and bool(data[end : end + 1].strip()) and bool(data[end - 1 : end].strip())
-    return max(0, len(words) - cut_first - cut_last)
+def word_edges(data: bytes, begin: int, end: int) -> list[int]:
+    """data[begin:end] without words that stand in it only in part, and without blanks at its start; those behind it go with it.
+
+    A run at the start of a text may end behind its blanks, one at the end
+    leaves those before it.
+    """
+    blank = lambda k: data[k : k + 1].isspace()
+    if 0 < begin < len(data) and not blank(begin - 1):
+        while begin < end and not blank(begin):
+            begin += 1
+    while begin < end and blank(begin):
+        begin += 1
+    if end < len(data) and not blank(end):
+        while end > begin and not blank(end - 1):
+            end -= 1
+    else:
+        while end < len(data) and blank(end):
+            end += 1
+    return [begin, end]
 
 
 def without_repeats(docs: DataFrame, length: int = 400, least_words: int = 0, shard_bytes: int = 3 << 19, group_bytes: int = 1 << 20) -> DataFrame:
@@ -310,8 +331,8 @@ def without_repeats(docs: DataFrame, length: int = 400, least_words: int = 0, sh
 
     A byte goes if a string of ``length`` bytes that covers it starts at
     another place too, in the same row or another; strings are judged on the
-    input. With ``least_words``, maximal runs of fewer whole words stay. A null
-    or short text keeps all it has; a repeated row repeats its text. Columns of
+    input. With ``least_words``, runs are trimmed to whole words, and those of
+    fewer stay; words apart stay apart. A null or short text keeps all it has; a repeated row repeats its text. Columns of
     ``docs`` stay, whatever their names; the new ones come last and replace
     those that have their names.
     """
