@@ -60,17 +60,19 @@ def training_samples(docs: DataFrame, rows: int = 80, chars: int = 1500, languag
     The languages come in the order of their counts over all rows.
     """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64(F.lit(5), "doc_id", "text").alias("place"))
-    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    common = usable.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("place").alias("places")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    # the places below a bound that leaves four times as many as are taken; few rows are sorted
+    bounds = docs.sparkSession.createDataFrame([(x["lang"], (rows + 40) * 4 / x["places"]) for x in common], "lang string, bound double")
+    low = usable.join(F.broadcast(bounds), "lang").filter(F.col("place") / F.lit(2.0**64) + 0.5 <= F.col("bound"))
     order = Window.partitionBy("lang").orderBy("place")
-    places = usable.select("lang", "place").distinct().withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rows)
+    places = low.select("lang", "place").distinct().withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rows)
     # at most ``rows`` places of each language, and one text for each
     text = F.substring("text", F.greatest(F.lit(1), (F.length("text") - chars) / 2).cast("int"), F.lit(chars))
-    chosen = F.broadcast(places.filter(F.col("lang").isin([x["lang"] for x in common])).select("lang", "place"))
-    found = usable.join(chosen, ["lang", "place"], "left_semi").groupBy("lang", "place").agg(F.min(text).alias("text")).orderBy("lang", "place").collect()
+    found = low.join(F.broadcast(places.select("lang", "place")), ["lang", "place"], "left_semi").groupBy("lang", "place").agg(F.min(text).alias("text")).orderBy("lang", "place").collect()
     samples: dict[str, list[str]] = {}
     for row in found:
         samples.setdefault(row["lang"], []).append(" ".join(row["text"].lower().split()))
-    return {x["lang"]: " ".join(samples[x["lang"]]).encode() for x in common}
+    return {x["lang"]: " ".join(samples[x["lang"]]).encode() for x in common if x["lang"] in samples}
 
 
 def verdict(languages: Languages, text: str, margin: float, least: int) -> tuple[str, float, bool]:
