@@ -10,10 +10,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+#: A character that composition may change, or that may change its neighbours: any but ASCII, plain accented Latin
+#: letters, dashes and quotes.
+OPEN = r"[^\x{0000}-\x{007F}\x{00C0}-\x{0131}\x{0134}-\x{013E}\x{0141}-\x{0148}\x{014A}-\x{017E}\x{2013}\x{2014}\x{2018}-\x{201E}]"
+
+
 @F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition; no built-in function does it."""
-    return text.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize("NFKC", x))
+    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
+def composed(text: Column) -> Column:
+    """``nfkc`` where a text has a character that it may change; other texts don't go to Python."""
+    open_ = text.rlike(OPEN)
+    return F.when(open_, nfkc(F.when(open_, text))).otherwise(text)
 
 
 def collapse(text: Column) -> Column:
@@ -24,7 +35,7 @@ def collapse(text: Column) -> Column:
 def clean(text: Column, compose: bool = True) -> Column:
     """Compose, control characters to blanks, curly quotes to straight ones, white space collapsed; null is empty."""
     text = F.coalesce(text, F.lit(""))
-    text = nfkc(text) if compose else text
+    text = composed(text) if compose else text
     text = F.regexp_replace(text, r"[\x{0000}-\x{001F}\x{007F}-\x{009F}]", " ")
     return collapse(F.translate(text, "‘’“”", "''\"\""))
 
@@ -41,7 +52,7 @@ def word_count(text: Column) -> Column:
 
 def validate(text: Column, limit: int = 1000) -> Column:
     """struct(ok, text, reason): a null, blank or wordless message is refused, a long one cut."""
-    cleaned = F.substring(clean(text, False), 1, limit)
+    cleaned = F.substring(clean(text), 1, limit)
     reason = F.when(text.isNull(), "not_text").when(cleaned == "", "empty").when(~cleaned.rlike(r"[\p{L}\p{N}]"), "no_words")
     return F.struct(reason.isNull().alias("ok"), cleaned.alias("text"), reason.alias("reason"))
 

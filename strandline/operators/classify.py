@@ -59,24 +59,36 @@ def calibration_error(bins: DataFrame, total: DataFrame) -> DataFrame:
 
 
 def threshold_curve(predictions: DataFrame, out_of_domain: DataFrame, steps: int = 100) -> DataFrame:
-    """For each threshold: coverage, accuracy of what is accepted (1 if nothing), out-of-domain rows accepted, and their balance.
+    """For each threshold: coverage, accuracy of what is accepted (1 if nothing), out-of-domain rows accepted, and balanced accuracy.
 
-    Rows are counted by the last threshold that accepts them, and a running
-    sum over the grid does the rest; no row meets every threshold.
+    The last is that of accepting a row: right rows should be, wrong and
+    out-of-domain rows should not. Rows are counted by the last threshold that
+    accepts them, and a running sum over the grid does the rest; no row meets
+    every threshold.
     """
-    spark = predictions.sparkSession
     place = F.floor(F.col("confidence") * steps + 1e-9).cast("int")
     inside = predictions.select(place.alias("k"), F.lit(1).alias("i"), (F.col("actual") == F.col("predicted")).cast("int").alias("c"), F.lit(0).alias("o"))
     outside = out_of_domain.select(place.alias("k"), F.lit(0).alias("i"), F.lit(0).alias("c"), F.lit(1).alias("o"))
-    counts = inside.unionByName(outside).groupBy("k").agg(*(F.sum(x).alias(x) for x in "ico"))
-    grid = spark.range(steps + 1).select(F.col("id").cast("int").alias("k"))
-    above, every = Window.orderBy(F.desc("k")), Window.partitionBy()
-    rows = grid.join(counts, "k", "left").na.fill(0)
-    rows = rows.select("k", *(F.sum(x).over(above).alias(x) for x in "ico"), *(F.sum(x).over(every).alias(f"all_{x}") for x in "io"))
-    coverage = F.coalesce(F.try_divide("i", "all_i"), F.lit(0.0))
+    return curves(inside.unionByName(outside).groupBy("k").agg(*(F.sum(x).alias(x) for x in "ico")), steps)
+
+
+def at_or_above(counts: DataFrame, place: str, columns: list[str], steps: int, *by: str) -> DataFrame:
+    """A row for each place from 0 to ``steps``, and class: sums of the columns over the places from it on, and over all (all_...)."""
+    own = counts.groupBy(*by).agg(*(F.collect_list(F.struct(place, *columns)).alias("_x") for _ in "x"), *(F.sum(c).alias(f"all_{c}") for c in columns))
+    upwards = lambda c: F.aggregate(F.filter("_x", lambda x: x[place] >= F.col("_k")), F.lit(0).cast("long"), lambda a, x: a + x[c])
+    rows = own.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+    return rows.select(*by, F.col("_k").alias(place), *(upwards(c).alias(c) for c in columns), *(F.coalesce(f"all_{c}", F.lit(0)).alias(f"all_{c}") for c in columns))
+
+
+def curves(counts: DataFrame, steps: int, *by: str) -> DataFrame:
+    """``threshold_curve`` by class from counts (k, i: rows, c: right ones, o: out-of-domain ones), at most ``steps`` + 1 a class."""
+    rows = at_or_above(counts, "k", ["i", "c", "o"], steps, *by)
+    zero = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
     accuracy = F.coalesce(F.try_divide("c", "i"), F.lit(1.0))
-    accepted = F.coalesce(F.try_divide("o", "all_o"), F.lit(0.0))
-    return rows.select((F.col("k") / steps).alias("threshold"), coverage.alias("coverage"), accuracy.alias("selective_accuracy"), accepted.alias("ood_accept"), ((coverage * accuracy + 1 - accepted) / 2).alias("balanced"))
+    negatives = F.col("all_i") - F.col("all_c") + F.col("all_o")
+    refused = negatives - (F.col("i") - F.col("c")) - F.col("o")
+    balanced = (zero(F.col("c"), F.col("all_c")) + zero(refused, negatives)) / 2
+    return rows.select(*by, (F.col("k") / steps).alias("threshold"), zero(F.col("i"), F.col("all_i")).alias("coverage"), accuracy.alias("selective_accuracy"), zero(F.col("o"), F.col("all_o")).alias("ood_accept"), balanced.alias("balanced"))
 
 
 def pick_threshold(curve: DataFrame, least_coverage: float = 0.9) -> DataFrame:
@@ -85,8 +97,8 @@ def pick_threshold(curve: DataFrame, least_coverage: float = 0.9) -> DataFrame:
 
 
 def emergency_threshold(rates: DataFrame, default: float = 0.5, most: float = 0.02) -> DataFrame:
-    """Lowest threshold up to the default whose false rate is low enough, else the default. rates: threshold, false_rate."""
-    ok = (F.col("threshold") <= default) & (F.col("false_rate") <= most)
+    """Lowest threshold over 0, up to the default, whose false rate is low enough, else the default. rates: threshold, false_rate."""
+    ok = (F.col("threshold") > 0) & (F.col("threshold") <= default) & (F.col("false_rate") <= most)
     return rates.agg(F.coalesce(F.min(F.when(ok, F.col("threshold"))), F.lit(default)).alias("threshold"))
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.prng import uniform
+from .checkpoints import saved
+from .ranks import placed
+from .similarity import greatest_similarity, similar_pairs
+
+__all__ = ["greatest_similarity", "similar_pairs"]
 
 
 def exact_groups(rows: DataFrame, key: str, item: str) -> DataFrame:
@@ -63,6 +67,11 @@ def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
     return F.concat(*each)
 
 
+def hashed_grams(text: Column) -> Column:
+    """``char_grams`` as 64-bit hashes, which are shorter to move."""
+    return F.transform(char_grams(text), lambda x: F.xxhash64(x))
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
@@ -71,12 +80,18 @@ def tfidf(rows: DataFrame, item: str, terms: Column, fitted_on: DataFrame | None
     """item, term, weight: (1 + ln tf) times smooth idf, each item of length one.
 
     ``fitted_on`` has columns term, df and n (as ``frequencies`` gives them)
-    where the weights come from other rows.
+    where the weights come from other rows. Else df is kept, too.
     """
     counted = rows.select(item, F.explode(terms).alias("term")).groupBy(item, "term").agg(F.count("*").alias("tf"))
-    table = frequencies(rows, item, terms) if fitted_on is None else fitted_on
+    table = fitted_on
+    if table is None:
+        # tf is looked at so that both uses of ``counted`` share its exchange
+        df = counted.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+        table = df.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))
     weighed = counted.join(table, "term").withColumn("w", (1 + F.ln("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    return weighed.join(weighed.groupBy(item).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length")), item).select(item, "term", (F.col("w") / F.col("length")).alias("weight"))
+    # a window over one text's terms
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(item)))
+    return weighed.select(item, "term", (F.col("w") / length).alias("weight"), *([] if fitted_on is not None else ["df"]))
 
 
 def frequencies(rows: DataFrame, item: str, terms: Column) -> DataFrame:
@@ -85,52 +100,6 @@ def frequencies(rows: DataFrame, item: str, terms: Column) -> DataFrame:
     return df.crossJoin(F.broadcast(n))
 
 
-def similar_pairs(weights: DataFrame, item: str, least: float, shared: int = 1) -> DataFrame:
-    """a < b, similarity of all pairs with a cosine of ``least`` or more; exact, by prefix filtering.
-
-    An item's terms are ordered from rare to common. If the weights of those
-    after a prefix have a length under ``least``, a similar item must share a
-    term of the prefix. Only prefixes are joined; candidates are then summed.
-    """
-    df = weights.groupBy("term").agg(F.count("*").alias("df"))
-    order = Window.partitionBy(item).orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = weights.join(df, "term").withColumn("rest", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(order)))
-    prefix = ranked.filter(F.col("rest") >= least - 1e-9).filter("df > 1").select(F.col(item).alias("i"), "term")
-    a, b = prefix.withColumnRenamed("i", "a"), prefix.withColumnRenamed("i", "b")
-    candidates = a.join(b, "term").filter("a < b").select("a", "b").distinct()
-    left = weights.select(F.col(item).alias("a"), "term", F.col("weight").alias("wa"))
-    right = weights.select(F.col(item).alias("b"), "term", F.col("weight").alias("wb"))
-    sums = candidates.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
-    return sums.filter(F.col("similarity") >= least - 1e-12)
-
-
-def greatest_similarity(queries: DataFrame, item: str, label: str, others: DataFrame, other_label: str) -> DataFrame:
-    """Of each query: its largest cosine with any of ``others``, and with those of its own label; 0 where no term is shared.
-
-    Both sides: item, label, term, weight.
-    """
-    left = queries.select(item, F.col(label).alias("own"), "term", F.col("weight").alias("wa"))
-    right = others.select(F.col(item).alias("other"), F.col(other_label).alias("theirs"), "term", F.col("weight").alias("wb"))
-    sums = left.join(right, "term").groupBy(item, "own", "other", "theirs").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"))
-    best = sums.groupBy(item).agg(F.max("s").alias("max_any"), F.max(F.when(F.col("own") == F.col("theirs"), F.col("s"))).alias("max_same"))
-    return queries.select(item).distinct().join(best, item, "left").select(item, F.coalesce("max_any", F.lit(0.0)).alias("max_any"), F.coalesce("max_same", F.lit(0.0)).alias("max_same"))
-
-
-def checkpoint_folder(spark) -> None:
-    """See that checkpoints go to the folder that the session names; only a local session without one gets a temporary one."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        named = tempfile.mkdtemp(prefix="strandline-")
-    context.setCheckpointDir(named)
-
-
 def components(nodes: DataFrame, edges: DataFrame, item: str) -> DataFrame:
     """item, component (its least item) of all nodes; edges are (a, b).
 
@@ -138,38 +107,46 @@ def components(nodes: DataFrame, edges: DataFrame, item: str) -> DataFrame:
     label, so rounds grow with the logarithm of the longest path. Each round
     ends in a checkpoint, in the shared folder that the session names.
     """
-    spark = nodes.sparkSession
-    checkpoint_folder(spark)
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     now = nodes.select(F.col(item).alias("node"), F.col(item).alias("label"))
     while True:
         near = both.join(now, both["b"] == now["node"]).groupBy("a").agg(F.min("label").alias("near"))
         step = now.join(near, now["node"] == near["a"], "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("was"))
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        then = step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was").checkpoint()
+        then = saved(step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was"))
         now = then.select("node", "label")
         if not then.filter(F.col("label") != F.col("was")).head(1):
             return now.select(F.col("node").alias(item), F.col("label").alias("component"))
 
 
-def greedy_victims(pairs: DataFrame, component: DataFrame, item: str, original: DataFrame) -> DataFrame:
+def greedy_victims(pairs: DataFrame, item: str, original: DataFrame) -> DataFrame:
     """Items to drop: pairs by falling similarity, the later or non-original of each unless one is gone already. Two originals both stay.
 
-    The order matters only within a component, so each is one small group.
-    ``pairs``: a, b, similarity. ``original``: item, is_original.
+    ``pairs``: a, b, similarity. ``original``: item, is_original. What goes
+    through a pair is known beforehand, so an item goes if the other of one of
+    its pairs is still there when that pair's turn comes. A pair is settled once
+    no open pair before it can take its stayer, and void once a settled one has
+    taken it. Each round settles all such pairs at once; rounds grow with the
+    longest chain of pairs in which each waits for the one before, not with
+    the items of a component.
     """
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        gone: set = set()
-        for row in group.sort_values(["similarity", "a", "b"], ascending=[False, True, True]).itertuples():
-            if row.a not in gone and row.b not in gone and not (row.original_a and row.original_b):
-                gone.add(row.a if row.original_b and not row.original_a else row.b)
-        return pd.DataFrame({item: sorted(gone)})
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    named = pairs.join(component.withColumnRenamed(item, "a"), "a")
+    named = pairs
     for side in ("a", "b"):
         named = named.join(original.select(F.col(item).alias(side), F.col("is_original").alias(f"original_{side}")), side)
-    return named.groupBy("component").applyInPandas(run, f"{item} {kind}")
+    first = F.col("original_b") & ~F.col("original_a")
+    turn = F.struct((-F.col("similarity")).alias("s"), "a", "b")
+    waiting = named.filter("not (original_a and original_b)").select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("stays"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("goes"), turn.alias("turn"))
+    waiting, gone = saved(waiting.distinct()), None
+    while waiting.head(1):
+        earliest = waiting.groupBy(F.col("goes").alias("stays")).agg(F.min("turn").alias("at"))
+        judged = saved(waiting.join(earliest, "stays", "left").withColumn("settled", F.coalesce(F.col("turn") < F.col("at"), F.lit(True))))
+        taken = saved(judged.filter("settled").groupBy("goes").agg(F.min("turn").alias("at")))
+        gone = taken.select(F.col("goes").alias(item)) if gone is None else gone.union(taken.select("goes"))
+        lost = taken.select(F.col("goes").alias("stays"), F.col("at").alias("lost_at"))
+        # void: the stayer is gone before; needless: the goer is gone before
+        rest = judged.filter("not settled").drop("at").join(lost, "stays", "left").join(taken, "goes", "left")
+        waiting = saved(rest.filter((F.col("lost_at").isNull() | (F.col("turn") < F.col("lost_at"))) & (F.col("at").isNull() | (F.col("turn") < F.col("at")))).select("stays", "goes", "turn"))
+    return gone.distinct() if gone is not None else pairs.select(F.col("a").alias(item)).limit(0)
 
 
 def corrected(rows: DataFrame, corrections: DataFrame, key: str, label: str) -> DataFrame:
@@ -191,7 +168,7 @@ def contract_errors(rows: DataFrame, text: str, label: str, allowed: list[str],
     known = F.col("label").isin(allowed)
     rule = lambda df, name: df.select(F.lit(name).alias("check"), "label", F.col("n").cast("long").alias("n"))
     empty = rows.filter(F.coalesce(F.trim(text), F.lit("")) == "").agg(F.lit(None).cast("string").alias("label"), F.count("*").alias("n")).filter("n > 0")
-    again = rows.groupBy(T.dedup_key(F.col(text), False).alias("k")).agg(F.count("*").alias("c")).filter("c > 1").agg(F.lit(None).cast("string").alias("label"), F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("n")).filter("n > 0")
+    again = rows.groupBy(T.dedup_key(F.col(text)).alias("k")).agg(F.count("*").alias("c")).filter("c > 1").agg(F.lit(None).cast("string").alias("label"), F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("n")).filter("n > 0")
     parts = [rule(empty, "empty"), rule(again, "duplicate"), rule(counts.filter(~known), "unknown_label"), rule(names.join(counts, "label", "left_anti").withColumn("n", F.lit(0)), "missing_label"), rule(counts.filter(known & (F.col("n") < least)), "too_few"), rule(counts.filter(known & (F.col("n") > most)), "too_many")]
     out = parts[0]
     for part in parts[1:]:
@@ -213,13 +190,23 @@ def word_statistics(rows: DataFrame, text: str, *by: str) -> DataFrame:
 
 
 def split_exact(rows: DataFrame, item: str, by: str, fractions: list[tuple[str, float]], seed: int = 42) -> DataFrame:
-    """A split in which each class has its exact share: places in a hash order, cut at half-even rounded counts."""
-    ordered = rows.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy(uniform(seed, F.col(item)), item))).withColumn("n", F.count("*").over(Window.partitionBy(by)))
-    cut, edge = F.lit(None).cast("string"), 0.0
-    for name, share in reversed(fractions):
-        edge = sum(s for _, s in fractions[: [x for x, _ in fractions].index(name) + 1])
-        cut = F.when(F.col("k") <= F.bround(F.col("n") * edge), name).otherwise(cut)
-    return ordered.withColumn("split", F.coalesce(cut, F.lit(fractions[-1][0]))).drop("k", "n")
+    """A split in which each class has its exact share: places in a hash order, cut at half-even rounded counts.
+
+    Items get places by ranges of the order; the items at the cuts, a few for
+    each class, then meet the rows, which aren't sorted. Rows of one item are
+    on one side.
+    """
+    edges = [sum(share for _, share in fractions[: k + 1]) for k in range(len(fractions) - 1)]
+    u = uniform(seed, F.col(item))
+    places = placed(rows.select(F.col(by).alias("_class"), F.col(item).alias("_item"), u.alias("_u")), ["_class"], [F.col("_u"), F.col("_item")])
+    at = lambda edge: F.max(F.when(F.col("k") == F.bround(F.col("n") * edge), F.struct("_u", "_item")))
+    cuts = places.groupBy("_class").agg(*(at(edge).alias(f"_cut{k}") for k, edge in enumerate(edges)))
+    joined = rows.join(cuts, F.col(by).eqNullSafe(F.col("_class")))
+    own = F.struct(u.alias("_u"), F.col(item).alias("_item"))
+    side = F.lit(fractions[-1][0])
+    for k in reversed(range(len(edges))):
+        side = F.when(own <= F.col(f"_cut{k}"), fractions[k][0]).otherwise(side)
+    return joined.select(*rows.columns, side.alias("split"))
 
 
 def split_groups(rows: DataFrame, group: str, fractions: list[tuple[str, float]], seed: int = 42) -> DataFrame:
@@ -230,41 +217,8 @@ def split_groups(rows: DataFrame, group: str, fractions: list[tuple[str, float]]
 
 def capped(rows: DataFrame, by: str, most: int, item: str, protected: Column, seed: int = 42) -> DataFrame:
     """At most ``most`` rows of each class where enough of it isn't protected; the others go in a hash order."""
-    window = Window.partitionBy(by).orderBy(protected.desc(), uniform(seed, F.col(item)), item)
-    return rows.withColumn("_k", F.row_number().over(window)).filter((F.col("_k") <= most) | protected).drop("_k")
-
-
-def block_pairs(packed: DataFrame, by: str, item: str, least: float, block: int = 512) -> DataFrame:
-    """a < b of all pairs of a class with a cosine of ``least`` or more, by products of blocks; for long texts, whose prefixes all meet.
-
-    ``packed``: item, by, terms (distinct numbers), weights (of length one).
-    """
-    largest = packed.groupBy(by).count().agg(F.max("count")).head()[0] or 0
-    n = -(-largest // block) or 1
-    kind = packed.schema[item].dataType.simpleString()
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(item)
-        sizes = group["terms"].map(len).to_numpy()
-        row = np.repeat(np.arange(len(group)), sizes)
-        _, term = np.unique(np.concatenate(group["terms"].to_list()), return_inverse=True)
-        order = np.argsort(term, kind="stable")
-        row, term, weight = row[order], term[order], np.concatenate(group["weights"].to_list())[order]
-        # a pair within one block is found where the block meets itself
-        own, one = group["_own"].to_numpy(), group["_i"].iloc[0] == group["_j"].iloc[0]
-        cosine = np.zeros((len(group), len(group)))
-        for low in range(0, int(term[-1]) + 1, 4096):
-            x, y = np.searchsorted(term, [low, low + 4096])
-            part = np.zeros((len(group), 4096))
-            part[row[x:y], term[x:y] - low] = weight[x:y]
-            cosine += part @ part.T
-        a, b = np.nonzero(np.triu(cosine >= least - 1e-12, 1) & (one | (own[:, None] != own[None, :])))
-        items = group[item].to_numpy()
-        return pd.DataFrame({"a": items[a], "b": items[b]})
-
-    own = packed.withColumn("_own", F.pmod(F.xxhash64(item), F.lit(n)).cast("int"))
-    dealt = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_i", F.least("_own", "_o")).withColumn("_j", F.greatest("_own", "_o")).drop("_o")
-    return dealt.groupBy(by, "_i", "_j").applyInPandas(run, f"a {kind}, b {kind}")
+    order = [~F.coalesce(protected, F.lit(False)), uniform(seed, F.col(item)), F.col(item)]
+    return placed(rows.withColumn("_protected", protected), [by], order, "_k", "_n").filter((F.col("_k") <= most) | F.col("_protected")).drop("_k", "_n", "_protected")
 
 
 def linked_within(rows: DataFrame, text: str, by: str, item: str, least: float) -> DataFrame:
@@ -272,12 +226,13 @@ def linked_within(rows: DataFrame, text: str, by: str, item: str, least: float)
 
     Texts that only differ in form have the same grams and are compared once.
     """
-    keyed = rows.select(item, by, T.dedup_key(F.coalesce(text, F.lit("")), False).alias("key"))
-    terms = char_grams(F.col("key"))
+    keyed = rows.select(item, by, T.dedup_key(F.coalesce(text, F.lit(""))).alias("key"))
+    terms = hashed_grams(F.col("key"))
     first = keyed.groupBy(by, "key").agg(F.min(item).alias("first"))
     weights = tfidf(first.select(F.col("first").alias(item), "key"), item, terms, frequencies(keyed, item, terms))
-    packed = weights.groupBy(item).agg(F.collect_list(F.xxhash64("term")).alias("terms"), F.collect_list("weight").alias("weights"))
-    pairs = block_pairs(packed.join(first.select(F.col("first").alias(item), by), item), by, item, least)
+    # a class's terms are its own, so that others don't meet them
+    own = weights.join(first.select(F.col("first").alias(item), by), item).select(item, F.xxhash64(by, "term").alias("term"), "weight")
+    pairs = similar_pairs(own, item, least)
     found = components(first.select(F.col("first").alias(item)), pairs, item)
     named = first.join(found.withColumnRenamed(item, "first"), "first").select(F.col(by).alias("_by"), F.col("key").alias("_key"), "component")
     return keyed.join(named, F.col(by).eqNullSafe(F.col("_by")) & (F.col("key") == F.col("_key"))).select(item, by, "component")

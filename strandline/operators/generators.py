@@ -130,7 +130,7 @@ def unique_utterances(rows: DataFrame, by: str, text: str, n: int, seed: int = 4
     from ..functions.text import dedup_key
     from pyspark.sql import Window
 
-    keyed = rows.withColumn("_key", dedup_key(F.col(text), False))
+    keyed = rows.withColumn("_key", dedup_key(F.col(text)))
     first = keyed.groupBy(by, "_key").agg(F.min(text).alias(text))
     place = F.row_number().over(Window.partitionBy(by).orderBy(uniform(seed, F.col("_key")), "_key"))
     ranked = first.withColumn("_k", place).withColumn("_n", F.count("*").over(Window.partitionBy(by)))

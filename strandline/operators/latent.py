@@ -65,27 +65,42 @@ def sample_size_means(rows: DataFrame, by: list[str], order: str, value: str, si
 def covariance(rows: DataFrame, by: str, vector: str) -> DataFrame:
     """Covariance entries (i <= j) of vectors by group, divisor max(n - 1, 1).
 
-    Each task sums products for its groups, so that what is shuffled is a
-    matrix for each task and group, whatever the number of rows. Sums are
-    taken about the task's first row, which keeps them accurate.
+    Each task keeps count, means and centred products of its groups and merges
+    batches into them; what is shuffled is a matrix for each task and group,
+    whatever the number of rows, and is merged in the same way. No square of a
+    mean is ever taken away, so vectors far from zero lose nothing.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict = {}
+        moments: dict = {}
         for batch in batches:
             for key, group in batch.groupby(by):
                 x = np.stack(group[vector].to_numpy()).astype(float)
-                n, s, p = sums.get(key, (0, 0.0, 0.0))
-                sums[key] = n + len(x), s + x.sum(axis=0), p + x.T @ x
-        for key, (n, s, p) in sums.items():
-            i, j = np.triu_indices(len(s))
-            yield pd.DataFrame({by: key, "i": i, "j": j, "n": n, "si": s[i], "sj": s[j], "p": p[i, j]})
+                mean = x[0] + (x - x[0]).mean(axis=0)
+                own = (len(x), mean, (x - mean).T @ (x - mean))
+                moments[key] = merged(moments[key], own) if key in moments else own
+        for key, (n, mean, products) in moments.items():
+            i, j = np.triu_indices(len(mean))
+            yield pd.DataFrame({by: key, "i": i, "j": j, "n": n, "mi": mean[i], "mj": mean[j], "p": products[i, j]})
 
     kind = rows.schema[by].dataType.simpleString()
-    parts = rows.select(by, vector).dropna().mapInPandas(run, f"{by} {kind}, i int, j int, n long, si double, sj double, p double")
-    total = parts.groupBy(by, "i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "si", "sj", "p")))
-    value = (F.col("p") - F.col("si") * F.col("sj") / F.col("n")) / F.greatest(F.col("n") - 1, F.lit(1))
-    return total.select(by, "i", "j", "n", value.alias("c"))
+    parts = rows.select(by, vector).dropna().mapInPandas(run, f"{by} {kind}, i int, j int, n long, mi double, mj double, p double")
+    # as many entries as there are tasks
+    lists = parts.groupBy(by, "i", "j").agg(F.sort_array(F.collect_list(F.struct("n", "mi", "mj", "p"))).alias("x"))
+
+    def add(a: Column, b: Column) -> Column:
+        n, di, dj = a["n"] + b["n"], b["mi"] - a["mi"], b["mj"] - a["mj"]
+        share = b["n"] / n
+        return F.struct(n.alias("n"), (a["mi"] + di * share).alias("mi"), (a["mj"] + dj * share).alias("mj"), (a["p"] + b["p"] + di * dj * a["n"] * share).alias("p"))
+
+    total = lists.withColumn("t", F.aggregate(F.slice("x", 2, F.greatest(F.size("x") - 1, F.lit(1))), F.element_at("x", 1), add))
+    return total.select(by, "i", "j", F.col("t.n").alias("n"), (F.col("t.p") / F.greatest(F.col("t.n") - 1, F.lit(1))).alias("c"))
+
+
+def merged(a: tuple, b: tuple) -> tuple:
+    """Count, means and centred products of two parts together."""
+    n, apart = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
 
 
 def participation_ratio(cov: DataFrame, by: str) -> DataFrame:

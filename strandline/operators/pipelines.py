@@ -8,31 +8,41 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from . import curation as C
 from . import routing
+from .checkpoints import saved
 
 
-def curated(rows: DataFrame, corrections: DataFrame, most: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Texts (ord, text, label, source) corrected, deduplicated and capped, and the audit: step, rows.
+def curated(rows: DataFrame, corrections: DataFrame, most: int, seed: int = 42, near: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """Texts (ord, text, label, source) corrected, deduplicated, freed of near-duplicates and capped, and the audit: step, rows.
 
-    The first row of a key stays; conflicts are in the audit. Originals are
-    never capped away.
+    The first row of a key stays; conflicts are in the audit. Of two texts
+    with a cosine of ``near`` or more over character grams the later or
+    non-original goes. Originals are never capped away.
     """
-    keyed = rows.withColumn("key", T.dedup_key(F.col("text"), False))
+    keyed = rows.withColumn("key", T.dedup_key(F.col("text")))
     fixed = C.corrected(keyed, corrections, "key", "label")
     first = C.keep_first(fixed, ["key"], "ord")
-    last = C.capped(first, "label", most, "ord", F.col("source") == "original", seed)
+    first = saved(first)
+    own = F.col("source") == "original"
+    pairs = C.similar_pairs(C.tfidf(first, "ord", C.hashed_grams(F.col("text"))), "ord", near)
+    apart = first.join(C.greedy_victims(pairs, "ord", first.select("ord", own.alias("is_original"))), "ord", "left_anti")
+    last = C.capped(apart, "label", most, "ord", own, seed)
     count = lambda name, df: df.agg(F.lit(name).alias("step"), F.count("*").alias("rows"))
-    steps = [count("read", rows), count("conflicts", C.conflict_log(fixed, "key", "label", "ord")), count("first_of_key", first), count("capped", last)]
+    steps = [count("read", rows), count("conflicts", C.conflict_log(fixed, "key", "label", "ord")), count("first_of_key", first), count("near_duplicates", apart), count("capped", last)]
     audit = steps[0]
     for step in steps[1:]:
         audit = audit.unionByName(step)
     return last.select("ord", "text", "label", "source"), audit
 
 
-def cleaned(rows: DataFrame, allowed: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Texts (text, label) with blanks, unknown labels, all rows of conflicting keys and later duplicates dropped, and the report: check, n."""
-    rows = rows.withColumn("ord", F.xxhash64("text", "label"))
+def cleaned(rows: DataFrame, allowed: list[str], order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Texts (text, label) with blanks, unknown labels, all rows of conflicting keys and later duplicates dropped, and the report: check, n.
+
+    The first row of a key by ``order`` stays; without an order, the one of
+    the least hash.
+    """
+    rows = rows.withColumn("ord", F.col(order) if order else F.xxhash64("text", "label"))
     there = rows.filter((F.coalesce(F.trim("text"), F.lit("")) != "") & F.col("label").isNotNull())
-    known = there.filter(F.col("label").isin(allowed)).withColumn("key", T.dedup_key(F.col("text"), False))
+    known = there.filter(F.col("label").isin(allowed)).withColumn("key", T.dedup_key(F.col("text")))
     agreed = C.without_conflicts(known, "key", "label")
     last = agreed.groupBy("key").agg(F.min_by("text", "ord").alias("text"), F.first("label").alias("label"))
     count = lambda name, df: df.agg(F.lit(name).alias("check"), F.count("*").alias("n"))

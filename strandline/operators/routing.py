@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,8 +78,8 @@ def has_keyword(text: Column, keywords: list[str]) -> Column:
     """Whether the cleaned, lower-cased text holds any of the keywords, as substrings; a null text holds none."""
     from ..functions.text import clean
 
-    lowered = F.lower(clean(text, False))
-    return F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(lowered, k)) if keywords else F.lit(False)
+    lowered = F.lower(clean(text))
+    return reduce(or_, (F.contains(lowered, F.lit(k)) for k in keywords), F.lit(False))
 
 
 def single_mood(scores: Column, labels: list[str], least: float = 0.5, neutral: str = "neutral") -> Column:
@@ -107,7 +110,7 @@ def overridden(rows: DataFrame, text: str, urgent: str, keywords: list[str], lea
     """
     from ..functions.text import clean
 
-    blank = clean(F.col(text), False) == ""
+    blank = clean(F.col(text)) == ""
     override = ~blank & has_keyword(F.col(text), keywords) & (F.coalesce(F.col("intent"), F.lit("")) != urgent)
     weak = F.coalesce(F.col("confidence"), F.lit(0.0)) < least
     status = F.when(blank, "empty").when(F.col("safety_override"), "override").when(weak, "low_confidence").otherwise("answered")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -11,25 +12,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.prng import uniform
+from .ranks import running
 
 
-def average_rank(value: str, *by: str) -> Column:
-    """Ranks from 1; equal values get the mean of theirs."""
-    same = Window.partitionBy(*by, value)
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(same) - 1) / 2
+def with_rank(rows: DataFrame, value: str, name: str, *by: str) -> DataFrame:
+    """``rows`` with the rank of a value from 1 in its class; equal values get the mean of theirs.
+
+    Ranks come from how often each value occurs and running sums over ranges
+    of the values, so that no class is sorted by one task.
+    """
+    keys = {c: F.col(c) for c in (*by, value)}
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_t"))
+    ranks = running(counts, list(by), value, "_t")
+    ranks = ranks.select(*(F.col(c).alias(f"_{c}_") for c in keys), (F.col("before") + (F.col("_t") + 1) / 2).alias(name))
+    same = F.lit(True)
+    for c in keys:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}_"))
+    return rows.join(ranks, same).drop(*(f"_{c}_" for c in keys))
 
 
 def spearman(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     """Rank correlation over complete pairs; null below three."""
-    ranked = rows.dropna(subset=[x, y]).withColumn("rx", average_rank(x, *by)).withColumn("ry", average_rank(y, *by))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.corr("rx", "ry")).alias("rho"))
+    ranked = with_rank(with_rank(rows.dropna(subset=[x, y]).select(*by, x, y), x, "_rx", *by), y, "_ry", *by)
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.corr("_rx", "_ry")).alias("rho"))
 
 
 def partial_spearman(rows: DataFrame, x: str, y: str, z: str, *by: str) -> DataFrame:
     """Rank correlation of x and y given z; null below four pairs or without variance."""
-    ranked = rows.dropna(subset=[x, y, z])
+    ranked = rows.dropna(subset=[x, y, z]).select(*by, x, y, z)
     for name in (x, y, z):
-        ranked = ranked.withColumn(f"r_{name}", average_rank(name, *by))
+        ranked = with_rank(ranked, name, f"r_{name}", *by)
     c = lambda a, b: F.corr(f"r_{a}", f"r_{b}")
     sums = ranked.groupBy(*by).agg(F.count("*").alias("n"), c(x, y).alias("xy"), c(x, z).alias("xz"), c(y, z).alias("yz"))
     left = (1 - F.col("xz") * F.col("xz")) * (1 - F.col("yz") * F.col("yz"))
@@ -61,32 +73,53 @@ def paired(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
 
 
 def mann_whitney(rows: DataFrame, value: str, first: Column, *by: str) -> DataFrame:
-    """U of the first group, and the two-sided p of its normal approximation with ties and continuity."""
+    """U of the first group, and its two-sided p: exact for small samples without ties, else normal, with ties and continuity.
+
+    Small: ``FEW`` values at most in either sample, and as many pairs at most
+    as ``PAIRS``.
+    """
     base = rows.dropna(subset=[value]).withColumn("first", first)
-    # a row for each value first, so that ranks are windows over values
     counts = base.groupBy(*by, value).agg(F.count("*").alias("t"), F.count_if("first").alias("t1"))
-    below = F.coalesce(F.sum("t").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("rank", below + (F.col("t") + 1) / 2)
+    ranked = running(counts, list(by), value, "t").withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
     sums = ranked.groupBy(*by).agg(F.sum("t").alias("n"), F.sum("t1").alias("n1"), F.sum(F.col("rank") * F.col("t1")).alias("r1"), F.sum(F.pow(F.col("t").cast("double"), F.lit(3)) - F.col("t")).alias("ties"))
     n1, n = F.col("n1").cast("double"), F.col("n").cast("double")
     u = F.col("r1") - n1 * (n1 + 1) / 2
     deviation = F.sqrt(n1 * (n - n1) / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
     z = F.try_divide(F.greatest(F.abs(u - n1 * (n - n1) / 2) - 0.5, F.lit(0.0)), deviation)
-    return sums.select(*by, "n1", (F.col("n") - F.col("n1")).alias("n2"), u.alias("u"), two_sided(z).alias("p"))
+    return sums.select(*by, "n1", (F.col("n") - F.col("n1")).alias("n2"), u.alias("u"), rank_sum_p(u, F.col("n1"), F.col("n") - F.col("n1"), F.col("ties"), z).alias("p"))
+
+
+FEW, PAIRS = 8, 10_000
 
 
 @F.pandas_udf(DoubleType())
-def two_sided(z: pd.Series) -> pd.Series:
-    """Two-sided p of a normal deviate."""
-    return z.map(lambda x: None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2)))
+def rank_sum_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series, z: pd.Series) -> pd.Series:
+    def one(u: float, a: int, b: int, ties: float, z: float) -> float | None:
+        if not ties and 0 < min(a, b) <= FEW and a * b <= PAIRS:
+            ways = ways_of_u(min(a, b), max(a, b))
+            tail = ways[int(max(u, a * b - u)) :].sum() / ways.sum()
+            return float(min(1.0, 2 * tail))
+        return None if pd.isna(z) else math.erfc(abs(z) / math.sqrt(2))
+
+    return pd.Series([one(*x) for x in zip(u, n1, n2, ties, z, strict=True)], dtype=float)
+
+
+@lru_cache(maxsize=256)
+def ways_of_u(few: int, many: int) -> np.ndarray:
+    """How many orders of two samples have each U: sums of ``few`` numbers from 0 to ``many`` in ascending order."""
+    ways = np.zeros((few + 1, few * many + 1))
+    ways[0, 0] = 1
+    for size in range(1, many + 1):
+        for k in range(1, few + 1):
+            ways[k, size:] += ways[k - 1, :-size]
+    return ways.sum(axis=0)
 
 
 def wilcoxon(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     """Signed-rank W (the smaller sum) over non-zero differences, and its two-sided p: exact up to 25 without ties, else normal."""
     diff = rows.dropna(subset=[x, y]).withColumn("diff", F.col(x) - F.col(y)).filter(F.abs("diff") > 1e-12).withColumn("size", F.abs("diff"))
     counts = diff.groupBy(*by, "size").agg(F.count("*").alias("t"), F.count_if(F.col("diff") > 0).alias("t1"))
-    below = F.coalesce(F.sum("t").over(Window.partitionBy(*by).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("rank", below + (F.col("t") + 1) / 2)
+    ranked = running(counts, list(by), "size", "t").withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
     sums = ranked.groupBy(*by).agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("t1")).alias("plus"), F.sum(F.col("rank") * (F.col("t") - F.col("t1"))).alias("minus"), F.sum(F.pow(F.col("t").cast("double"), F.lit(3)) - F.col("t")).alias("ties"))
     w = F.least("plus", "minus")
     return sums.select(*by, "n", F.when(F.col("n") >= 2, w).alias("w"), F.when(F.col("n") >= 2, signed_rank_p(w, F.col("n"), F.col("ties"))).alias("p"))

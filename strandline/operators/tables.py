@@ -42,9 +42,10 @@ def association(scores: DataFrame, given: str | None = None) -> DataFrame:
     return S.adjusted(rows.withColumn("_all", F.lit(1)).withColumn("_key", F.concat_ws("|", "metric", "task")), "p", "_key", "_all").drop("_all", "_key")
 
 
-def best_predictors(table: DataFrame) -> DataFrame:
-    """The metric of the largest absolute correlation with each task, the first by name of equals; ``--`` if none has one."""
-    order = Window.partitionBy("task").orderBy(F.abs("rho").desc_nulls_last(), "metric")
+def best_predictors(table: DataFrame, metrics: tuple[str, ...] = ("SRS", "CFS", "DFBS")) -> DataFrame:
+    """The metric of the largest absolute correlation with each task; ``--`` if none has one. Of equals the first of ``metrics``, then by name."""
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, metrics)), F.col("metric")), F.lit(0)), F.lit(len(metrics) + 1))
+    order = Window.partitionBy("task").orderBy(F.abs("rho").desc_nulls_last(), place, "metric")
     best = table.withColumn("k", F.row_number().over(order)).filter("k = 1")
     return best.select("task", F.when(F.col("rho").isNull(), "--").otherwise(F.col("metric")).alias("metric"), "rho")
 

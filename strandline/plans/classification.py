@@ -77,9 +77,9 @@ def calibration_error(spark, sf_dir):
 
 
 _CURVE = f"""{_SQL}, k AS (SELECT CAST(floor(confidence * 100 + 1e-9) AS INTEGER) AS k, actual = predicted AS ok, actual = 9 AS ood FROM pred), g AS (SELECT CAST(g AS INTEGER) AS t FROM range(101) t(g)),
-x AS (SELECT t, count(*) FILTER (k >= t AND NOT ood) AS i, count(*) FILTER (k >= t AND NOT ood AND ok) AS c, count(*) FILTER (k >= t AND ood) AS o, count(*) FILTER (NOT ood) AS ni, count(*) FILTER (ood) AS no FROM g, k GROUP BY t),
-curve AS (SELECT t / 100 AS threshold, CASE WHEN ni = 0 THEN 0 ELSE i / ni END AS coverage, CASE WHEN i = 0 THEN 1.0 ELSE c / i END AS selective_accuracy, CASE WHEN no = 0 THEN 0 ELSE o / no END AS ood_accept FROM x),
-full_curve AS (SELECT *, (coverage * selective_accuracy + 1 - ood_accept) / 2 AS balanced FROM curve)"""
+x AS (SELECT t, count(*) FILTER (k >= t AND NOT ood) AS i, count(*) FILTER (k >= t AND NOT ood AND ok) AS c, count(*) FILTER (k >= t AND ood) AS o, count(*) FILTER (NOT ood) AS ni, count(*) FILTER (NOT ood AND ok) AS nc, count(*) FILTER (ood) AS no FROM g, k GROUP BY t),
+curve AS (SELECT CASE WHEN nc = 0 THEN 0 ELSE c / nc END AS tpr, CASE WHEN ni - nc + no = 0 THEN 0 ELSE ((ni - nc) - (i - c) + no - o) / (ni - nc + no) END AS tnr, t / 100 AS threshold, CASE WHEN ni = 0 THEN 0 ELSE i / ni END AS coverage, CASE WHEN i = 0 THEN 1.0 ELSE c / i END AS selective_accuracy, CASE WHEN no = 0 THEN 0 ELSE o / no END AS ood_accept FROM x),
+full_curve AS (SELECT *, (tpr + tnr) / 2 AS balanced FROM curve)"""
 
 
 def _curve(spark, sf_dir):
@@ -100,7 +100,7 @@ def pick_threshold(spark, sf_dir):
     return C.pick_threshold(_curve(spark, sf_dir)).select(*(F.round(c, 8).alias(c) for c in _COLUMNS))
 
 
-@query(f"WITH {_CURVE} SELECT round(coalesce(min(threshold) FILTER (threshold <= 0.5 AND ood_accept <= 0.02), 0.5), 8) AS threshold FROM full_curve")
+@query(f"WITH {_CURVE} SELECT round(coalesce(min(threshold) FILTER (threshold > 0 AND threshold <= 0.5 AND ood_accept <= 0.02), 0.5), 8) AS threshold FROM full_curve")
 def emergency_threshold(spark, sf_dir):
     return C.emergency_threshold(_curve(spark, sf_dir).withColumnRenamed("ood_accept", "false_rate")).select(F.round("threshold", 8).alias("threshold"))
 

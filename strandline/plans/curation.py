@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.prng import uniform_sql
 from ..operators import curation as C
+from ..operators.checkpoints import saved
 from .registry import query, table
 from .robust import _KEY
 
 
+def keyed(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.md5(T.dedup_key(F.col("text"))).alias("key"))
+
+
 def labelled(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.md5(T.dedup_key(F.col("text"), False)).alias("key"))
-    return rows.join(table(spark, sf_dir, "labels"), "doc_id")
+    """Documents that have a quality label, which is what is looked at."""
+    return keyed(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
 
 
+_ALL = f"d AS (SELECT doc_id, text, lang, source, md5({_KEY}) AS key FROM documents)"
 _LAB = f"d AS (SELECT doc_id, text, lang, source, md5({_KEY}) AS key, quality FROM documents JOIN labels USING (doc_id))"
 
 
@@ -26,18 +32,18 @@ def exact_dups(spark, sf_dir):
 
 @query(f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5({_KEY})")
 def keep_first(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5(T.dedup_key(F.col("text"), False)).alias("key"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5(T.dedup_key(F.col("text"))).alias("key"))
     return C.keep_first(rows, ["key"], "doc_id").select("doc_id")
 
 
-@query(f"WITH {_LAB} SELECT key, count(*) AS n FROM d GROUP BY key HAVING count(DISTINCT source) > 1")
+@query(f"WITH {_ALL} SELECT key, count(*) AS n FROM d GROUP BY key HAVING count(DISTINCT source) > 1")
 def label_conflicts(spark, sf_dir):
-    return C.conflicting_keys(labelled(spark, sf_dir), "key", "source")
+    return C.conflicting_keys(keyed(spark, sf_dir), "key", "source")
 
 
-@query(f"WITH {_LAB}, f AS (SELECT key, arg_min(source, doc_id) AS kept_label, min(doc_id) AS kept FROM d GROUP BY key) SELECT doc_id, key, source, kept, kept_label FROM d JOIN f USING (key) WHERE source <> kept_label")
+@query(f"WITH {_ALL}, f AS (SELECT key, arg_min(source, doc_id) AS kept_label, min(doc_id) AS kept FROM d GROUP BY key) SELECT doc_id, key, source, kept, kept_label FROM d JOIN f USING (key) WHERE source <> kept_label")
 def conflict_log(spark, sf_dir):
-    return C.conflict_log(labelled(spark, sf_dir), "key", "source", "doc_id")
+    return C.conflict_log(keyed(spark, sf_dir), "key", "source", "doc_id")
 
 
 @query(f"""WITH {_LAB}, bad AS (SELECT key FROM d GROUP BY key HAVING count(DISTINCT quality) > 1), g AS (SELECT key, count(*) AS n, count(DISTINCT (text, quality)) AS forms FROM d WHERE key NOT IN (FROM bad) GROUP BY key)
@@ -61,29 +67,51 @@ def similar_benchmark_items(spark, sf_dir):
     return C.similar_pairs(_benchmark_weights(spark, sf_dir), "item_id", 0.2).withColumn("similarity", F.round("similarity", 8))
 
 
-def _short_texts(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return turns.filter("text is not null")
+def _forms(spark, sf_dir):
+    """Of each text that differs by more than its form the first document."""
+    return keyed(spark, sf_dir).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.coalesce("text", F.lit("")), "doc_id").alias("text"))
 
 
-@query()
+def _near(spark, sf_dir):
+    forms = saved(_forms(spark, sf_dir).select("doc_id", "text"))
+    return C.similar_pairs(C.tfidf(forms, "doc_id", C.hashed_grams(F.col("text"))), "doc_id", 0.90)
+
+
+def _edges(spark, sf_dir):
+    """Near-duplicates, and each other document of a form with its first."""
+    rows = keyed(spark, sf_dir).select("doc_id", "key")
+    copies = rows.join(rows.groupBy("key").agg(F.min("doc_id").alias("a")), "key").filter("doc_id > a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity"))
+    return _near(spark, sf_dir).unionByName(copies)
+
+
+def _gram_sql(n):
+    each = f"list_transform(range(1, greatest(length(w) - {n - 1}, 1) + 1), lambda i: substring(w, i, {n}))"
+    return each if n == 3 else f"CASE WHEN length(w) >= {n} THEN {each} ELSE [] END"
+
+
+_GRAMS = f"""k AS (SELECT doc_id, coalesce(text, '') AS text, {_KEY} AS key FROM documents), docs AS (SELECT min(doc_id) AS id, arg_min(text, doc_id) AS text FROM k GROUP BY key),
+v0 AS (SELECT id, list_transform(list_filter(string_split(trim(regexp_replace(lower(text), '[\\s\\x{{A0}}]+', ' ', 'g')), ' '), lambda w: w <> ''), lambda w: ' ' || w || ' ') AS words FROM docs),
+t AS (SELECT id, unnest(flatten(list_transform(words, lambda w: flatten([{', '.join(_gram_sql(n) for n in (3, 4, 5))}])))) AS term FROM v0),
+tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), {_NORM}, g AS (SELECT v.id, term, v.w FROM v JOIN df USING (term) WHERE df > 1),
+near AS (SELECT x.id AS a, y.id AS b, sum(x.w * y.w) AS s FROM g x JOIN g y ON x.term = y.term AND x.id < y.id GROUP BY ALL HAVING sum(x.w * y.w) >= 0.9 - 1e-12)"""
+
+
+@query(f"WITH {_GRAMS} SELECT a, b, round(s, 8) AS similarity FROM near")
 def near_dups(spark, sf_dir):
-    weights = C.tfidf(_short_texts(spark, sf_dir), "id", C.char_grams(F.col("text")))
-    return C.similar_pairs(weights, "id", 0.90).withColumn("similarity", F.round("similarity", 8))
+    return _near(spark, sf_dir).withColumn("similarity", F.round("similarity", 8))
 
 
-@query(f"""WITH RECURSIVE {_NEAR}, e AS (SELECT a, b FROM pairs WHERE s >= 0.2 UNION SELECT b, a FROM pairs WHERE s >= 0.2), r(node, seen) AS (SELECT item_id, item_id FROM benchmark UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen)
-SELECT node AS item_id, min(seen) AS component FROM r GROUP BY node""")
+@query(f"""WITH RECURSIVE {_GRAMS}, f AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key), o AS (SELECT a, b FROM near UNION ALL SELECT first, doc_id FROM k JOIN f USING (key) WHERE doc_id > first),
+e AS (SELECT a, b FROM o UNION SELECT b, a FROM o), r(node, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen)
+SELECT node AS doc_id, min(seen) AS component FROM r GROUP BY node""")
 def dup_components(spark, sf_dir):
-    pairs = C.similar_pairs(_benchmark_weights(spark, sf_dir), "item_id", 0.2)
-    return C.components(table(spark, sf_dir, "benchmark").select("item_id"), pairs, "item_id")
+    return C.components(table(spark, sf_dir, "documents").select("doc_id"), _edges(spark, sf_dir), "doc_id")
 
 
 @query()
 def near_dup_victims(spark, sf_dir):
-    pairs = C.similar_pairs(_benchmark_weights(spark, sf_dir), "item_id", 0.2)
-    nodes = table(spark, sf_dir, "benchmark").select("item_id")
-    return C.greedy_victims(pairs, C.components(nodes, pairs, "item_id"), "item_id", nodes.withColumn("is_original", F.col("item_id") % 2 == 0))
+    nodes = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 2 == 0).alias("is_original"))
+    return C.greedy_victims(_edges(spark, sf_dir), "doc_id", nodes)
 
 
 _LEAK = f"""docs AS (SELECT doc_id AS id, text FROM documents), t AS (SELECT id, unnest({_WORDS('text')}) AS term FROM docs), tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), {_NORM},
@@ -190,4 +218,4 @@ SELECT 'read' AS "check", count(*) AS n FROM r UNION ALL SELECT 'with_values', c
 def cleaning_report(spark, sf_dir):
     from ..operators.pipelines import cleaned
 
-    return cleaned(labelled(spark, sf_dir).select("text", F.col("quality").cast("string").alias("label")), ["0", "1"])[1]
+    return cleaned(labelled(spark, sf_dir).select("doc_id", "text", F.col("quality").cast("string").alias("label")), ["0", "1"], "doc_id")[1]

@@ -65,13 +65,13 @@ _KEY = rf"trim(regexp_replace(regexp_replace(lower({_CLEAN}), '[^\p{{L}}\p{{M}}\
 
 @query(f"SELECT doc_id, md5({_CLEAN}) AS clean_md5, CAST(length({_CLEAN}) AS BIGINT) AS n_chars FROM documents")
 def text_clean(spark, sf_dir):
-    text = T.clean(F.col("text"), compose=False)
+    text = T.clean(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text).alias("clean_md5"), F.length(text).cast("long").alias("n_chars"))
 
 
 @query(f"SELECT doc_id, md5({_KEY}) AS key_md5 FROM documents")
 def dedup_key(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.dedup_key(F.col("text"), compose=False)).alias("key_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.dedup_key(F.col("text"))).alias("key_md5"))
 
 
 @query()

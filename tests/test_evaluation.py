@@ -42,9 +42,8 @@ def test_greedy_victims(spark):
     """Two originals stay; an original wins; else the earlier row; a row that is gone removes nothing."""
     pairs = spark.createDataFrame([(1, 2, 0.99), (2, 3, 0.98), (3, 4, 0.97), (4, 5, 0.96), (5, 6, 0.95), (8, 9, 0.9)], "a long, b long, similarity double")
     original = {1: True, 2: True, 3: False, 4: True, 5: False, 6: False, 8: False, 9: True}
-    group = spark.createDataFrame([(k, 1 if k < 7 else 8) for k in original], "id long, component long")
     kinds = spark.createDataFrame(list(original.items()), "id long, is_original boolean")
-    assert sorted(x["id"] for x in curation.greedy_victims(pairs, group, "id", kinds).collect()) == [3, 5, 8]
+    assert sorted(x["id"] for x in curation.greedy_victims(pairs, "id", kinds).collect()) == [3, 5, 8]
 
 
 PREDICTIONS = [(1, "a", "a", 0.9, 0.9, False), (2, "a", "b", 0.8, 0.1, False), (3, "b", "b", 0.3, 0.2, False), (4, "b", "a", 0.4, 0.7, False), (5, "x", "a", 0.95, 0.95, True), (6, "x", "b", 0.2, 0.0, True)]

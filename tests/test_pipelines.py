@@ -12,7 +12,7 @@ def test_curated(spark):
     fixes = spark.createDataFrame([("later", "b", "c")], "key string, old string, new string")
     out, audit = pipelines.curated(rows, fixes, 1)
     assert {tuple(x)[:3:2] for x in out.collect()} == {(1, "a"), (3, "b"), (6, "c")}
-    assert {x["step"]: x["rows"] for x in audit.collect()} == {"read": 6, "conflicts": 1, "first_of_key": 4, "capped": 3}
+    assert {x["step"]: x["rows"] for x in audit.collect()} == {"read": 6, "conflicts": 1, "first_of_key": 4, "near_duplicates": 4, "capped": 3}
 
 
 def test_cleaned(spark):
