@@ -5,8 +5,6 @@ Observations: level (0 is the baseline), sample, and a value.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -40,46 +38,56 @@ def level_means(rows: DataFrame, value: str = "value") -> DataFrame:
     return sums.join(F.broadcast(base), how="left").select("level", "n", "mean", ((F.col("mean") - F.col("mean0")) / F.col("sd0")).alias("z"))
 
 
-def bootstrap_levels(pairs: DataFrame, replicates: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """level, n, mean difference to the baseline, and its percentile interval.
+def bootstrap_levels(pairs: DataFrame, replicates: int = 2000, alpha: float = 0.05, seed: int = 0, cell_rows: int = 2048) -> DataFrame:
+    """level, n, mean difference to the baseline, and its percentile interval over resamples of the level's pairs.
 
-    Poisson weights by sample and replicate stand in for drawing with
-    replacement: each task sums its rows under all replicates at once, so any
-    number of pairs costs one row for each task and level.
+    Each replicate draws as many pairs as there are, with replacement. Pairs
+    are dealt to cells by a hash of their sample, about ``cell_rows`` to each;
+    how many draws fall into each cell is multinomial, and a cell's task then
+    draws its own pairs. Draws come from counters of seed, level and cell, and
+    a cell's pairs are sorted, so results are the same on any partitioning.
+    A level has 4,096 cells at most, so from eight million pairs on they grow.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict = {}
-        for batch in batches:
-            diff = (batch["value"] - batch["base"]).to_numpy(float)
-            keys = batch["key"].to_numpy(np.int64).view(np.uint64)
-            for at in range(0, len(batch), 2048):
-                part = slice(at, at + 2048)
-                weight = poisson_weights(keys[part], replicates, seed)
-                for level in np.unique(batch["level"].to_numpy()[part]):
-                    own = batch["level"].to_numpy()[part] == level
-                    n, total, w, s = sums.get(level, (0, 0.0, 0.0, 0.0))
-                    sums[level] = n + int(own.sum()), total + diff[part][own].sum(), w + weight[own].sum(axis=0), s + diff[part][own] @ weight[own]
-        for level, (n, total, w, s) in sums.items():
-            yield pd.DataFrame({"level": [level], "n": [n], "total": [total], "w": [w], "s": [s]})
-
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        w, s = np.sum(np.stack(group["w"]), axis=0), np.sum(np.stack(group["s"]), axis=0)
-        low, high = np.quantile(s[w > 0] / w[w > 0], [alpha / 2, 1 - alpha / 2])
-        return pd.DataFrame({"level": [group["level"].iloc[0]], "n": [group["n"].sum()], "diff": [group["total"].sum() / group["n"].sum()], "low": [low], "high": [high]})
-
-    keyed = pairs.dropna(subset=["value", "base"]).select(F.col("level").cast("long").alias("level"), "value", "base", F.xxhash64("sample").alias("key"))
-    parts = keyed.mapInPandas(run, "level long, n long, total double, w array<double>, s array<double>")
-    return parts.groupBy("level").applyInPandas(join, "level long, n long, diff double, low double, high double")
-
-
-def poisson_weights(keys: np.ndarray, replicates: int, seed: int) -> np.ndarray:
-    """Poisson(1) counts that depend on the key, the replicate and the seed alone."""
-    x = keys[:, None] + (np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))[None, :]
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53
-    return np.searchsorted(np.cumsum(np.exp(-1) / np.array([1, 1, 2, 6, 24, 120, 720, 5040, 40320.0])), u).astype(float)
+    rows = pairs.dropna(subset=["value", "base"]).select(F.col("level").cast("long").alias("level"), F.xxhash64("sample").alias("key"), (F.col("value") - F.col("base")).cast("double").alias("diff"))
+    sizes = rows.groupBy("level").agg(F.count("*").alias("size"))
+    cells = F.least(F.lit(4096), F.greatest(F.lit(1), F.ceil(F.col("size") / cell_rows))).cast("int")
+    dealt = rows.join(sizes.select("level", cells.alias("cells")), "level").withColumn("cell", F.pmod(F.col("key"), F.col("cells")).cast("int"))
+
+    def shares(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("cell")
+        n = group["n"].to_numpy()
+        draws = generator(seed, int(group["level"].iloc[0]), -1).multinomial(n.sum(), n / n.sum(), size=replicates)
+        return pd.DataFrame({"level": group["level"], "cell": group["cell"], "draws": list(draws.T.astype(np.int64))})
+
+    def drawn(group: pd.DataFrame, share: pd.DataFrame) -> pd.DataFrame:
+        diff = group.sort_values(["key", "diff"])["diff"].to_numpy()
+        draws = np.asarray(share["draws"].iloc[0])
+        random = generator(seed, int(group["level"].iloc[0]), int(group["cell"].iloc[0]))
+        sums = np.zeros(len(draws))
+        step = max(1, (1 << 22) // max(1, int(draws.max())))
+        for at in range(0, len(draws), step):
+            part = draws[at : at + step]
+            some = np.append(diff[random.integers(0, len(diff), part.sum())], 0.0)
+            total = np.add.reduceat(some, np.minimum(np.cumsum(part) - part, len(some) - 1))
+            sums[at : at + step] = np.where(part > 0, total, 0.0)
+        return pd.DataFrame({"level": [group["level"].iloc[0]], "cell": [group["cell"].iloc[0]], "n": [len(diff)], "total": [diff.sum()], "drawn": [draws], "sums": [sums]})
+
+    def joined(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("cell")
+        n, drawn = group["n"].sum(), np.sum(np.stack(group["drawn"]), axis=0)
+        low, high = np.quantile(np.sum(np.stack(group["sums"]), axis=0) / n, [alpha / 2, 1 - alpha / 2])
+        return pd.DataFrame({"level": [group["level"].iloc[0]], "n": [n], "diff": [group["total"].sum() / n], "low": [low], "high": [high], "drawn": [[drawn.min(), drawn.max()]]})
+
+    # a row for each cell of a level
+    share = dealt.groupBy("level", "cell").agg(F.count("*").alias("n")).groupBy("level").applyInPandas(shares, "level long, cell int, draws array<long>")
+    keys = ["level", "cell"]
+    parts = dealt.groupBy(*keys).cogroup(share.groupBy(*keys)).applyInPandas(drawn, "level long, cell int, n long, total double, drawn array<long>, sums array<double>")
+    return parts.groupBy("level").applyInPandas(joined, "level long, n long, diff double, low double, high double, drawn array<long>")
+
+
+def generator(seed: int, *counter: int) -> np.random.Generator:
+    """Random numbers that depend on the seed and the counters alone."""
+    return np.random.Generator(np.random.Philox(np.random.SeedSequence([seed & 0xFFFFFFFFFFFFFFFF, *(x & 0xFFFFFFFFFFFFFFFF for x in counter)])))
 
 
 def detection_level(intervals: DataFrame, direction: str) -> DataFrame:

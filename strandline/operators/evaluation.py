@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import classify as C
+from .checkpoints import saved
 
 
 def share(condition: Column, among: Column | None = None) -> Column:
@@ -91,16 +92,162 @@ def grid_search(train: DataFrame, validation: DataFrame, text: str, label: str,
     return spark.createDataFrame(rows, "strength double, f1 double")
 
 
-def calibration_bundle(predictions: DataFrame, outside: str, steps: int = 100, least_coverage: float = 0.9) -> dict[str, DataFrame]:
-    """Curve, picked threshold, error of calibration, and the emergency threshold of predictions with in-domain rows and others."""
+def evaluation_cells(predictions: DataFrame, *by: str, steps: int = 100, bins: int = 10) -> DataFrame:
+    """Counts from which all rates of an evaluation come, in one pass.
+
+    ``predictions``: outside, actual, predicted, confidence, p_label (the
+    watched class's probability) and, for calibration before and after,
+    raw_confidence. A cell has the last thresholds (``k``, ``w``) that its
+    confidence and probability reach, its bins (lo, hi] (null for a
+    confidence of 0), the labels, n and the confidences' sums.
+    """
+    rows = predictions if "raw_confidence" in predictions.columns else predictions.withColumn("raw_confidence", F.col("confidence"))
+    place = lambda c: F.floor(F.col(c) * steps + 1e-9).cast("int")
+    bin_ = lambda c: F.when(F.col(c) > 0, F.ceil(F.col(c) * bins).cast("int") - 1)
+    keys = [place("confidence").alias("k"), place("p_label").alias("w"), bin_("confidence").alias("bin"), bin_("raw_confidence").alias("raw_bin")]
+    return rows.groupBy(*by, "outside", "actual", "predicted", *keys).agg(F.count("*").alias("n"), F.sum("confidence").alias("s"), F.sum("raw_confidence").alias("raw_s"))
+
+
+def _counted(condition: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+
+def _right() -> Column:
+    return F.col("actual") == F.col("predicted")
+
+
+def picked_thresholds(cells: DataFrame, *by: str, steps: int = 100, least_coverage: float = 0.9) -> DataFrame:
+    """by, threshold: ``classify.pick_threshold`` of each class of cells."""
+    inside = ~F.col("outside")
+    counts = cells.groupBy(*by, "k").agg(_counted(inside).alias("i"), _counted(inside & _right()).alias("c"), _counted(~inside).alias("o"))
+    best = F.max(F.struct((F.col("coverage") >= least_coverage).alias("enough"), F.round("balanced", 6).alias("balanced"), "coverage", (-F.col("threshold")).alias("less")))
+    return C.curves(counts, steps, *by).groupBy(*by).agg(best.alias("x")).select(*by, (-F.col("x.less")).alias("threshold"))
+
+
+def watched_thresholds(cells: DataFrame, label: Column, default: DataFrame, *by: str, steps: int = 100, most: float = 0.02) -> DataFrame:
+    """by, emergency_threshold, false_rate, recall of the watched class.
+
+    The lowest threshold over 0, up to the general one (``default``: by,
+    threshold), whose alarms among all other rows, outside ones too, are few
+    enough; the general one if there is none.
+    """
+    positive = F.coalesce(F.col("actual") == label, F.lit(False)) & ~F.col("outside")
+    counts = cells.groupBy(*by, "w").agg(_counted(positive).alias("p"), _counted(~positive).alias("f"))
+    rate = lambda x: F.coalesce(F.try_divide(x, f"all_{x}"), F.lit(0.0))
+    rows = C.at_or_above(counts, "w", ["p", "f"], steps, *by).select(*by, (F.col("w") / steps).alias("at"), rate("f").alias("false_rate"), rate("p").alias("recall"))
+    joined = rows.join(default, list(by)) if by else rows.crossJoin(default)
+    own = F.struct("at", "false_rate", "recall")
+    ok = (F.col("at") > 0) & (F.col("at") <= F.col("threshold")) & (F.col("false_rate") <= most)
+    found = joined.groupBy(*by).agg(F.coalesce(F.min(F.when(ok, own)), F.min(F.when(F.col("at") == F.col("threshold"), own))).alias("x"))
+    return found.select(*by, F.col("x.at").alias("emergency_threshold"), "x.false_rate", "x.recall")
+
+
+def calibration_errors(cells: DataFrame, *by: str) -> DataFrame:
+    """by, ece_before, ece_after: mean distance of accuracy and confidence over bins, of the raw and the calibrated confidences."""
+    inside = cells.filter(~F.col("outside"))
+
+    def error(bin_: str, total: str, name: str) -> DataFrame:
+        bins = inside.groupBy(*by, bin_).agg(F.sum("n").alias("n"), _counted(_right()).alias("c"), F.sum(total).alias("s"))
+        apart = F.coalesce(F.sum(F.when(F.col(bin_).isNotNull(), F.abs(F.col("c") - F.col("s")))), F.lit(0.0))
+        return bins.groupBy(*by).agg((apart / F.sum("n")).alias(name))
+
+    before, after = error("raw_bin", "raw_s", "ece_before"), error("bin", "s", "ece_after")
+    return before.join(after, list(by)) if by else before.crossJoin(after)
+
+
+def reports(cells: DataFrame, *by: str) -> DataFrame:
+    """by, label, precision, recall, f1, support over the labels seen on either side of in-domain rows; 0 where undefined."""
+    counts = cells.filter(~F.col("outside")).groupBy(*by, "actual", "predicted").agg(F.sum("n").alias("n"))
+    sides = F.array(F.struct(F.col("actual").alias("label"), F.lit(True).alias("own")), F.struct(F.col("predicted").alias("label"), F.lit(False).alias("own")))
+    long = counts.select(*by, F.inline(sides), _right().alias("right"), "n")
+    sums = long.groupBy(*by, "label").agg(_counted(F.col("own") & F.col("right")).alias("tp"), _counted(F.col("own")).alias("support"), _counted(~F.col("own")).alias("named"))
+    zero = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
+    rated = sums.select(*by, "label", zero(F.col("tp"), F.col("named")).alias("precision"), zero(F.col("tp"), F.col("support")).alias("recall"), "support")
+    return rated.withColumn("f1", zero(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+def averages(report: DataFrame, *by: str) -> DataFrame:
+    """by, macro and weighted averages of a report, and accuracy."""
+    weighted = lambda c: F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support")), F.lit(0.0))
+    macro = [F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")]
+    # the recalls weighted by support are the share of right rows
+    return report.groupBy(*by).agg(*macro, weighted("f1").alias("weighted_f1"), weighted("recall").alias("accuracy"))
+
+
+def model_evaluation(validation: DataFrame, test: DataFrame, times: DataFrame, label: Column, steps: int = 100, least_coverage: float = 0.9, most: float = 0.02, near: float = 0.005) -> DataFrame:
+    """model, metric, value of candidate models, a model's thresholds and the choice of one made on validation rows alone.
+
+    Rows: model and what ``evaluation_cells`` reads. ``times``: model,
+    latency. ``selected`` is 1 for the model of the least latency among those
+    within ``near`` of the best macro f1. Both tables are read once.
+    """
+    seen, tested = (saved(evaluation_cells(x, "model", steps=steps)) for x in (validation, test))
+    scores = averages(reports(seen, "model"), "model").select("model", F.col("macro_f1").alias("validation_macro_f1")).join(times, "model", "left")
+    chosen = C.choose_model(scores.select("model", F.col("validation_macro_f1").alias("f1"), "latency"), near).select(F.col("model").alias("best"))
+    general = picked_thresholds(seen, "model", steps=steps, least_coverage=least_coverage)
+    limits = general.join(watched_thresholds(seen, label, general, "model", steps=steps, most=most).select("model", "emergency_threshold"), "model")
+    inside, watched = ~F.col("outside"), F.col("actual") == label
+    # thresholds are on the grid that cells are counted by
+    accepted = F.col("k") >= F.round(F.col("threshold") * steps)
+    alarm = F.col("w") >= F.round(F.col("emergency_threshold") * steps)
+    rate = lambda x, among: F.try_divide(_counted(x & among), _counted(among))
+    rates = tested.join(limits, "model").groupBy("model", "threshold", "emergency_threshold").agg(
+        rate(accepted, inside).alias("coverage"),
+        rate(_right(), inside & accepted).alias("selective_accuracy"),
+        _counted(inside & accepted & ~_right()).alias("confident_errors"),
+        _counted(inside & ~_right()).alias("errors"),
+        rate(accepted, ~inside).alias("false_accept_rate"),
+        rate(alarm, inside & watched).alias("watched_recall"),
+        rate(alarm, inside & ~watched).alias("false_alarm_rate"),
+        rate(alarm, ~inside).alias("false_alarm_rate_outside"),
+        rate(F.col("predicted") == label, inside & watched).alias("recall_of_best_label"),
+    )
+    wide = scores.join(rates, "model").join(averages(reports(tested, "model"), "model"), "model").join(calibration_errors(tested, "model"), "model")
+    wide = wide.join(chosen, F.col("model") == F.col("best"), "left").withColumn("selected", F.col("best").isNotNull().cast("int")).drop("best")
+    metrics = [c for c in wide.columns if c != "model"]
+    return wide.select("model", F.inline(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in metrics))))
+
+
+def calibrated(rows: DataFrame, logits: str, labels: list, watched, temperature: float) -> DataFrame:
+    """``rows`` with predicted, raw_confidence, confidence and p_label (of the watched label) from an array of logits at a temperature."""
+    from ..functions.vectors import softmax
+
+    cooled = softmax(F.transform(logits, lambda x: x / F.lit(temperature)))
+    best = F.array_position(F.col(logits), F.array_max(logits)).cast("int")
+    return rows.select("*", F.element_at(F.array(*map(F.lit, labels)), best).alias("predicted"), F.array_max(softmax(F.col(logits))).alias("raw_confidence"), F.array_max(cooled).alias("confidence"), F.element_at(cooled, labels.index(watched) + 1).alias("p_label"))
+
+
+def calibration(rows: DataFrame, logits: str, label: str, labels: list, watched, outside: str, steps: int = 100, least_coverage: float = 0.9, most: float = 0.02) -> DataFrame:
+    """One row: temperature, threshold, emergency_threshold with its false_rate and recall, ece_before and ece_after of a model's logits.
+
+    The temperature is fitted on the rows that aren't ``outside``; thresholds
+    are those of the calibrated probabilities.
+    """
+    inside = rows.filter(~F.col(outside)).withColumn("_place", (F.array_position(F.array(*map(F.lit, labels)), F.col(label)) - 1).cast("int"))
+    temperature = C.fitted_temperature(inside, logits, "_place")
+    own = calibrated(rows, logits, labels, watched, temperature).withColumn("actual", F.col(label)).withColumn("outside", F.col(outside))
+    cells = saved(evaluation_cells(own, steps=steps))
+    general = picked_thresholds(cells, steps=steps, least_coverage=least_coverage)
+    found = general.crossJoin(watched_thresholds(cells, F.lit(watched), general, steps=steps, most=most)).crossJoin(calibration_errors(cells))
+    return found.select(F.lit(temperature).alias("temperature"), "*")
+
+
+def calibration_bundle(predictions: DataFrame, outside: str, steps: int = 100, least_coverage: float = 0.9, label: Column | None = None) -> dict[str, DataFrame]:
+    """Curve, picked threshold, error of calibration, and the emergency threshold of predictions with in-domain rows and others.
+
+    The emergency threshold is that of ``p_label``, the probability of the
+    watched class ``label``; without a class, all rows count as negatives.
+    """
     inside, others = predictions.filter(~F.col(outside)), predictions.filter(F.col(outside))
     curve = C.threshold_curve(inside, others, steps)
-    bins = C.calibration_bins(inside)
+    general = C.pick_threshold(curve, least_coverage).select("threshold")
+    cells = evaluation_cells(predictions.withColumn("outside", F.col(outside)), steps=steps)
+    watched = watched_thresholds(cells, F.lit(None) if label is None else label, general, steps=steps)
     return {
         "curve": curve,
-        "threshold": C.pick_threshold(curve, least_coverage).select("threshold"),
-        "emergency_threshold": C.emergency_threshold(curve.withColumnRenamed("ood_accept", "false_rate")),
-        "ece": C.calibration_error(bins, inside.agg(F.count("*").alias("total"))),
+        "threshold": general,
+        "emergency_threshold": watched.select(F.col("emergency_threshold").alias("threshold")),
+        "ece": C.calibration_error(C.calibration_bins(inside), inside.agg(F.count("*").alias("total"))),
     }
 
 

@@ -59,6 +59,59 @@ def full_evaluation(spark, sf_dir):
     return E.full_evaluation(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"), "outside")
 
 
+def _candidates(spark, sf_dir):
+    """Two models: the nearest centroid, and one that names label 0 for every seventh row; both calibrated at a fixed temperature."""
+    names = list(range(10))
+    rows = E.calibrated(scored(spark, sf_dir), "scores", names, 3, 0.5).select("vec_id", F.col("label").alias("actual"), "predicted", *(F.round(c, 6).alias(c) for c in ("raw_confidence", "confidence", "p_label")), (F.col("label") == 9).alias("outside"))
+    other = rows.withColumn("predicted", F.when(F.col("vec_id") % 7 == 0, 0).otherwise(F.col("predicted")))
+    return rows.withColumn("model", F.lit("nearest")).unionByName(other.withColumn("model", F.lit("spoilt")))
+
+
+_EVALUATED = f"""{_SQL}, z AS (SELECT vec_id, label, c, s, max(s) OVER (PARTITION BY vec_id) AS m FROM dist),
+soft AS (SELECT vec_id, label, c, s, exp((s - m) / 0.5) / sum(exp((s - m) / 0.5)) OVER (PARTITION BY vec_id) AS p, exp(s - m) / sum(exp(s - m)) OVER (PARTITION BY vec_id) AS q FROM z),
+one AS (SELECT vec_id, label AS actual, arg_min(c, (-s, c)) AS predicted, round(max(q), 6) AS raw, round(max(p), 6) AS conf, round(max(CASE WHEN c = 3 THEN p END), 6) AS pl, label = 9 AS outside FROM soft GROUP BY ALL),
+r AS (SELECT 'nearest' AS model, * FROM one UNION ALL SELECT 'spoilt', vec_id, actual, CASE WHEN vec_id % 7 = 0 THEN 0 ELSE predicted END, raw, conf, pl, outside FROM one),
+v AS (SELECT *, floor(conf * 100 + 1e-9) AS k, floor(pl * 100 + 1e-9) AS w, actual = predicted AS ok FROM r WHERE vec_id % 2 = 0), t AS (SELECT *, floor(conf * 100 + 1e-9) AS k, floor(pl * 100 + 1e-9) AS w, actual = predicted AS ok FROM r WHERE vec_id % 2 = 1),
+g AS (SELECT unnest(range(101)) AS x),
+c1 AS (SELECT model, x, count(*) FILTER (NOT outside AND k >= x) AS i, count(*) FILTER (NOT outside) AS ni, count(*) FILTER (NOT outside AND ok AND k >= x) AS c, count(*) FILTER (NOT outside AND ok) AS nc, count(*) FILTER (outside AND k >= x) AS o, count(*) FILTER (outside) AS no FROM v, g GROUP BY ALL),
+c2 AS (SELECT model, x / 100 AS threshold, i / ni AS coverage, (c / nc + ((ni - nc) - (i - c) + no - o) / (ni - nc + no)) / 2 AS balanced FROM c1),
+th AS (SELECT model, threshold FROM c2 QUALIFY row_number() OVER (PARTITION BY model ORDER BY coverage >= 0.9 DESC, round(balanced, 6) DESC, coverage DESC, threshold) = 1),
+w1 AS (SELECT model, x / 100 AS lim, count(*) FILTER (w >= x AND NOT (actual = 3 AND NOT outside)) / count(*) FILTER (NOT (actual = 3 AND NOT outside)) AS rate FROM v, g GROUP BY ALL),
+em AS (SELECT model, th.threshold, coalesce(min(lim) FILTER (lim > 0 AND lim <= th.threshold AND rate <= 0.02), any_value(th.threshold)) AS emergency FROM w1 JOIN th USING (model) GROUP BY ALL),
+lab AS (SELECT 'v' AS part, * FROM v WHERE NOT outside UNION ALL SELECT 't', * FROM t WHERE NOT outside),
+side AS (SELECT part, model, actual AS l, 1 AS own, ok::INT AS hit FROM lab UNION ALL SELECT part, model, predicted, 0, 0 FROM lab),
+s1 AS (SELECT part, model, l, sum(own * hit) AS tp, sum(own) AS support, sum(1 - own) AS named FROM side GROUP BY ALL),
+s2 AS (SELECT part, model, support, tp, CASE WHEN named = 0 THEN 0 ELSE tp / named END AS pr, CASE WHEN support = 0 THEN 0 ELSE tp / support END AS re FROM s1),
+s3 AS (SELECT *, CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END AS f1 FROM s2),
+av AS (SELECT part, model, avg(pr) AS macro_precision, avg(re) AS macro_recall, avg(f1) AS macro_f1, sum(f1 * support) / sum(support) AS weighted_f1, sum(tp) / sum(support) AS accuracy FROM s3 GROUP BY ALL),
+lat AS (SELECT CASE event_type WHEN 'click' THEN 'nearest' ELSE 'spoilt' END AS model, avg(value) AS latency FROM events WHERE event_type IN ('click', 'view') GROUP BY 1),
+ch AS (SELECT model FROM av JOIN lat USING (model) WHERE part = 'v' AND macro_f1 >= (SELECT max(macro_f1) FROM av WHERE part = 'v') - 0.005 ORDER BY latency, model LIMIT 1),
+b1 AS (SELECT model, ceil(raw * 10) AS b, abs(sum(ok::INT) - sum(raw)) AS gap FROM t WHERE NOT outside AND raw > 0 GROUP BY ALL), b2 AS (SELECT model, ceil(conf * 10) AS b, abs(sum(ok::INT) - sum(conf)) AS gap FROM t WHERE NOT outside AND conf > 0 GROUP BY ALL),
+ra AS (SELECT model, em.threshold, emergency AS emergency_threshold, avg((k >= round(em.threshold * 100))::INT) FILTER (NOT outside) AS coverage, avg(ok::INT) FILTER (NOT outside AND k >= round(em.threshold * 100)) AS selective_accuracy,
+    count(*) FILTER (NOT outside AND k >= round(em.threshold * 100) AND NOT ok) AS confident_errors, count(*) FILTER (NOT outside AND NOT ok) AS errors, avg((k >= round(em.threshold * 100))::INT) FILTER (outside) AS false_accept_rate,
+    avg((w >= round(emergency * 100))::INT) FILTER (NOT outside AND actual = 3) AS watched_recall, avg((w >= round(emergency * 100))::INT) FILTER (NOT outside AND actual <> 3) AS false_alarm_rate, avg((w >= round(emergency * 100))::INT) FILTER (outside) AS false_alarm_rate_outside,
+    avg((predicted = 3)::INT) FILTER (NOT outside AND actual = 3) AS recall_of_best_label FROM t JOIN em USING (model) GROUP BY ALL),
+wide AS (SELECT ra.*, a.* EXCLUDE (part, model), (SELECT macro_f1 FROM av x WHERE x.part = 'v' AND x.model = ra.model) AS validation_macro_f1, (SELECT latency FROM lat WHERE lat.model = ra.model) AS latency, (ra.model IN (FROM ch))::INT AS selected,
+    (SELECT sum(gap) FROM b1 WHERE b1.model = ra.model) / n AS ece_before, (SELECT sum(gap) FROM b2 WHERE b2.model = ra.model) / n AS ece_after
+    FROM ra JOIN av a ON a.model = ra.model AND a.part = 't' JOIN (SELECT model, count(*) AS n FROM t WHERE NOT outside GROUP BY model) z ON z.model = ra.model)"""
+_METRICS = "validation_macro_f1 latency threshold emergency_threshold coverage selective_accuracy confident_errors errors false_accept_rate watched_recall false_alarm_rate false_alarm_rate_outside recall_of_best_label macro_precision macro_recall macro_f1 weighted_f1 accuracy ece_before ece_after selected".split()
+
+
+@query(f"WITH {_EVALUATED} " + " UNION ALL ".join(f"SELECT model, '{m}' AS metric, round({m}::DOUBLE, 6) AS value FROM wide" for m in _METRICS))
+def model_evaluation(spark, sf_dir):
+    rows = _candidates(spark, sf_dir)
+    events = table(spark, sf_dir, "events").filter("event_type in ('click', 'view')")
+    times = events.groupBy(F.when(F.col("event_type") == "click", "nearest").otherwise("spoilt").alias("model")).agg(F.avg("value").alias("latency"))
+    out = E.model_evaluation(rows.filter("vec_id % 2 = 0"), rows.filter("vec_id % 2 = 1"), times, F.lit(3))
+    return out.select("model", "metric", F.round("value", 6).alias("value"))
+
+
+@query()
+def model_calibration(spark, sf_dir):
+    rows = scored(spark, sf_dir).withColumn("outside", F.col("label") == 9)
+    return _rounded(E.calibration(rows, "scores", "label", list(range(10)), 3, "outside"))
+
+
 _SIGNS = ["***", "$$$", "&&&", "###", "%%%"]
 _FLAG = "(" + " OR ".join(f"contains(lower({_CLEAN}), '{x}')" for x in _SIGNS) + ")"
 
