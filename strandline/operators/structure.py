@@ -38,6 +38,34 @@ def band_join(left: DataFrame, right: DataFrame, key: list[str], left_at: str, r
     return joined.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= most).drop("_k")
 
 
+def matched_negatives(positives: DataFrame, uses: DataFrame, key: list[str], width: float, most: int) -> DataFrame:
+    """Of each positive the first ``most`` other uses about as far from its definition: key, id, other, at, apart.
+
+    ``positives``: key, id, definition (where it is), use (where that is), and
+    ``uses``: key, other, at, bound (where the definition is that it reads, or
+    null). Negatives stand elsewhere, read another definition, and their
+    distance from the positive's definition differs from the positive's by
+    ``width`` at most. The first are those that come first in the text, ties
+    by ``other``.
+
+    Such places lie in two bands about the definition, one on either side,
+    which are filed in cells of the width: a positive meets only the uses of
+    the cells that its bands touch, each once. The first few are kept before
+    anything is shuffled by positive.
+    """
+    own = F.abs(F.col("use") - F.col("definition"))
+    cell = lambda x: F.floor(x / F.lit(2.0 * width + 1))
+    touched = lambda centre: F.sequence(cell(centre - width), cell(centre + width))
+    cells = F.array_distinct(F.concat(touched(F.col("definition") - own), touched(F.col("definition") + own)))
+    a = positives.select(*key, "id", "definition", "use", own.alias("own"), F.explode(cells).alias("_cell"))
+    b = uses.select(*key, "other", "at", "bound", cell(F.col("at")).alias("_cell"))
+    apart = F.abs(F.col("at") - F.col("definition")) - F.col("own")
+    free = (F.col("at") != F.col("use")) & ~F.col("bound").eqNullSafe(F.col("definition")) & (F.abs(apart) <= width)
+    met = a.join(b, [*key, "_cell"]).filter(free).select(*key, "id", "other", "at", apart.alias("apart"))
+    first = Window.partitionBy(*key, "id").orderBy("at", "other")
+    return met.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= most).drop("_k")
+
+
 def overlap_join(points: DataFrame, spans: DataFrame, key: list[str], a: str, b: str, start: str, end: str, cell: float) -> DataFrame:
     """Rows of ``points`` [a, b) that overlap a span [start, end) of their key, each once; empty ones never do."""
     cells = lambda x, y: F.explode(F.sequence(F.floor(F.col(x) / cell), F.greatest(F.floor(F.col(x) / cell), F.ceil(F.col(y) / cell) - 1)))

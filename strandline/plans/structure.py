@@ -27,6 +27,15 @@ def neg_band_join(spark, sf_dir):
     return first.select("id", "other", (F.col("id") - F.col("other")).alias("gap"))
 
 
+@query("""WITH u AS (SELECT label, vec_id AS at, vec_id // 50 * 50 AS d FROM embeddings)
+SELECT a.at AS id, b.at AS other, abs(b.at - a.d) - abs(a.at - a.d) AS apart FROM u a JOIN u b ON a.label = b.label AND a.at <> b.at AND a.d <> b.d AND abs(abs(b.at - a.d) - abs(a.at - a.d)) <= 24
+QUALIFY row_number() OVER (PARTITION BY a.at ORDER BY b.at) <= 4""")
+def matched_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("id"), (F.floor(F.col("vec_id") / 50) * 50).alias("definition"))
+    uses = rows.select("label", F.col("id").alias("other"), F.col("id").alias("at"), F.col("definition").alias("bound"))
+    return X.matched_negatives(rows.withColumn("use", F.col("id")), uses, ["label"], 24, 4).select("id", "other", "apart")
+
+
 @query("""WITH o AS (SELECT o_orderkey, o_custkey AS k, datediff('day', DATE '1970-01-01', o_orderdate::DATE) AS a FROM orders), l AS (SELECT l_suppkey AS k, datediff('day', DATE '1970-01-01', l_shipdate::DATE) AS s FROM lineitem)
 SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey FROM o WHERE EXISTS (SELECT 1 FROM l WHERE l.k = o.k AND o.a < l.s + 2 AND o.a + 3 > l.s)""")
 def span_overlap(spark, sf_dir):

@@ -46,6 +46,24 @@ def with_arrays(rows: DataFrame, *columns: str) -> DataFrame:
     return rows
 
 
+def with_curves(rows: DataFrame, arrays: list[str], maps: list[str]) -> DataFrame:
+    """Rows of two families of files as one: those that have all of the arrays, and those that have all of the maps (by position) in their place.
+
+    A map's values become an array in the order of its keys as numbers, under
+    the array's name: ``maps`` belong to ``arrays`` one by one. ``family`` says
+    where a row comes from; one that has both is in both.
+    """
+    rest = [c for c in rows.columns if c not in {*arrays, *maps}]
+
+    def values(c: str):
+        ordered = F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].cast("double").alias("k"), e["value"].alias("v"))))
+        return F.transform(ordered, lambda e: e["v"])
+
+    whole = with_arrays(rows, *arrays).select(*rest, *arrays, F.lit("layers").alias("family"))
+    rolling = with_arrays(rows, *maps).select(*rest, *(values(m).alias(a) for a, m in zip(arrays, maps, strict=True)), F.lit("rolling").alias("family"))
+    return whole.unionByName(rolling)
+
+
 def csv_literal(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """CSV in which empty fields and ``NA`` are text."""
     rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "\u0001").option("emptyValue", "").csv(path)
@@ -58,9 +76,12 @@ def csv_complete(spark: SparkSession, path: str, schema: T.StructType | str, *re
 
 
 def line_files(spark: SparkSession, path: str) -> DataFrame:
-    """label (the file's name), line (from 1) and text; blank and ``#`` lines are skipped. Files are read whole, one row each."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("label"), F.posexplode(F.split("value", r"\r?\n")).alias("k", "text"))
-    return whole.select("label", (F.col("k") + 1).alias("line"), F.trim("text").alias("text")).filter((F.col("text") != "") & ~F.col("text").startswith("#"))
+    """label (the file's name), line (from 1) and text; blank and ``#`` lines are skipped. Files are read a batch of lines at a time."""
+    from .lines import register
+
+    register(spark)
+    rows = spark.read.format("strandline_lines").load(path)
+    return rows.withColumn("text", F.trim("text")).filter((F.col("text") != "") & ~F.col("text").startswith("#"))
 
 
 def instruction_text(instruction: str, extra: str):
@@ -112,14 +133,20 @@ def downstream_documents(spark: SparkSession, structural: DataFrame, scores: str
 
 
 def configuration(path: str | None = None, variable: str = "STRANDLINE_CONFIG") -> dict:
-    """A configuration file, JSON or, where that package is installed, YAML; ``variable`` names it if ``path`` doesn't. Read by the driver alone."""
+    """A configuration file, JSON or, where that package is installed, YAML; ``variable`` names it if ``path`` doesn't.
+
+    Read by the driver alone, from any store that Arrow's file systems know.
+    """
     import json
     import os
 
+    from .lines import opened
+
     chosen = path or os.environ.get(variable)
     if not chosen:
         raise ValueError(f"no configuration: give a path or set {variable}")
-    with open(chosen, encoding="utf-8") as file:
+    store, at = opened(chosen)
+    with store.open_input_stream(at) as file:
         if chosen.endswith((".yaml", ".yml")):
             import yaml
 

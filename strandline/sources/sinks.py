@@ -17,32 +17,43 @@ def write_csv(rows: DataFrame, path: str, digits: int | None = None, quote_all:
     (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).option("quoteAll", quote_all).csv(path)
 
 
-def write_document(rows: DataFrame, path: str, most: int = 100_000) -> None:
-    """All rows of a small table, ``most`` at most, as one JSON array; more is an error."""
-    if rows.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows")
-    rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def write_document(rows: DataFrame, path: str) -> None:
+    """All rows as one JSON array in one file; tasks write its parts, and a failed one leaves nothing."""
+    from .lines import register
+
+    register(rows.sparkSession)
+    rows.write.format("strandline_document").mode("append").save(path)
 
 
 _LATEX = {**{c: "\\" + c for c in "&%$#_{}"}, "\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}", "<": r"\textless{}", ">": r"\textgreater{}"}
 
 
-def latex(rows: DataFrame, caption: str, most: int = 200) -> str:
-    """A booktabs table of at most ``most`` rows; more is an error."""
+def few(rows: DataFrame, most: int) -> list:
+    """The rows of a small table; more than ``most`` is an error."""
     found = rows.take(most + 1)
     if len(found) > most:
         raise ValueError(f"more than {most} rows")
+    return found
+
+
+def latex(rows: DataFrame, caption: str, most: int = 200) -> str:
+    """A booktabs table of at most ``most`` rows; more is an error."""
+    return latex_of(rows.columns, few(rows, most), caption)
+
+
+def latex_of(columns: list[str], found: list, caption: str) -> str:
     escape = lambda x: "".join(_LATEX.get(c, c) for c in ("--" if x is None else str(x)))
-    lines = [" & ".join(escape(x) for x in row) + r" \\" for row in [rows.columns, *map(list, found)]]
-    return "\n".join([r"\begin{table}", rf"\caption{{{escape(caption)}}}", rf"\begin{{tabular}}{{{'l' * len(rows.columns)}}}", r"\toprule", lines[0], r"\midrule", *lines[1:], r"\bottomrule", r"\end{tabular}", r"\end{table}"])
+    lines = [" & ".join(escape(x) for x in row) + r" \\" for row in [columns, *map(list, found)]]
+    return "\n".join([r"\begin{table}", rf"\caption{{{escape(caption)}}}", rf"\begin{{tabular}}{{{'l' * len(columns)}}}", r"\toprule", lines[0], r"\midrule", *lines[1:], r"\bottomrule", r"\end{tabular}", r"\end{table}"])
 
 
 def markdown(rows: DataFrame, title: str, notice: str = "", most: int = 200) -> str:
-    found = rows.take(most + 1)
-    if len(found) > most:
-        raise ValueError(f"more than {most} rows")
+    return markdown_of(rows.columns, few(rows, most), title, notice)
+
+
+def markdown_of(columns: list[str], found: list, title: str, notice: str = "") -> str:
     line = lambda row: "| " + " | ".join("--" if x is None else str(x) for x in row) + " |"
-    return "\n".join([f"## {title}", *([f"> {notice}"] if notice else []), "", line(rows.columns), line(["---"] * len(rows.columns)), *map(line, found)])
+    return "\n".join([f"## {title}", *([f"> {notice}"] if notice else []), "", line(columns), line(["---"] * len(columns)), *map(line, found)])
 
 
 def report(title: str, notices: list[str], sections: list[tuple[str, DataFrame]]) -> str:
@@ -50,14 +61,18 @@ def report(title: str, notices: list[str], sections: list[tuple[str, DataFrame]]
     return "\n\n".join([f"# {title}", *(f"> {x}" for x in notices), *(markdown(rows, name) for name, rows in sections)]) + "\n"
 
 
-def write_bundle(tables: dict[str, DataFrame], path: str, notices: list[str] | None = None) -> None:
-    """Each table as CSV, LaTeX and Markdown under ``path``, by name, and a report of all."""
+def write_bundle(tables: dict[str, DataFrame], path: str, notices: list[str] | None = None, most: int = 200) -> None:
+    """Each table as CSV, LaTeX and Markdown under ``path``, by name, and a report of all. A table's plan runs once."""
+    sections = []
     for name, rows in tables.items():
-        write_csv(rows, f"{path}/{name}.csv", one_file=True)
-        write_text(rows.sparkSession, latex(rows, name.replace("_", " ")), f"{path}/{name}.tex")
-        write_text(rows.sparkSession, markdown(rows, name), f"{path}/{name}.md")
+        spark, columns, found = rows.sparkSession, rows.columns, few(rows, most)
+        write_csv(spark.createDataFrame(found, rows.schema), f"{path}/{name}.csv", one_file=True)
+        write_text(spark, latex_of(columns, found, name.replace("_", " ")), f"{path}/{name}.tex")
+        sections.append(markdown_of(columns, found, name))
+        write_text(spark, sections[-1], f"{path}/{name}.md")
     if tables:
-        write_text(next(iter(tables.values())).sparkSession, report("Tables", notices or [], list(tables.items())), f"{path}/report.md")
+        text = "\n\n".join(["# Tables", *(f"> {x}" for x in notices or []), *sections]) + "\n"
+        write_text(next(iter(tables.values())).sparkSession, text, f"{path}/report.md")
 
 
 def write_text(spark, text: str, path: str) -> None:

@@ -159,3 +159,20 @@ def test_caps_and_splits_on_a_hot_class(spark):
     split = curation.split_exact(frame, "id", "label", [("x", 0.5), ("y", 0.25), ("z", 0.25)])
     assert {(x["label"], x["split"]): x["count"] for x in split.groupBy("label", "split").count().collect()} == {(a, b): n for a, m in (("hot", 4000), ("cold", 1000)) for b, n in (("x", m // 2), ("y", m // 4), ("z", m // 4))}
     assert np.isclose(split.count(), 5000)
+
+
+@pytest.mark.parametrize("width", [0, 3, 10])
+def test_matched_negatives(spark, width):
+    from strandline.operators import structure
+
+    pick = random.Random(width)
+    uses = [(g, k, pick.randint(0, 60), pick.choice([None, 0, 10, 20, 30])) for g in "xy" for k in range(60)]
+    positives = [(g, k, bound, at) for g, k, at, bound in uses if bound is not None]
+    a = spark.createDataFrame(positives, "g string, id long, definition long, use long")
+    b = spark.createDataFrame(uses, "g string, other long, at long, bound long")
+    got = sorted((x["g"], x["id"], x["at"], x["other"], x["apart"]) for x in structure.matched_negatives(a, b, ["g"], width, 5).collect())
+    want = []
+    for g, i, d, u in positives:
+        own = [(at, k, abs(at - d) - abs(u - d)) for h, k, at, bound in uses if h == g and at != u and bound != d and abs(abs(at - d) - abs(u - d)) <= width]
+        want += [(g, i, at, k, apart) for at, k, apart in sorted(own)[:5]]
+    assert got == sorted(want) and want
