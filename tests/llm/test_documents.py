@@ -251,6 +251,46 @@ def test_vector_search(spark):
     assert few.count() == 2 and vp_search.nearest(vectors.limit(0), is_query).count() == 0
 
 
+def nearest_plain(rows, queries, k=5):
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows], float)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    found = set()
+    for q in queries:
+        close = unit @ unit[list(ids).index(q)]
+        close[ids == q] = -9
+        found |= {(q, int(ids[j])) for j in np.lexsort((ids, -close))[:k]}
+    return found
+
+
+@pytest.mark.parametrize("factor", [1.0, 0.35, 0.25])
+def test_vector_search_over_many_shards(spark, factor):
+    """Without structure nearly all is compared; with it most shards are left out. Factor one is exact in both."""
+    pick = np.random.default_rng(8)
+    plain = [(k, x.tolist()) for k, x in enumerate(pick.normal(size=(3000, 24)))]
+    spots = pick.normal(size=(30, 24))
+    spotted = [(k, (spots[k % 30] + 0.1 * pick.normal(size=24)).tolist()) for k in range(3000)]
+    shares = []
+    for rows in (plain, spotted):
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+        best, counts = vp_search.searched(frame, F.col("vec_id") % 50 == 0, 5, factor, 150, 16, 64, 1000)
+        got = {(x["query_id"], x["vec_id"]) for x in best.collect()}
+        want = nearest_plain(rows, range(0, 3000, 50))
+        assert len(got) == len(want) == 300 and len(got & want) >= (len(want) if factor == 1 else 0.9 * len(want))
+        shares.append(counts.agg(F.avg("compared")).head()[0] / len(rows))
+    assert shares[1] < 0.25 and shares[0] <= 1.0
+
+
+def test_a_hot_vector_is_dealt_to_several_shards(spark):
+    rows = [(k, [1.0, 0.0, 0.0]) for k in range(900)] + [(900 + k, [0.0, 1.0, k / 100]) for k in range(100)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    best, counts = vp_search.searched(frame, F.col("vec_id") % 100 == 0, 5, 1.0, 100, 16, 64, 200)
+    out = {}
+    for x in best.orderBy("query_id", "rank").collect():
+        out.setdefault(x["query_id"], []).append(x["vec_id"])
+    assert out[0] == [1, 2, 3, 4, 5] and out[100] == [0, 1, 2, 3, 4] and out[900] == [901, 902, 903, 904, 905]
+    assert counts.filter("query_id < 900").agg(F.min("shards")).head()[0] >= 9
+
+
 def test_vector_search_recall(spark, sf_dir):
     import pandas as pd
 
