@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -9,7 +11,11 @@ from pyspark.sql.types import StringType
 
 from .perturb import numbers
 
-STYLES = ["plain", "lower", "no_mark", "polite", "short", "typo"]
+STYLES = ["plain", "lower", "no_mark", "polite", "short", "typo", "slang", "urgent", "long"]
+#: Short forms of whole words, and what urgent and long messages begin or end with.
+SLANG = {"you": "u", "are": "r", "please": "pls", "tomorrow": "tmrw", "because": "cuz", "want to": "wanna", "right now": "rn"}
+URGENT = (["Urgent! ", "Quick, ", "It can't wait: "], [" Right now!", " Hurry!", " As soon as you can!"])
+LONG = (["I have been waiting for a while. ", "My neighbour told me to ask here. ", "It is my first visit. "], ["", " Thank you for your help.", " I don't know what comes next."])
 
 
 def misspelled(text: str, words: dict[str, str], chance: float, item: int, seed: int) -> str:
@@ -45,26 +51,39 @@ def styled(text: str, style: str, item: int, seed: int) -> str:
             return " ".join(w for w in text.split(" ") if w.lower() not in {"the", "a", "an", "to", "of"}) or text
         case "typo":
             return slip(text, item, seed)
+        case "slang":
+            text = text.lower().rstrip(".?!")
+            for long, brief in SLANG.items():
+                text = re.sub(rf"\b{re.escape(long)}\b", brief, text)
+            return text
+        case "urgent":
+            way, which = numbers(item, seed, 2)
+            before, behind = URGENT
+            return before[int(which * len(before))] + text if way < 0.5 else text.rstrip(".") + behind[int(which * len(behind))]
+        case "long":
+            before, behind = (x[int(u * len(x))] for x, u in zip(LONG, numbers(item, seed, 2), strict=True))
+            return before + text + behind
     return text
 
 
-def style(text: Column, item: Column, weights: dict[str, float], seed: int = 42) -> Column:
-    """A style picked by its weight and applied; null stays null."""
-    if unknown := set(weights) - set(STYLES):
+def style(text: Column, item: Column, weights: dict[str, float], seed: int = 42, label: Column | None = None, by_label: dict[str, dict[str, float]] | None = None) -> Column:
+    """A style picked by its weight and applied; null stays null. A label in ``by_label`` has factors on the weights, 0 for styles it never has."""
+    if unknown := {*weights, *(x for own in (by_label or {}).values() for x in own)} - set(STYLES):
         raise ValueError(f"unknown styles: {sorted(unknown)}")
-    total = sum(weights.values())
+    tables = {name: {x: w * own.get(x, 1.0) for x, w in weights.items()} for name, own in (by_label or {}).items()}
 
     @F.pandas_udf(StringType())
-    def run(texts: pd.Series, items: pd.Series) -> pd.Series:
-        def one(t: str, i: int) -> str:
-            u, chosen = numbers(i, seed, 1)[0] * total, STYLES[0]
-            for name, weight in weights.items():
+    def run(texts: pd.Series, items: pd.Series, labels: pd.Series) -> pd.Series:
+        def one(t: str, i: int, label: str | None) -> str:
+            own = {x: w for x, w in tables.get(label, weights).items() if w > 0}
+            u, chosen = numbers(i, seed, 1)[0] * sum(own.values()), STYLES[0]
+            for name, weight in own.items():
                 chosen = name
                 u -= weight
                 if u < 0:
                     break
             return styled(t, chosen, i, seed + 1)
 
-        return pd.Series([None if t is None else one(t, 0 if pd.isna(i) else int(i)) for t, i in zip(texts, items, strict=True)])
+        return pd.Series([None if t is None else one(t, 0 if pd.isna(i) else int(i), x) for t, i, x in zip(texts, items, labels, strict=True)])
 
-    return run(text, item)
+    return run(text, item, F.lit(None).cast("string") if label is None else label.cast("string"))

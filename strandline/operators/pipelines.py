@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -37,20 +39,49 @@ def curated(rows: DataFrame, corrections: DataFrame, most: int, seed: int = 42,
 def cleaned(rows: DataFrame, allowed: list[str], order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Texts (text, label) with blanks, unknown labels, all rows of conflicting keys and later duplicates dropped, and the report: check, n.
 
-    The first row of a key by ``order`` stays; without an order, the one of
-    the least hash.
+    The first row of a key by ``order`` stays, with its place as ``kept``;
+    without an order, the one of the least hash.
     """
     rows = rows.withColumn("ord", F.col(order) if order else F.xxhash64("text", "label"))
     there = rows.filter((F.coalesce(F.trim("text"), F.lit("")) != "") & F.col("label").isNotNull())
     known = there.filter(F.col("label").isin(allowed)).withColumn("key", T.dedup_key(F.col("text")))
     agreed = C.without_conflicts(known, "key", "label")
-    last = agreed.groupBy("key").agg(F.min_by("text", "ord").alias("text"), F.first("label").alias("label"))
+    last = agreed.groupBy("key").agg(F.min_by("text", "ord").alias("text"), F.first("label").alias("label"), F.min("ord").alias("kept"))
     count = lambda name, df: df.agg(F.lit(name).alias("check"), F.count("*").alias("n"))
     sizes = [count("read", rows), count("with_values", there), count("known_label", known), count("without_conflicts", agreed), count("kept", last)]
     report = sizes[0]
     for size in sizes[1:]:
         report = report.unionByName(size)
-    return last.select("text", "label"), report
+    return last.select("text", "label", *(["kept"] if order else [])), report
+
+
+def cleaned_in_full(rows: DataFrame, allowed: list[str], order: str, fractions: list[tuple[str, float]], seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """``cleaned`` rows (text, label, ord, split) with a side for each, and the whole report: section, name, value.
+
+    Sections: ``check`` (rows left by each step), ``class`` (rows), ``ratio``
+    (of the largest class to the smallest) and ``weight`` of each class,
+    ``words`` (least, mean, most), ``split`` (rows) and ``shared`` (keys that
+    two sides have in common; a clean split has none).
+    """
+    texts, checks = cleaned(rows, allowed, order)
+    kept = saved(C.split_exact(texts.withColumnRenamed("kept", "ord"), "ord", "label", fractions, seed))
+    balance = C.class_balance(kept, "label")
+    words = C.word_statistics(kept, "text")
+    overlap = C.split_overlap(kept.withColumn("_key", T.dedup_key(F.col("text"))), "_key", "split")
+    line = lambda df, section, name, value: df.select(F.lit(section).alias("section"), name.cast("string").alias("name"), value.cast("double").alias("value"))
+    parts = [
+        line(checks, "check", F.col("check"), F.col("n")),
+        line(balance, "class", F.col("label"), F.col("n")),
+        line(balance.limit(1), "ratio", F.lit("largest to smallest"), F.col("ratio")),
+        line(balance, "weight", F.col("label"), F.col("weight")),
+        *(line(words, "words", F.lit(c), F.col(c)) for c in ("min_words", "mean_words", "max_words")),
+        line(kept.groupBy("split").count(), "split", F.col("split"), F.col("count")),
+        line(overlap, "shared", F.concat_ws(" ", "a", "b"), F.col("shared")),
+    ]
+    report = parts[0]
+    for part in parts[1:]:
+        report = report.unionByName(part)
+    return kept, report
 
 
 def out_of_fold(rows: DataFrame, text: str, label: str, item: str, folds: int = 5, least: float = 0.5, seed: int = 42) -> DataFrame:
@@ -83,3 +114,37 @@ def replies(messages: DataFrame, labels: list[str], templates: DataFrame, crisis
     route = routing.route(T.validate(F.col("text"))["ok"], text.rlike(crisis), (urgent >= emergency_threshold) | flagged, F.col("intent").isNotNull())
     rows = rows.withColumn("route", route).withColumn("name", F.when(F.col("route") == "intent", F.col("intent")).otherwise(F.col("route")))
     return routing.respond(rows, templates, "name", "mood").select("id", "route", "intent", "confidence", "response")
+
+
+def helpdesk(messages: DataFrame, text: str, predict: Column, mood: Column, templates: DataFrame, urgent: str, keywords: list[str], least: float, to_english: Callable | None = None, from_english: Callable | None = None, language: str | None = None) -> DataFrame:
+    """``messages`` answered by the second pipeline: normalised, brought into English, classified, overridden, answered, brought back.
+
+    New columns: language (the one that the column ``language`` names, where it
+    is not null, else by script), english, intent, confidence, mood,
+    safety_override, status and response. ``predict`` and ``mood`` read the
+    column ``english``: a struct of intent and confidence, and a name.
+    ``to_english`` and ``from_english`` are functions from two pandas series,
+    texts and languages, to one; without them texts stay as they are. Only
+    texts in another language go to them. A blank text has no answer, and a
+    weak intent that of ``fallback`` in ``templates`` (intent, mood, ordinal,
+    response).
+    """
+    rows = messages.withColumn("_text", T.clean(F.col(text)))
+    given = F.col(language) if language else F.lit(None).cast("string")
+    rows = rows.withColumn("language", F.coalesce(given, T.script_language(F.col("_text"))))
+    rows = rows.withColumn("english", _elsewhere(to_english, F.col("_text"), F.col("language")))
+    rows = saved(rows.withColumn("_p", predict).withColumn("mood", mood))
+    rows = rows.withColumn("intent", F.col("_p.intent")).withColumn("confidence", F.col("_p.confidence")).drop("_p")
+    rows = routing.overridden(rows, "english", urgent, keywords, least)
+    rows = rows.withColumn("_name", F.when(F.col("status") == "low_confidence", "fallback").when(F.col("status") != "empty", F.col("intent")))
+    answered = routing.respond(rows, templates, "_name", "mood")
+    return answered.withColumn("response", _elsewhere(from_english, F.col("response"), F.col("language"))).drop("_text", "_name")
+
+
+def _elsewhere(hook: Callable | None, text: Column, language: Column) -> Column:
+    """What the hook makes of texts that aren't English; others, blank and null ones never reach it."""
+    if hook is None:
+        return text
+    foreign = (language != "en") & (text != "")
+    changed = F.pandas_udf(hook, "string")(F.when(foreign, text), language)
+    return F.when(foreign, changed).otherwise(text)

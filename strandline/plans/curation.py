@@ -219,3 +219,21 @@ def cleaning_report(spark, sf_dir):
     from ..operators.pipelines import cleaned
 
     return cleaned(labelled(spark, sf_dir).select("doc_id", "text", F.col("quality").cast("string").alias("label")), ["0", "1"], "doc_id")[1]
+
+
+_FULL = f"""r AS (SELECT doc_id, text, CAST(quality AS VARCHAR) AS label, {_KEY} AS key FROM documents JOIN labels USING (doc_id)), t AS (FROM r WHERE trim(coalesce(text, '')) <> '' AND label IS NOT NULL),
+c AS (SELECT key FROM t GROUP BY key HAVING count(DISTINCT label) > 1), a AS (FROM t WHERE key NOT IN (FROM c)), x AS (SELECT min(doc_id) AS doc_id, arg_min(text, doc_id) AS text, min(label) AS label FROM a GROUP BY key),
+o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_ORDER}, doc_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM x),
+s AS (SELECT *, CASE WHEN k <= round_even(n * 0.7, 0) THEN 'train' WHEN k <= round_even(n * (0.7 + 0.15), 0) THEN 'validation' ELSE 'test' END AS split, len(string_split(trim(regexp_replace(text, '[\\s\\x{{A0}}]+', ' ', 'g')), ' ')) AS w FROM o),
+b AS (SELECT label, count(*) AS n FROM s GROUP BY label), m AS (SELECT *, max(n) OVER () / min(n) OVER () AS ratio, sum(n) OVER () / (count(*) OVER () * n) AS weight FROM b)"""
+
+
+@query(f"""WITH {_FULL} SELECT 'check' AS section, 'read' AS name, count(*)::DOUBLE AS value FROM r UNION ALL SELECT 'check', 'with_values', count(*) FROM t UNION ALL SELECT 'check', 'known_label', count(*) FROM t UNION ALL SELECT 'check', 'without_conflicts', count(*) FROM a UNION ALL SELECT 'check', 'kept', count(*) FROM x
+UNION ALL SELECT 'class', label, n FROM m UNION ALL SELECT DISTINCT 'ratio', 'largest to smallest', round(ratio, 8) FROM m UNION ALL SELECT 'weight', label, round(CASE WHEN ratio > 1.5 THEN weight ELSE 1 END, 8) FROM m
+UNION ALL SELECT 'words', 'min_words', min(w) FROM s UNION ALL SELECT 'words', 'mean_words', round(avg(w), 8) FROM s UNION ALL SELECT 'words', 'max_words', max(w) FROM s UNION ALL SELECT 'split', split, count(*) FROM s GROUP BY split""")
+def cleaning_in_full(spark, sf_dir):
+    from ..operators.pipelines import cleaned_in_full
+
+    rows = labelled(spark, sf_dir).select("doc_id", "text", F.col("quality").cast("string").alias("label"))
+    report = cleaned_in_full(rows, ["0", "1"], "doc_id", [("train", 0.7), ("validation", 0.15), ("test", 0.15)])[1]
+    return report.withColumn("value", F.round("value", 8))
