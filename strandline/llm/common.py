@@ -55,8 +55,16 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows and bytes of a batch of texts, where the session has Spark's own 10,000 and 64 MB: two tasks of an executor, each with
+#: a batch on either side, then need a few dozen MB and not hundreds.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark context."""
+    """Send this package to the executors, once for each Spark context, and see that batches of texts are small."""
+    for name, (usual, small) in BATCH.items():
+        if spark.conf.get(name, None) == usual:
+            spark.conf.set(name, small)
     context = spark.sparkContext
     if getattr(context, "_strandline_shipped", False):
         return
