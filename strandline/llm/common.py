@@ -63,7 +63,7 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spa
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each Spark context, and see that batches of texts are small."""
     for name, (usual, small) in BATCH.items():
-        if spark.conf.get(name, None) == usual:
+        if spark.conf.get(name) == usual:
             spark.conf.set(name, small)
     context = spark.sparkContext
     if getattr(context, "_strandline_shipped", False):
