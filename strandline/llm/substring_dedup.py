@@ -165,9 +165,13 @@ def cut_out(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 def halves(regions: DataFrame, size: int, length: int) -> DataFrame:
     """Regions cut where the anchor's distance into the window passes multiples of ``size``, with keys of what all windows of a part share."""
 
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == 5 else pa.int64()) for k, x in enumerate(zip(*out, strict=True))], _NAMES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        held = 0
         for batch in batches:
-            out = []
             for x in batch.to_pylist():
                 text, before, windows = x["text"], x["before"], len(x["text"]) - length + 1
                 # window k has the anchor at before - k
@@ -179,7 +183,13 @@ def halves(regions: DataFrame, size: int, length: int) -> DataFrame:
                     part = text[first : last + length]
                     key = int.from_bytes(xxhash.xxh3_64_digest(core, seed=(x["key"] ^ cell) & (1 << 64) - 1), "little", signed=True)
                     out.append((key, *text_digest(part, before - first), x["m"], before - first, part, x["o_key"], x["o_s1"], x["o_s2"], x["base"] + first))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == 5 else pa.int64()) for k, x in enumerate(zip(*out, strict=True))] if out else [pa.array([], pa.binary() if k == 5 else pa.int64()) for k in range(10)], _NAMES)
+                    held += len(part)
+                # near the end a region has as many parts as windows, each as long as a window
+                if held > 1 << 22:
+                    yield made(out)
+                    out, held = [], 0
+        if out:
+            yield made(out)
 
     return regions.mapInArrow(run, REGION)
 
