@@ -20,7 +20,8 @@ def extract_answer(raw: Column, kind: Column) -> Column:
 
     It is looked for after a marker if there is one, to that line's end; a
     number or letter that isn't there, in the whole text. A comma is part of a
-    number only as a thousands mark. Null where nothing is found.
+    number only as a thousands mark. Null where nothing is found; a first line
+    of punctuation alone is an empty answer. An unknown type is an error.
     """
     raw = F.trim(F.regexp_replace(raw, r"^\s+|\s+$", ""))
     marked = F.trim(F.nullif(F.regexp_extract(raw, MARKER, 1), F.lit("")))
@@ -28,7 +29,7 @@ def extract_answer(raw: Column, kind: Column) -> Column:
     last = lambda text: F.replace(F.try_element_at(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), F.lit(-1)), F.lit(","), F.lit(""))
     letter = lambda text: F.nullif(F.regexp_extract(F.upper(text), r"\b([A-D])\b", 1), F.lit(""))
     line = normal_answer(F.split(region, "\n")[0])
-    return F.when(kind == "numeric", F.coalesce(last(region), last(raw))).when(kind == "mcq", F.coalesce(letter(region), letter(raw))).otherwise(F.nullif(line, F.lit("")))
+    return F.when(kind == "numeric", F.coalesce(last(region), last(raw))).when(kind == "mcq", F.coalesce(letter(region), letter(raw))).when(kind == "exact", line).when(kind.isNotNull(), F.raise_error(F.concat(F.lit("unknown answer type: "), kind)).cast("string"))
 
 
 def grade(answer: Column, gold: Column, kind: Column, tolerance: float = 1e-6) -> Column:

@@ -1,8 +1,8 @@
-"""Items made from counters: letter sequences, choices, template families."""
+"""Items made from the ids of rows: letter sequences, choices, template families."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prng import uniform
@@ -10,12 +10,11 @@ from ..functions.prng import uniform
 RULES = ["alternation", "mirror", "progression", "modular_increment", "nested"]
 
 
-def letter_items(spark: SparkSession, n: int, seed: int = 42, length: int = 12, masked: int = 3) -> DataFrame:
-    """item, rule, sequence (its end masked) and gold, the rules in turn over the letters A to F."""
+def letter_items(items: DataFrame, seed: int = 42, length: int = 12, masked: int = 3) -> DataFrame:
+    """item, rule, sequence (its end masked) and gold for each ``item``, the rules in turn over the letters A to F."""
     start = F.floor(uniform(seed, F.col("item"), "start") * 6)
     step = F.floor(uniform(seed, F.col("item"), "step") * 2) + 1
     other = (start + step) % 6
-    half = length // 2
 
     def letter(i: Column) -> Column:
         mirrored = F.least(i, F.lit(length - 1) - i)
@@ -29,18 +28,20 @@ def letter_items(spark: SparkSession, n: int, seed: int = 42, length: int = 12,
         return F.substring(F.lit("ABCDEF"), (number + 1).cast("int"), F.lit(1))
 
     names = F.element_at(F.array(*map(F.lit, RULES)), (F.col("item") % len(RULES) + 1).cast("int"))
-    rows = spark.range(n).withColumnRenamed("id", "item").withColumn("rule", names)
+    rows = items.select("item").withColumn("rule", names)
     full = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(length - 1)), letter), "")
-    assert half
     return rows.withColumn("full", full).select("item", "rule", F.substring("full", 1, length - masked).alias("sequence"), F.substring("full", length - masked + 1, masked).alias("gold"))
 
 
-def choice_items(spark: SparkSession, bank: DataFrame, n: int, ambiguous: float = 0.75, seed: int = 42) -> DataFrame:
-    """Items on a bank of words with two senses (place, word, sense_a, sense_b): ambiguous or settled, the choices in random order."""
+def choice_items(items: DataFrame, bank: DataFrame, ambiguous: float = 0.75, seed: int = 42, most: int = 100_000) -> DataFrame:
+    """For each ``item`` one of a bank of words with two senses (place from 0, word, sense_a, sense_b): ambiguous or settled, the choices in random order.
+
+    A bank of up to ``most`` words is broadcast.
+    """
     size = bank.count()
-    rows = spark.range(n).withColumnRenamed("id", "item")
+    rows = items.select("item")
     rows = rows.withColumn("place", F.floor(uniform(seed, F.col("item"), "word") * size)).withColumn("swap", uniform(seed, F.col("item"), "swap") < 0.5).withColumn("open", uniform(seed, F.col("item"), "kind") < ambiguous)
-    joined = rows.join(F.broadcast(bank), "place")  # the bank is a list of words
+    joined = rows.join(F.broadcast(bank) if size <= most else bank, "place")
     choices = F.when(F.col("swap"), F.array("sense_b", "sense_a")).otherwise(F.array("sense_a", "sense_b"))
     return joined.select("item", "word", choices.alias("choices"), F.when(F.col("open"), "AMBIGUOUS").otherwise("NOT_AMBIGUOUS").alias("gold_status"), F.when(~F.col("open"), F.when(F.col("swap"), "B").otherwise("A")).alias("gold_answer"))
 
@@ -100,25 +101,31 @@ def expression(text: str, columns: dict[str, Column]) -> Column:
     return of(ast.parse(text, mode="eval"))
 
 
-def template_variants(spark: SparkSession, template: str, variables: dict[str, tuple[int, int]], answer: str, constraints: list[str] = (), n: int = 5, tries: int = 500, seed: int = 42) -> DataFrame:
-    """Up to n different fillings of a template that meet its constraints: of ``tries`` candidates the first."""
-    rows = spark.range(tries).withColumnRenamed("id", "attempt")
+def template_variants(families: DataFrame, template: str, variables: dict[str, tuple[Column | int, Column | int]], answer: str, constraints: list[str] = (), n: int = 5, tries: int = 500, seed: int = 42) -> DataFrame:
+    """family, attempt, prompt, answer: of each ``family`` up to n different fillings of a template that meet its constraints, of ``tries`` candidates the first.
+
+    A variable's bounds are numbers or columns of ``families``.
+    """
+    rows = families.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    bound = lambda x: x if isinstance(x, Column) else F.lit(x)
     for name, (low, high) in variables.items():
-        rows = rows.withColumn(name, (F.lit(low) + F.floor(uniform(seed, F.col("attempt"), name) * (high - low + 1))).cast("long"))
+        rows = rows.withColumn(name, (bound(low) + F.floor(uniform(seed, F.col("family"), F.col("attempt"), name) * (bound(high) - bound(low) + 1))).cast("long"))
     columns = {name: F.col(name) for name in variables}
     for rule in constraints:
         rows = rows.filter(expression(rule, columns))
     from ..functions.text import number_text, render
 
-    first = rows.groupBy(*variables).agg(F.min("attempt").alias("attempt")).orderBy("attempt").limit(n)
+    # a family has ``tries`` candidates at most
+    order = Window.partitionBy("family").orderBy("attempt")
+    first = rows.groupBy("family", *variables).agg(F.min("attempt").alias("attempt")).withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= n)
     values = F.map_from_arrays(F.array(*map(F.lit, variables)), F.array(*(F.col(v).cast("string") for v in variables)))
-    return first.select("attempt", render(F.lit(template), values).alias("prompt"), number_text(expression(answer, columns).cast("double")).alias("answer"))
+    return first.select("family", "attempt", render(F.lit(template), values).alias("prompt"), number_text(expression(answer, columns).cast("double")).alias("answer"))
 
 
-def synthetic_drift(spark: SparkSession, samples: int, severities: list[float], seed: int = 0) -> DataFrame:
-    """level, sample, correct and entropy of a made-up model that gets worse with severity; noise by Box-Muller."""
-    table = spark.createDataFrame(list(enumerate(severities)), "level int, severity double")
-    rows = spark.range(samples).withColumnRenamed("id", "sample").join(F.broadcast(table))
+def synthetic_drift(samples: DataFrame, severities: list[float], seed: int = 0) -> DataFrame:
+    """level, sample, correct and entropy of a made-up model that gets worse with severity, for each ``sample``; noise by Box-Muller."""
+    levels = F.array(*(F.struct(F.lit(k).alias("level"), F.lit(float(x)).alias("severity")) for k, x in enumerate(severities)))
+    rows = samples.select("sample", F.inline(levels))
     key = lambda name: uniform(seed, F.col("sample"), F.col("level"), name)
     normal = F.sqrt(-2 * F.ln(F.greatest(key("a"), F.lit(1e-12)))) * F.cos(2 * F.pi() * key("b"))
     difficulty = uniform(seed, F.col("sample"), "difficulty")
@@ -128,7 +135,6 @@ def synthetic_drift(spark: SparkSession, samples: int, severities: list[float],
 def unique_utterances(rows: DataFrame, by: str, text: str, n: int, seed: int = 42) -> DataFrame:
     """n different texts of each class, in a hash order; an error where a class has fewer."""
     from ..functions.text import dedup_key
-    from pyspark.sql import Window
 
     keyed = rows.withColumn("_key", dedup_key(F.col(text)))
     first = keyed.groupBy(by, "_key").agg(F.min(text).alias(text))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.prng import uniform
-from .ranks import running
+from .ranks import placed, running
 
 
 def with_rank(rows: DataFrame, value: str, name: str, *by: str) -> DataFrame:
@@ -212,10 +212,11 @@ def bootstrap(rows: DataFrame, value: str, order: str, *by: str, replicates: int
     """Percentile interval of the mean.
 
     Replicate b draws for place i the row with index floor(u(seed, b, i) * n),
-    so resamples are the same in any group of a size. Each row counts how often
-    it is drawn: the work is rows times replicates, spread over tasks.
+    so resamples are the same in any group of a size. The work is rows times
+    replicates, spread over tasks; places come by ranges, so no group is
+    sorted by one.
     """
-    ranked = rows.dropna(subset=[value]).withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
+    ranked = placed(rows.dropna(subset=[value]).select(*by, value, order), list(by), [F.col(order)], "i").withColumn("i", F.col("i") - 1)
     draws = ranked.select(*by, "i", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
     drawn = draws.select(*by, "b", F.floor(uniform(seed, F.col("b"), F.col("i")) * F.col("n")).alias("i"))
     means = drawn.join(ranked.select(*by, "i", F.col(value).alias("v")), [*by, "i"]).groupBy(*by, "b").agg(F.avg("v").alias("mean"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classification, curation, evaluation, generated, latent, robust, statistics, structure
+from . import classification, curation, evaluation, generated, latent, robust, round_trips, statistics, structure, texts
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "classification", "curation", "evaluation", "generated", "latent", "robust", "statistics", "structure"]
+__all__ = ["QUERIES", "SQL", "classification", "curation", "evaluation", "generated", "latent", "robust", "round_trips", "statistics", "structure", "texts"]

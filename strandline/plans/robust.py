@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import grading as G
 from ..functions import text as T
 from ..operators import generators, robustness, routing
+from ..functions.prng import uniform_sql
 from .registry import query, table
 
 _OBS = """obs AS (SELECT source AS model, doc_id % 50 AS family, CASE WHEN lang = 'en' THEN 'baseline' ELSE lang END AS kind,
@@ -94,7 +95,7 @@ _MARKED = rf"coalesce(trim(nullif(regexp_extract({_RAW}, '(?i)(?:final\s+answer|
 _LAST = lambda x: rf"replace(regexp_extract_all({x}, '-?\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|-?\d+(?:\.\d+)?')[-1], ',', '')"
 _LETTER = lambda x: rf"nullif(regexp_extract(upper({x}), '\b([A-D])\b', 1), '')"
 _NORMAL = lambda x: rf"trim(regexp_replace(regexp_replace(lower(trim({x})), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'))"
-_ANSWER = rf"CASE {_TYPED} WHEN 'numeric' THEN coalesce({_LAST(_MARKED)}, {_LAST('text')}) WHEN 'mcq' THEN coalesce({_LETTER(_MARKED)}, {_LETTER('text')}) ELSE nullif({_NORMAL(f"string_split({_MARKED}, chr(10))[1]")}, '') END"
+_ANSWER = rf"CASE {_TYPED} WHEN 'numeric' THEN coalesce({_LAST(_MARKED)}, {_LAST('text')}) WHEN 'mcq' THEN coalesce({_LETTER(_MARKED)}, {_LETTER('text')}) ELSE {_NORMAL(f"string_split({_MARKED}, chr(10))[1]")} END"
 
 
 def _typed(spark, sf_dir):
@@ -148,9 +149,12 @@ def spc_parse(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", G.parse_letters(F.col("text")).alias("letters"))
 
 
-@query()
+@query(f"""WITH i AS (SELECT p_partkey AS item, ['alternation', 'mirror', 'progression', 'modular_increment', 'nested'][p_partkey % 5 + 1] AS rule, floor({uniform_sql('42', 'p_partkey', "'start'")} * 6)::INT AS a, floor({uniform_sql('42', 'p_partkey', "'step'")} * 2)::INT + 1 AS d FROM part),
+f AS (SELECT item, rule, array_to_string(list_transform(range(0, 12), lambda k: substring('ABCDEF', (CASE rule WHEN 'alternation' THEN CASE WHEN k % 2 = 0 THEN a ELSE (a + d) % 6 END WHEN 'mirror' THEN (a + least(k, 11 - k)) % 6 WHEN 'progression' THEN (a + k // 2) % 6
+WHEN 'modular_increment' THEN (a + k * d) % 6 ELSE (CASE WHEN (k // 3) % 2 = 0 THEN a ELSE (a + d) % 6 END + k % 3) % 6 END + 1)::INT, 1)), '') AS whole FROM i)
+SELECT item, rule, substring(whole, 1, 9) AS sequence, substring(whole, 10, 3) AS gold FROM f""")
 def spc_items(spark, sf_dir):
-    return generators.letter_items(spark, table(spark, sf_dir, "part").count())
+    return generators.letter_items(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item")))
 
 
 _STATUS = r"CASE WHEN regexp_matches(upper(text), 'NOT[\s_]*AMBIGUOUS') THEN 'NOT_AMBIGUOUS' WHEN regexp_matches(upper(text), 'AMBIGUOUS') THEN 'AMBIGUOUS' END"

@@ -113,6 +113,10 @@ class Part(WriterCommitMessage):
     rows: int
 
 
+#: How rows stand in one file: what opens it, what is between rows, what closes it, and an empty one.
+SHAPES = {"array": (b"[\n", b",\n", b"\n]\n", b"[]\n"), "json": (b"", b"\n", b"\n", b""), "text": (b"", b"\n", b"\n", b"")}
+
+
 class DocumentWriter(DataSourceWriter):
     """Each task writes a part; the commit joins the parts in their order, a chunk at a time, and then moves the document to its place.
 
@@ -120,8 +124,10 @@ class DocumentWriter(DataSourceWriter):
     leaves nothing behind.
     """
 
-    def __init__(self, path: str, columns: list[str]):
-        self.path, self.columns = path.rstrip("/"), columns
+    def __init__(self, path: str, shape: str):
+        if shape not in SHAPES:
+            raise ValueError(f"unknown shape {shape!r}; there are {', '.join(SHAPES)}")
+        self.path, self.shape = path.rstrip("/"), shape
         self.parts = f"{self.path}.parts-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator) -> Part:
@@ -130,11 +136,11 @@ class DocumentWriter(DataSourceWriter):
         context = TaskContext.get()
         store, at = opened(f"{self.parts}/{context.partitionId():06d}-{context.taskAttemptId()}")
         store.create_dir(at.rpartition("/")[0], recursive=True)
-        rows = 0
+        rows, between = 0, SHAPES[self.shape][1]
         with store.open_output_stream(at) as out:
             for row in iterator:
-                text = json.dumps(row.asDict(recursive=True), ensure_ascii=False, default=str)
-                out.write((",\n" if rows else "").encode() + text.encode())
+                text = str(row[0] or "") if self.shape == "text" else json.dumps(row.asDict(recursive=True), ensure_ascii=False, default=str)
+                out.write((between if rows else b"") + text.encode("utf-8", "replace"))
                 rows += 1
         return Part(context.partitionId(), at, rows)
 
@@ -143,16 +149,15 @@ class DocumentWriter(DataSourceWriter):
         _, parts = opened(self.parts)
         store.create_dir(parts, recursive=True)
         whole = f"{parts}/whole"
+        opening, between, closing, empty = SHAPES[self.shape]
         with store.open_output_stream(whole) as out:
-            out.write(b"[")
-            first = True
-            for part in sorted((x for x in messages if x is not None and x.rows), key=lambda x: x.partition):
-                out.write(b"\n" if first else b",\n")
-                first = False
+            filled = sorted((x for x in messages if x is not None and x.rows), key=lambda x: x.partition)
+            for k, part in enumerate(filled):
+                out.write(between if k else opening)
                 with store.open_input_stream(part.path) as stream:
                     while data := stream.read(1 << 20):
                         out.write(data)
-            out.write(b"\n]\n" if not first else b"]\n")
+            out.write(closing if filled else empty)
         if store.get_file_info(at).type == arrow_fs.FileType.File:
             store.delete_file(at)
         store.move(whole, at)
@@ -165,9 +170,11 @@ class DocumentWriter(DataSourceWriter):
 
 
 class DocumentSink(DataSource):
-    """``rows.write.format("strandline_document").mode("append").save(path)``: all rows as one JSON array, a row on each line.
+    """``rows.write.format("strandline_document").mode("append").save(path)``: all rows as one file, a row on each line, in the order of the partitions.
 
-    A document that is already there is replaced.
+    Option ``shape``: ``array`` (a JSON array), ``json`` (JSON lines) or
+    ``text`` (the first column as it is). A file that is already there is
+    replaced.
     """
 
     @classmethod
@@ -175,7 +182,7 @@ class DocumentSink(DataSource):
         return "strandline_document"
 
     def writer(self, schema: StructType, overwrite: bool) -> DocumentWriter:
-        return DocumentWriter(self.options["path"], schema.fieldNames())
+        return DocumentWriter(self.options["path"], self.options.get("shape", "array"))
 
 
 def register(spark: SparkSession) -> None:

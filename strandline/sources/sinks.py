@@ -14,15 +14,15 @@ def write_csv(rows: DataFrame, path: str, digits: int | None = None, quote_all:
     """``digits`` fixes the decimals of floating columns; a missing value is written as None then."""
     if digits is not None:
         rows = rows.select(*(F.when(F.col(c).isNull(), "None").otherwise(F.format_string(f"%.{digits}f", c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes))
-    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).option("quoteAll", quote_all).csv(path)
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).option("quoteAll", quote_all).option("escape", '"').csv(path)
 
 
-def write_document(rows: DataFrame, path: str) -> None:
-    """All rows as one JSON array in one file; tasks write its parts, and a failed one leaves nothing."""
+def write_document(rows: DataFrame, path: str, shape: str = "array") -> None:
+    """All rows in one file: a JSON array, JSON lines (``json``) or lines of the first column (``text``); tasks write its parts, and a failed one leaves nothing."""
     from .lines import register
 
     register(rows.sparkSession)
-    rows.write.format("strandline_document").mode("append").save(path)
+    rows.write.format("strandline_document").option("shape", shape).mode("append").save(path)
 
 
 _LATEX = {**{c: "\\" + c for c in "&%$#_{}"}, "\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}", "<": r"\textless{}", ">": r"\textgreater{}"}

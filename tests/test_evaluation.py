@@ -25,6 +25,9 @@ from strandline.operators import classify, curation, evaluation, routing
         ("\n  Answer:  The Sea, \nwhat else", "exact", "the sea"),
         ("First line\nsecond", "exact", "first line"),
         (None, "exact", None),
+        ("Answer: ...!", "exact", ""),
+        ("", "exact", ""),
+        ("7", None, None),
     ],
 )
 def test_extract_answer(spark, raw, kind, want):
@@ -32,6 +35,11 @@ def test_extract_answer(spark, raw, kind, want):
     assert row[0] == want
 
 
+def test_an_unknown_type_is_an_error(spark):
+    with pytest.raises(Exception, match="unknown answer type"):
+        spark.createDataFrame([("7", "essay")], "raw string, kind string").select(extract_answer(F.col("raw"), F.col("kind"))).collect()
+
+
 def test_grade(spark):
     rows = [("3.0000001", "3", "numeric", True), ("1,000", "1000", "numeric", True), ("x", "1", "numeric", False), (" b", "B", "mcq", True), ("The  sea!", "the sea", "exact", True), (None, "a", "exact", False)]
     found = spark.createDataFrame(rows, "a string, g string, k string, want boolean")
