@@ -17,10 +17,15 @@ def write_csv(rows: DataFrame, path: str, digits: int | None = None, quote_all:
     (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).option("quoteAll", quote_all).option("escape", '"').csv(path)
 
 
-def write_document(rows: DataFrame, path: str, shape: str = "array") -> None:
-    """All rows in one file: a JSON array, JSON lines (``json``) or lines of the first column (``text``); tasks write its parts, and a failed one leaves nothing."""
+def write_document(rows: DataFrame, path: str, shape: str = "array", most: int | None = None) -> None:
+    """All rows in one file: a JSON array, JSON lines (``json``) or lines of the first column (``text``); tasks write its parts, and a failed one leaves nothing.
+
+    With ``most``, more rows than that are an error.
+    """
     from .lines import register
 
+    if most is not None and rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows")
     register(rows.sparkSession)
     rows.write.format("strandline_document").option("shape", shape).mode("append").save(path)
 
