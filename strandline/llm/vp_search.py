@@ -202,7 +202,10 @@ class Router:
 def routers(rows: DataFrame, sample: int, shard_rows: int) -> dict[int, Router]:
     """A router for each length of vectors in a sample of at most ``sample`` rows, those that come first by a hash."""
     sizes = {x["dim"]: x["count"] for x in rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(64).collect()}
-    chosen = rows.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id", "embedding").limit(sample).select("vec_id", "dim", "embedding").toPandas()
+    place = F.xxhash64("vec_id", F.lit(11))
+    # a bound on the hash leaves about four times the sample, so that no more than that is sorted or comes near the driver
+    near = place / F.lit(2.0**64) + 0.5 <= 4 * sample / max(1, sum(sizes.values()))
+    chosen = rows.filter(near).orderBy(place, "vec_id", "embedding").limit(sample).select("vec_id", "dim", "embedding").toPandas()
     found = {}
     for dim, group in chosen.groupby("dim"):
         # two thirds of a shard on average, and eight rows of the sample for each
