@@ -114,3 +114,25 @@ def monitor_windows(spark, sf_dir):
 
     out = windowed_means(table(spark, sf_dir, "events"), "ts", "value", "1 day", "1 day", "event_type")
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("day"), "event_type", "n", F.round("mean", 8).alias("mean"))
+
+
+_SIDES = "l AS (SELECT l_returnflag AS model, l_linenumber - 1 AS layer, l_linestatus = 'O' AS syn, l_discount > 0.05 AS con, l_quantity AS dist, l_extendedprice / 1000 AS far, nullif(l_tax, 0) AS delta, l_discount AS b, l_tax AS n FROM lineitem)"
+
+
+@query(f"""WITH {_SIDES}, u AS (SELECT *, coalesce(delta, avg(delta) OVER (PARTITION BY model), 1) AS unit FROM l),
+p AS (SELECT 'SRS' AS metric, model, layer, round(coalesce(avg(CASE WHEN syn THEN dist END) / (coalesce(avg(CASE WHEN NOT syn THEN dist END), 0) + 1e-8), 0), 8) AS value FROM l GROUP BY ALL
+UNION ALL SELECT 'CFS', model, layer, round(coalesce(avg(CASE WHEN con THEN far END) / (coalesce(avg(CASE WHEN NOT con THEN far END), 0) + 1e-8), 0), 8) FROM l GROUP BY ALL
+UNION ALL SELECT 'CFS_norm', model, layer, round(avg(far / (unit + 1e-8)), 4) FROM u GROUP BY ALL UNION ALL SELECT 'DFBS', model, layer, round(avg(b - n), 8) FROM l GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY metric, model ORDER BY value DESC, layer) AS k FROM p WHERE layer > 0)
+SELECT metric, model, layer, value, coalesce(k = 1, false) AS is_peak FROM p LEFT JOIN (SELECT metric, model, layer, k FROM k WHERE k = 1) USING (metric, model, layer)""")
+def structural_profiles(spark, sf_dir):
+    """The profiles of all metrics by layer, and which layer over 0 has the greatest value."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("model"), (F.col("l_linenumber") - 1).alias("layer"), "*")
+    side = lambda x: F.when(x, "positive").otherwise("control").alias("condition")
+    syntax = rows.select("model", "layer", side(F.col("l_linestatus") == "O"), F.col("l_quantity").alias("dist"))
+    control = rows.select("model", "layer", side(F.col("l_discount") > 0.05), (F.col("l_extendedprice") / 1000).alias("dist"), F.nullif("l_tax", F.lit(0.0)).alias("delta"))
+    bindings = rows.select("model", "layer", F.col("l_discount").alias("b"), F.col("l_tax").alias("n"))
+    profiles, tops = X.structural_profile(syntax, control, bindings)
+    digits = F.when(F.col("metric") == "CFS_norm", F.round("value", 4)).otherwise(F.round("value", 8))
+    peak = tops.select("metric", "model", F.col("peak").alias("layer"), F.lit(True).alias("top"))
+    return profiles.join(peak, ["metric", "model", "layer"], "left").select("metric", "model", "layer", digits.alias("value"), F.coalesce("top", F.lit(False)).alias("is_peak"))
