@@ -94,9 +94,11 @@ def tfidf(rows: DataFrame, item: str, terms: Column, fitted_on: DataFrame | None
     return weighed.select(item, "term", (F.col("w") / length).alias("weight"), *([] if fitted_on is not None else ["df"]))
 
 
-def frequencies(rows: DataFrame, item: str, terms: Column) -> DataFrame:
+def frequencies(rows: DataFrame, item: str, terms: Column, among: DataFrame | None = None) -> DataFrame:
+    """term, df and n (all rows) of the terms of ``rows``, or of those that ``among`` (distinct terms) has."""
     n = rows.agg(F.count("*").alias("n"))
-    df = rows.select(item, F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    each = rows.select(item, F.explode(F.array_distinct(terms)).alias("term"))
+    df = (each if among is None else each.join(among, "term", "left_semi")).groupBy("term").agg(F.count("*").alias("df"))
     return df.crossJoin(F.broadcast(n))
 
 

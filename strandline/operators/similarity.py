@@ -230,12 +230,14 @@ def searched(queries: DataFrame, item: str, label: str, others: DataFrame, other
     tops = saved(tops.select("i", F.explode(F.array("x", "y")).alias("other")).filter("other is not null").distinct())
     reach = saved(best(scored(tops), "_low"))
     low = asked.join(reach, "i", "left").withColumn("any_low", F.coalesce("any_low", F.lit(0.0))).withColumn("same_low", F.coalesce("same_low", F.lit(0.0)))
-    # same_low is never over any_low; nothing is left out where it is 0
-    out = (F.least("upto", "bound") < F.col("same_low") - SLACK)
-    rest = low.groupBy("i").agg(F.coalesce(F.max(F.when(out, F.least("upto", "bound"))), F.lit(0.0)).alias("rest"))
-    found = saved(sums(low.filter(~out), there))
+    # same_low is never over any_low, and nothing is left out where it is 0; documents of other labels need fewer terms
+    most = F.least("upto", "bound")
+    low = low.withColumn("no_other", most < F.col("any_low") - SLACK).withColumn("no_own", most < F.col("same_low") - SLACK)
+    rest = low.groupBy("i").agg(*(F.coalesce(F.max(F.when(F.col(x), most)), F.lit(0.0)).alias(f"rest_{x}") for x in ("no_other", "no_own")))
+    met = low.filter("not no_own").join(there, "term").filter(same | ~F.col("no_other"))
+    found = saved(met.groupBy("i", "own", "other", "theirs").agg(F.sum(F.col("wa") * F.col("wb")).alias("s")))
     able = found.join(rest, "i").join(reach, "i", "left")
-    high = F.col("s") + F.col("rest") + SLACK
+    high = F.col("s") + F.when(same, F.col("rest_no_own")).otherwise(F.col("rest_no_other")) + SLACK
     able = saved(able.filter((high >= F.coalesce("any_low", F.lit(0.0))) | (same & (high >= F.coalesce("same_low", F.lit(0.0))))).select("i", "other"))
     final = best(scored(able), "")
     result = queries.select(item).distinct().join(final.withColumnRenamed("i", item), item, "left")
