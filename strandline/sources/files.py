@@ -76,11 +76,20 @@ def csv_complete(spark: SparkSession, path: str, schema: T.StructType | str, *re
 
 
 def line_files(spark: SparkSession, path: str) -> DataFrame:
-    """label (the file's name), line (from 1) and text; blank and ``#`` lines are skipped. Files are read a batch of lines at a time."""
-    from .lines import register
+    """label (the file's name), line (from 1) and text; blank and ``#`` lines are skipped.
 
-    register(spark)
-    rows = spark.read.format("strandline_lines").load(path)
+    Files are read a batch of lines at a time; in stores that only Spark's own
+    readers know, whole, one row each.
+    """
+    from . import lines
+
+    if lines.known(path):
+        lines.register(spark)
+        rows = spark.read.format("strandline_lines").load(path)
+    else:
+        name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
+        whole = spark.read.text(path, wholetext=True).select(name.alias("label"), F.posexplode(F.split("value", r"\r?\n")).alias("k", "text"))
+        rows = whole.select("label", (F.col("k") + 1).alias("line"), "text")
     return rows.withColumn("text", F.trim("text")).filter((F.col("text") != "") & ~F.col("text").startswith("#"))
 
 

@@ -24,6 +24,15 @@ def opened(path: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (arrow_fs.LocalFileSystem(), path)
 
 
+def known(path: str) -> bool:
+    """Whether Arrow has a file system for the path."""
+    try:
+        opened(path)
+    except (pa.ArrowException, OSError, ImportError):
+        return False
+    return True
+
+
 def found_files(path: str) -> list[str]:
     """The files that a path names: itself, those of a folder, or those that a pattern in its last part matches. Hidden ones are left out."""
     store, at = opened(path)

@@ -72,6 +72,16 @@ def test_lines_of_many_files(spark, tmp_path):
     assert files.line_files(spark, f"{tmp_path}/none*").count() == 0
 
 
+def test_lines_of_a_store_that_only_spark_reads(spark, tmp_path, monkeypatch):
+    from strandline.sources import lines
+
+    assert lines.known(f"file://{tmp_path}") and not lines.known("viewfs://store/in")
+    (tmp_path / "a.b.txt").write_bytes(b"one\r\n\n# no\n two")
+    whole = sorted(tuple(x) for x in files.line_files(spark, str(tmp_path)).collect())
+    monkeypatch.setattr(lines, "known", lambda path: False)
+    assert sorted(tuple(x) for x in files.line_files(spark, str(tmp_path)).collect()) == whole == [("a.b", 1, "one"), ("a.b", 4, "two")]
+
+
 def test_lines_in_bounded_memory():
     """A 200 MB file goes through a reader that never asks for more than a chunk, whose batches are small."""
     import io
