@@ -221,8 +221,10 @@ def encoder(path: str) -> Encoder:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and what they decode to, of every whole text.
 
-    A null text is the empty one and has no ids; repeated rows give repeated
-    rows, an empty table none.
+    A null text is the empty one and has no ids; a null doc_id stays null;
+    repeated rows give repeated rows, an empty table none; extra columns change
+    nothing. A very long text and its ids are one row; the coder's own memory
+    doesn't grow with it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -96,7 +96,9 @@ def identify(docs: DataFrame, samples: dict[str, bytes], level: int = 6, block:
     results are equal, or the smallest is ``least`` bytes at least and the
     second larger by less than the share ``margin`` of it. Under ``least``
     bytes any margin over zero will do, as a byte is more than that share.
-    Repeated rows give repeated rows, an empty table none.
+    A null id stays null; repeated rows give repeated rows, an empty table
+    none; extra columns change nothing. A very long text is encoded block by
+    block.
     """
     frozen = tuple(samples.items())
 

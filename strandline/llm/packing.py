@@ -113,7 +113,9 @@ def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0, window
     it), length, ids (little-endian unsigned 32-bit), doc_tokens (with the end
     id), sequence_id, offset (in the sequence, without gaps). A null or empty
     text is the end id alone; a null doc_id stays null; a repeated row is
-    packed again; an empty table gives no rows. ``windows`` bounds what a
+    packed again; an empty table gives no rows; extra columns change nothing. A
+    very long text is encoded whole, and its pieces are given out as sequences
+    fill. ``windows`` bounds what a
     partition keeps open, ``fan_in`` how many partitions' last sequences meet.
     """
 

@@ -280,8 +280,10 @@ def score(docs: DataFrame, most_grams: int = 2_000_000, most_words: int = 250_00
     workers hold fixed, and neither drops a count: the costs of byte grams
     beyond the ``most_grams`` most frequent, and words beyond the
     ``most_words`` most frequent, are joined instead of broadcast. A
-    null or empty text is its end alone; repeated rows count and are scored
-    again; an empty table gives no rows.
+    null or empty text is its end alone; a null doc_id is in no held-out
+    fold and stays null; repeated rows count and are scored again; an empty
+    table gives no rows; extra columns change nothing. A very long text is
+    scored by itself, in memory of its size.
     """
     spark = docs.sparkSession
     partial = stage(learn(docs.select("text", is_held_out(F.col("doc_id")).alias("held_out"))), "counts")

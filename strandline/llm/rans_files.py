@@ -178,8 +178,9 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1, folder: str |
     """Encode all ``docs`` (doc_id, text), write a token file set, return its folder.
 
     A null or empty text is the end id alone. Rows are in ascending doc_id
-    order, null first; repeated rows follow one another. ``block_ids`` is the
-    size from which a block is closed; only the frequencies, at most one row
+    order, null first; repeated rows follow one another; extra columns change
+    nothing, and an empty table makes files without rows. ``block_ids`` is the
+    size from which a block is closed, so a very long text is one block; only the frequencies, at most one row
     for each id of the vocabulary, come to the driver.
     """
     spark = docs.sparkSession

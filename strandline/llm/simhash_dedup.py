@@ -112,7 +112,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Documents link if their fingerprints differ in two bits or fewer; a null
     or blank text has fingerprint zero and links like any other. A null doc_id
     gives no component its name: among such alone it is null. Repeated rows
-    give repeated rows, an empty table none.
+    give repeated rows, an empty table none; extra columns change nothing. A
+    very long text takes memory for its words and their hashes.
     """
     rows = stage(fingerprints(docs), "fingerprints")
     distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
