@@ -11,8 +11,8 @@ from pyspark.sql.types import StringType
 
 
 #: A character that composition may change, or that may change its neighbours: any but ASCII, plain accented Latin
-#: letters, dashes and quotes.
-OPEN = r"[^\x{0000}-\x{007F}\x{00C0}-\x{0131}\x{0134}-\x{013E}\x{0141}-\x{0148}\x{014A}-\x{017E}\x{2013}\x{2014}\x{2018}-\x{201E}]"
+#: letters, dashes and quotes. ASCII is one range, so that only other characters are looked up in the long class.
+OPEN = r"[^\x{0000}-\x{007F}](?<![\x{00C0}-\x{0131}\x{0134}-\x{013E}\x{0141}-\x{0148}\x{014A}-\x{017E}\x{2013}\x{2014}\x{2018}-\x{201E}])"
 
 
 @F.pandas_udf(StringType())
@@ -22,9 +22,8 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 
 def composed(text: Column) -> Column:
-    """``nfkc`` where a text has a character that it may change; other texts don't go to Python."""
-    open_ = text.rlike(OPEN)
-    return F.when(open_, nfkc(F.when(open_, text))).otherwise(text)
+    """``nfkc`` where a text has a character that it may change; other texts don't go to Python. They are looked through once."""
+    return F.coalesce(nfkc(F.when(text.rlike(OPEN), text)), text)
 
 
 def collapse(text: Column) -> Column:
@@ -41,13 +40,22 @@ def clean(text: Column, compose: bool = True) -> Column:
 
 
 def dedup_key(text: Column, compose: bool = True) -> Column:
-    """Lower case, punctuation dropped: what two texts that only differ in form have in common."""
-    return collapse(F.regexp_replace(F.lower(clean(text, compose)), r"[^\p{L}\p{M}\p{N}_\s]", ""))
+    """Lower case, punctuation dropped: what two texts that only differ in form have in common.
+
+    The same as dropping all but words and blanks from ``clean``'s text, with
+    punctuation, blanks and control characters looked for once. Only a sigma's
+    lower case depends on its neighbours, so texts with one are cleaned first.
+    """
+    text = F.coalesce(text, F.lit(""))
+    text = composed(text) if compose else text
+    lower = F.lower(F.when(F.contains(text, F.lit("Σ")), clean(text, False)).otherwise(text))
+    words = F.regexp_replace(lower, r"[^\p{L}\p{M}\p{N}_\x{0000}-\x{0020}\x{007F}-\x{00A0}]+", "")
+    return F.trim(F.regexp_replace(words, r"[\x{0000}-\x{0020}\x{007F}-\x{00A0}]+", " "))
 
 
 def word_count(text: Column) -> Column:
     text = collapse(F.coalesce(text, F.lit("")))
-    return F.when(text == "", 0).otherwise(F.size(F.split(text, " "))).cast("long")
+    return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
 def validate(text: Column, limit: int = 1000) -> Column:

@@ -43,15 +43,20 @@ def cleaned(rows: DataFrame, allowed: list[str], order: str | None = None) -> tu
     without an order, the one of the least hash.
     """
     rows = rows.withColumn("ord", F.col(order) if order else F.xxhash64("text", "label"))
-    there = rows.filter((F.coalesce(F.trim("text"), F.lit("")) != "") & F.col("label").isNotNull())
-    known = there.filter(F.col("label").isin(allowed)).withColumn("key", T.dedup_key(F.col("text")))
-    agreed = C.without_conflicts(known, "key", "label")
-    last = agreed.groupBy("key").agg(F.min_by("text", "ord").alias("text"), F.first("label").alias("label"), F.min("ord").alias("kept"))
-    count = lambda name, df: df.agg(F.lit(name).alias("check"), F.count("*").alias("n"))
-    sizes = [count("read", rows), count("with_values", there), count("known_label", known), count("without_conflicts", agreed), count("kept", last)]
-    report = sizes[0]
-    for size in sizes[1:]:
-        report = report.unionByName(size)
+    there = (F.coalesce(F.trim("text"), F.lit("")) != "") & F.col("label").isNotNull()
+    named = there & F.col("label").isin(allowed)
+    known = rows.filter(named).select("text", "label", "ord", F.md5(T.dedup_key(F.col("text"))).alias("key"))
+    # what is counted are hashes, read from the texts once; only the rows that stay bring their texts
+    agreed = C.without_conflicts(saved(known.select("key", "label", "ord")), "key", "label")
+    first = saved(agreed.groupBy("key").agg(F.first("label").alias("label"), F.min("ord").alias("ord")))
+    own = first.select(F.col("key").alias("_key"), F.col("ord").alias("_ord"), F.col("label").alias("_label"))
+    found = known.join(own, (F.col("key") == F.col("_key")) & F.col("ord").eqNullSafe(F.col("_ord")))
+    last = found.groupBy("_key", "_ord").agg(F.first("text").alias("text"), F.first("_label").alias("label"), F.first("ord").alias("kept"))
+    sizes = rows.agg(F.count("*").alias("read"), F.count_if(there).alias("with_values"), F.count_if(named).alias("known_label"))
+    line = lambda df, *names: df.select(F.inline(F.array(*(F.struct(F.lit(x).alias("check"), F.col(x).alias("n")) for x in names))))
+    report = line(sizes, "read", "with_values", "known_label")
+    for name, df in (("without_conflicts", agreed), ("kept", first)):
+        report = report.unionByName(line(df.agg(F.count("*").alias(name)), name))
     return last.select("text", "label", *(["kept"] if order else [])), report
 
 
@@ -67,14 +72,14 @@ def cleaned_in_full(rows: DataFrame, allowed: list[str], order: str, fractions:
     kept = saved(C.split_exact(texts.withColumnRenamed("kept", "ord"), "ord", "label", fractions, seed))
     balance = C.class_balance(kept, "label")
     words = C.word_statistics(kept, "text")
-    overlap = C.split_overlap(kept.withColumn("_key", T.dedup_key(F.col("text"))), "_key", "split")
+    overlap = C.split_overlap(kept.select(F.md5(T.dedup_key(F.col("text"))).alias("_key"), "split"), "_key", "split")
     line = lambda df, section, name, value: df.select(F.lit(section).alias("section"), name.cast("string").alias("name"), value.cast("double").alias("value"))
     parts = [
         line(checks, "check", F.col("check"), F.col("n")),
         line(balance, "class", F.col("label"), F.col("n")),
         line(balance.limit(1), "ratio", F.lit("largest to smallest"), F.col("ratio")),
         line(balance, "weight", F.col("label"), F.col("weight")),
-        *(line(words, "words", F.lit(c), F.col(c)) for c in ("min_words", "mean_words", "max_words")),
+        words.select(F.lit("words").alias("section"), F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in ("min_words", "mean_words", "max_words"))))),
         line(kept.groupBy("split").count(), "split", F.col("split"), F.col("count")),
         line(overlap, "shared", F.concat_ws(" ", "a", "b"), F.col("shared")),
     ]
