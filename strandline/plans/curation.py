@@ -32,8 +32,7 @@ def exact_dups(spark, sf_dir):
 
 @query(f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5({_KEY})")
 def keep_first(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5(T.dedup_key(F.col("text"))).alias("key"))
-    return C.keep_first(rows, ["key"], "doc_id").select("doc_id")
+    return C.keep_first(saved(keyed(spark, sf_dir).select("doc_id", "key")), ["key"], "doc_id").select("doc_id")
 
 
 @query(f"WITH {_ALL} SELECT key, count(*) AS n FROM d GROUP BY key HAVING count(DISTINCT source) > 1")
