@@ -42,13 +42,15 @@ def label_conflicts(spark, sf_dir):
 
 @query(f"WITH {_ALL}, f AS (SELECT key, arg_min(source, doc_id) AS kept_label, min(doc_id) AS kept FROM d GROUP BY key) SELECT doc_id, key, source, kept, kept_label FROM d JOIN f USING (key) WHERE source <> kept_label")
 def conflict_log(spark, sf_dir):
-    return C.conflict_log(keyed(spark, sf_dir), "key", "source", "doc_id")
+    return C.conflict_log(saved(keyed(spark, sf_dir).select("doc_id", "key", "source")), "key", "source", "doc_id")
 
 
 @query(f"""WITH {_LAB}, bad AS (SELECT key FROM d GROUP BY key HAVING count(DISTINCT quality) > 1), g AS (SELECT key, count(*) AS n, count(DISTINCT (text, quality)) AS forms FROM d WHERE key NOT IN (FROM bad) GROUP BY key)
 SELECT (SELECT count(*) FROM d WHERE key IN (FROM bad)) AS conflicts, CAST(coalesce(sum(n - forms), 0) AS BIGINT) AS exact, CAST(coalesce(sum(forms - 1), 0) AS BIGINT) AS near, count(*) AS kept FROM g""")
 def dup_accounting(spark, sf_dir):
-    return C.duplicate_accounting(labelled(spark, sf_dir), "text", "quality", "key")
+    # texts only count as equal or not, so their hashes do
+    rows = saved(labelled(spark, sf_dir).select(F.md5("text").alias("text"), "quality", "key"))
+    return C.duplicate_accounting(rows, "text", "quality", "key")
 
 
 _WORDS = lambda c: f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"
