@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dealing import dealt
+
 
 def asof(rows: DataFrame, scope: list[str], order: list[str], is_definition: Column, value: str, fallback: list[str] | None = None) -> DataFrame:
     """Each use with the latest definition at or before it in its scope, definitions first at the same place.
@@ -142,10 +144,12 @@ def program_names(programs: DataFrame) -> DataFrame:
     import ast
 
     def visit(source: str) -> Iterator[tuple]:
-        starts = [0]
-        for line in source.splitlines(keepends=True):
+        starts, lines = [0], source.splitlines(keepends=True)
+        for line in lines:
             starts.append(starts[-1] + len(line))
-        place = lambda node: starts[node.lineno - 1] + len(source.splitlines()[node.lineno - 1].encode()[: node.col_offset].decode(errors="ignore"))
+        wide = [None if line.isascii() else line.encode() for line in lines]
+        inside = lambda line, at: at if line is None else len(line[:at].decode(errors="ignore"))
+        place = lambda node: starts[node.lineno - 1] + inside(wide[node.lineno - 1], node.col_offset)
         scopes = 0
 
         def walk(node, scope: int) -> Iterator[tuple]:
@@ -179,7 +183,7 @@ def program_names(programs: DataFrame) -> DataFrame:
                     continue
             yield pd.DataFrame(rows, columns=["program", "scope", "name", "start", "is_definition"])
 
-    return programs.select("program", "source").mapInPandas(run, NAMES)
+    return dealt(programs.select("program", "source"), "program").mapInPandas(run, NAMES)
 
 
 def program_graph(programs: DataFrame) -> DataFrame:
@@ -235,7 +239,7 @@ def program_graph(programs: DataFrame) -> DataFrame:
                     continue
             yield pd.DataFrame(rows, columns=["program", "a", "b"])
 
-    return programs.select("program", "source").mapInPandas(run, "program string, a int, b int")
+    return dealt(programs.select("program", "source"), "program").mapInPandas(run, "program string, a int, b int")
 
 
 def structural_profile(syntax: DataFrame, control: DataFrame, bindings: DataFrame, delta: str = "delta") -> tuple[DataFrame, DataFrame]:

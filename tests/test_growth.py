@@ -27,3 +27,24 @@ def test_keys_of_odd_texts(spark):
     steps = T.collapse(F.regexp_replace(F.lower(T.clean(F.col("text"))), r"[^\p{L}\p{M}\p{N}_\s]", ""))
     for key, by_steps in rows.select(T.dedup_key(F.col("text")), steps).collect():
         assert key == by_steps
+
+
+def test_programs_are_dealt(spark):
+    """A small file of many programs isn't one task's work, and each rewrite is what it is by itself."""
+    from strandline.operators import rewrites, structure
+    from strandline.plans.generated import PROGRAMS
+
+    sources = [(p, s) for _, p, s in PROGRAMS] + [("bad", "def ("), ("none", None), ("u", "def f(x):\n    é = [a for a in x]\n    é += [1]\n    return é, 1.0, 'q', x.b\n")]
+    rows = spark.createDataFrame(sources, "program string, source string").coalesce(1)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for frame in (rewrites.contrast_pairs(rows), rewrites.injected_bugs(rows), structure.program_names(rows), structure.program_graph(rows)):
+        assert frame.rdd.getNumPartitions() == parts
+    expected = set()
+    for program, source in sources:
+        for kind in rewrites.REWRITES:
+            new = rewrites.rewritten(source, kind)
+            if new is not None and (rewrites.shape(source) == rewrites.shape(new)) == (kind == "rename"):
+                expected.add((program, kind, new))
+    assert {(x["program"], x["kind"], x["rewritten"]) for x in rewrites.contrast_pairs(rows).collect()} == expected
+    starts = {x["start"] for x in structure.program_names(rows).filter("program = 'u' and name = 'é'").collect()}
+    assert starts == {14, 37, 57}
