@@ -242,7 +242,19 @@ def min_max(value: str, *by: str) -> Column:
     return (F.col(value) - low) / (F.max(value).over(window) - low + 1e-9)
 
 
+def printed(digits: int):
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if pd.isna(x) else f"{x:.{digits}f}").astype(object)
+
+    return run
+
+
 def shown(value: Column, digits: int = 3, is_p: bool = False) -> Column:
-    """As tables show numbers: ``--`` if undefined, small p-values as a bound."""
-    text = F.format_string(f"%.{digits}f", value)
+    """As tables show numbers: ``--`` if undefined, small p-values as a bound.
+
+    A double is rounded by its exact value, ties to even, as C's printf does;
+    Java's format rounds its shortest decimal form half up.
+    """
+    text = printed(digits)(value.cast("double"))
     return F.when(value.isNull() | F.isnan(value), "--").when(F.lit(is_p) & (value < 0.001), "<0.001").otherwise(text)
