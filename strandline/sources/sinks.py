@@ -10,11 +10,11 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def write_csv(rows: DataFrame, path: str, digits: int | None = None, quote_all: bool = False, one_file: bool = False) -> None:
-    """``digits`` fixes the decimals of floating columns; a missing value is written as None then."""
+def write_csv(rows: DataFrame, path: str, digits: int | None = None, quote_all: bool = False, one_file: bool = False, rows_a_file: int = 0) -> None:
+    """``digits`` fixes the decimals of floating columns; a missing value is written as None then. ``rows_a_file`` starts a new file after so many rows."""
     if digits is not None:
         rows = rows.select(*(F.when(F.col(c).isNull(), "None").otherwise(F.format_string(f"%.{digits}f", c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes))
-    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).option("quoteAll", quote_all).option("escape", '"').csv(path)
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("maxRecordsPerFile", rows_a_file).option("header", True).option("quoteAll", quote_all).option("escape", '"').csv(path)
 
 
 def write_document(rows: DataFrame, path: str, shape: str = "array", most: int | None = None) -> None:
