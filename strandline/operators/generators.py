@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prng import uniform
+from .dealing import dealt
 
 RULES = ["alternation", "mirror", "progression", "modular_increment", "nested"]
 
@@ -106,7 +107,8 @@ def template_variants(families: DataFrame, template: str, variables: dict[str, t
 
     A variable's bounds are numbers or columns of ``families``.
     """
-    rows = families.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    # few families make many candidates, so they are dealt before that
+    rows = dealt(families, "family").withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
     bound = lambda x: x if isinstance(x, Column) else F.lit(x)
     for name, (low, high) in variables.items():
         rows = rows.withColumn(name, (bound(low) + F.floor(uniform(seed, F.col("family"), F.col("attempt"), name) * (bound(high) - bound(low) + 1))).cast("long"))
@@ -133,12 +135,29 @@ def synthetic_drift(samples: DataFrame, severities: list[float], seed: int = 0)
 
 
 def unique_utterances(rows: DataFrame, by: str, text: str, n: int, seed: int = 42) -> DataFrame:
-    """n different texts of each class, in a hash order; an error where a class has fewer."""
-    from ..functions.text import dedup_key
+    """n different texts of each class, in a hash order; an error where a class has fewer.
 
-    keyed = rows.withColumn("_key", dedup_key(F.col(text)))
-    first = keyed.groupBy(by, "_key").agg(F.min(text).alias(text))
-    place = F.row_number().over(Window.partitionBy(by).orderBy(uniform(seed, F.col("_key")), "_key"))
-    ranked = first.withColumn("_k", place).withColumn("_n", F.count("*").over(Window.partitionBy(by)))
-    short = F.when(F.col("_n") < n, F.raise_error(F.concat(F.lit("too few different texts: "), F.col(by).cast("string")))).otherwise(F.col(text))
-    return ranked.filter(F.col("_k") <= n).select(by, short.alias(text))
+    Keys are ranked as hashes, by class and with ties, and only the texts of
+    those that are among the first of their class are moved and ranked whole.
+    """
+    from ..functions.text import dedup_key
+    from .checkpoints import saved
+
+    key = dedup_key(F.col(text))
+    own = F.struct(F.col(by).alias("by"), F.md5(F.col("_key")).alias("md5"))
+    hashed = rows.withColumn("_key", key).select(own.alias("_id"), F.col(by).alias("_by"), uniform(seed, F.col("_key")).alias("_u"))
+    hashed = saved(hashed.distinct())
+    rank = F.rank().over(Window.partitionBy("_by").orderBy("_u"))
+    chosen = saved(hashed.withColumn("_r", rank).filter(F.col("_r") <= n).select("_id", "_u"))
+    sizes = hashed.groupBy("_by").agg(F.count("*").alias("_n"))
+    here = F.broadcast(chosen) if chosen.count() <= MOST_CHOSEN else chosen
+    met = rows.withColumn("_key", key).withColumn("_own", own).join(here, F.col("_own").eqNullSafe(F.col("_id")))
+    first = met.groupBy(by, "_key").agg(F.min(text).alias(text), F.first("_u").alias("_u"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("_u", "_key"))
+    ranked = first.withColumn("_k", place).filter(F.col("_k") <= n).join(sizes, F.col(by).eqNullSafe(F.col("_by")))
+    short = F.when(F.col("_n") < n, F.raise_error(F.concat(F.lit("too few different texts: "), F.coalesce(F.col(by).cast("string"), F.lit("null"))))).otherwise(F.col(text))
+    return ranked.select(by, short.alias(text))
+
+
+#: So many chosen texts' hashes are broadcast at most; more are joined.
+MOST_CHOSEN = 100_000
