@@ -86,8 +86,11 @@ def layer_ratio(distances: DataFrame, positive: str = "positive", floor: float =
 
 def normalised_profile(distances: DataFrame, delta: str = "delta", floor: float = 1e-8) -> DataFrame:
     """Mean of distances over their pair's change; an unknown change is the mean one (1 if all are)."""
-    usual = F.coalesce(F.avg(delta).over(Window.partitionBy("model")), F.lit(1.0))
-    return distances.withColumn("_d", F.col("dist") / (F.coalesce(delta, usual) + floor)).groupBy("model", "layer").agg(F.avg("_d").alias("value"))
+    usual = distances.groupBy(F.col("model").alias("_model")).agg(F.avg(delta).alias("_usual"))
+    # a row for each model
+    joined = distances.join(F.broadcast(usual), F.col("model").eqNullSafe(F.col("_model")))
+    unit = F.coalesce(delta, "_usual", F.lit(1.0))
+    return joined.withColumn("_d", F.col("dist") / (unit + floor)).groupBy("model", "layer").agg(F.avg("_d").alias("value"))
 
 
 def binding_profile(bindings: DataFrame) -> DataFrame:
