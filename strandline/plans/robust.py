@@ -210,7 +210,9 @@ def response_lookup(spark, sf_dir):
 def _perturbed(kind):
     def run(spark, sf_dir):
         from ..functions.perturb import SEVERITIES, perturb
+        from ..operators.dealing import text_batches
 
+        text_batches(spark)
         rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.posexplode(F.array(*map(F.lit, SEVERITIES))).alias("level", "severity"))
         return rows.select("doc_id", "level", F.md5(perturb(F.col("text"), F.col("doc_id"), F.col("severity"), kind)).alias("text_md5"))
 
