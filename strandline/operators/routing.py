@@ -78,8 +78,9 @@ def has_keyword(text: Column, keywords: list[str]) -> Column:
     """Whether the cleaned, lower-cased text holds any of the keywords, as substrings; a null text holds none."""
     from ..functions.text import clean
 
-    lowered = F.lower(clean(text))
-    return reduce(or_, (F.contains(lowered, F.lit(k)) for k in keywords), F.lit(False))
+    # as the element of an array the text is cleaned once and not once for each keyword
+    found = F.transform(F.array(F.lower(clean(text))), lambda x: reduce(or_, (F.contains(x, F.lit(k)) for k in keywords), F.lit(False)))
+    return F.get(found, F.lit(0))
 
 
 def single_mood(scores: Column, labels: list[str], least: float = 0.5, neutral: str = "neutral") -> Column:

@@ -126,3 +126,13 @@ def test_blanks_and_numbers_of_noise(spark):
         assert spark.conf.get(name) == "77"
     finally:
         spark.conf.set(name, was)
+
+
+def test_keywords_clean_a_text_once(spark):
+    from strandline.operators.routing import has_keyword
+
+    rows = spark.createDataFrame([("a ***",), ("B\x01$$",), (None,), ("ﬁ",), ("none",)], "text string")
+    out = rows.select(has_keyword(F.col("text"), ["***", "b $$", "fi"]).alias("flagged"))
+    assert plan(out).count("translate(") == 1
+    assert [x[0] for x in out.collect()] == [True, True, False, True, False]
+    assert [x[0] for x in rows.select(has_keyword(F.col("text"), [])).collect()] == [False] * 5
