@@ -11,6 +11,7 @@ from ..functions import text as T
 from . import curation as C
 from . import routing
 from .checkpoints import saved
+from .similar_texts import similar_texts
 
 
 def curated(rows: DataFrame, corrections: DataFrame, most: int, seed: int = 42, near: float = 0.9) -> tuple[DataFrame, DataFrame]:
@@ -25,7 +26,7 @@ def curated(rows: DataFrame, corrections: DataFrame, most: int, seed: int = 42,
     first = C.keep_first(fixed, ["key"], "ord")
     first = saved(first)
     own = F.col("source") == "original"
-    pairs = C.similar_pairs(C.tfidf(first, "ord", C.hashed_grams(F.col("text"))), "ord", near)
+    pairs = similar_texts(first, "ord", "text", near)
     apart = first.join(C.greedy_victims(pairs, "ord", first.select("ord", own.alias("is_original"))), "ord", "left_anti")
     last = C.capped(apart, "label", most, "ord", own, seed)
     count = lambda name, df: df.agg(F.lit(name).alias("step"), F.count("*").alias("rows"))
