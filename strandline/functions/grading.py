@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: What marks an answer, and numbers with and without thousands marks.
 MARKER = r"(?i)(?:final\s+answer|answer)\s*[:=]\s*(.+)"
@@ -80,8 +84,16 @@ def characters(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?s)."), F.lit(0))
 
 
+@F.pandas_udf(LongType())
+def shared_characters(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Characters that two texts share as multisets, counted without an array of them."""
+    return pd.Series([(Counter(x) & Counter(y)).total() for x, y in zip(a, b, strict=True)], dtype="int64")
+
+
 def char_f1(prediction: Column, gold: Column) -> Column:
-    return overlap_f1(characters(prediction), characters(gold))
+    x, y = (F.coalesce(c, F.lit("")) for c in (prediction, gold))
+    lengths = F.length(x) + F.length(y)
+    return F.when((x == "") | (y == ""), 0.0).otherwise(F.lit(2.0) * shared_characters(x, y) / lengths)
 
 
 def rouge1(prediction: Column, gold: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import grading as G
 from ..functions import text as T
 from ..operators import generators, robustness, routing
+from ..operators.dealing import text_batches
 from ..functions.prng import uniform_sql
 from .registry import query, table
 
@@ -136,6 +137,7 @@ SELECT conv_id, turn, round(CASE WHEN len({tokens.format('x')}) = 0 OR len({toke
 
 @query(_overlap_sql("regexp_extract_all(coalesce({}, ''), '(?s).')"))
 def char_f1(spark, sf_dir):
+    text_batches(spark)
     return _adjacent(spark, sf_dir).select("conv_id", "turn", F.round(G.char_f1(F.col("x"), F.col("y")), 9).alias("f1"))
 
 
@@ -210,8 +212,6 @@ def response_lookup(spark, sf_dir):
 def _perturbed(kind):
     def run(spark, sf_dir):
         from ..functions.perturb import SEVERITIES, perturb
-        from ..operators.dealing import text_batches
-
         text_batches(spark)
         rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.posexplode(F.array(*map(F.lit, SEVERITIES))).alias("level", "severity"))
         return rows.select("doc_id", "level", F.md5(perturb(F.col("text"), F.col("doc_id"), F.col("severity"), kind)).alias("text_md5"))

@@ -136,3 +136,13 @@ def test_keywords_clean_a_text_once(spark):
     assert plan(out).count("translate(") == 1
     assert [x[0] for x in out.collect()] == [True, True, False, True, False]
     assert [x[0] for x in rows.select(has_keyword(F.col("text"), [])).collect()] == [False] * 5
+
+
+def test_characters_are_counted_without_arrays(spark):
+    from strandline.functions import grading as G
+
+    data = [("aab\n", "ba\nc"), ("😀é", "é😀x"), (None, "a"), ("", ""), ("abc", "xyz")]
+    rows = spark.createDataFrame(data, "a string, b string")
+    out = rows.select(G.char_f1(F.col("a"), F.col("b")).alias("f"), G.overlap_f1(G.characters(F.col("a")), G.characters(F.col("b"))).alias("g"))
+    assert "array_sort" not in plan(out.select("f")) and "regexp_extract_all" not in plan(out.select("f"))
+    assert [round(x[0], 9) for x in out.collect()] == [round(x[1], 9) for x in out.collect()] == [0.75, 0.8, 0.0, 0.0, 0.0]
