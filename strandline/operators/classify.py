@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checkpoints import stored
+
 
 def confusion(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("actual", "predicted").agg(F.count("*").alias("n"))
@@ -139,18 +141,24 @@ def errors(predictions: DataFrame) -> DataFrame:
 
 
 def fit_text_classifier(rows: DataFrame, text: str, label: str, strength: float = 1.0):
-    """Word 1- and 2-grams, smooth idf, multinomial logistic regression, as a Spark ML pipeline."""
-    from pyspark.ml import Pipeline
+    """Word 1- and 2-grams, smooth idf, multinomial logistic regression, as a Spark ML pipeline.
+
+    The texts are cut twice, for the vocabulary and for the counts of its
+    terms, which are stored; idf and regression are fitted on those.
+    """
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizer, IDF, NGram, RegexTokenizer, SQLTransformer, StringIndexer
 
-    stages = [
-        StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep"),
+    index = StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep").fit(rows)
+    cut = [
         RegexTokenizer(inputCol=text, outputCol="_one", pattern=r"[^\p{L}\p{N}]+"),
         NGram(n=2, inputCol="_one", outputCol="_two"),
         SQLTransformer(statement="SELECT *, concat(_one, _two) AS _terms FROM __THIS__"),
-        CountVectorizer(inputCol="_terms", outputCol="_counts"),
-        IDF(inputCol="_counts", outputCol="features"),
-        LogisticRegression(labelCol="_label", featuresCol="features", regParam=strength / max(1, rows.count()), maxIter=50),
     ]
-    return Pipeline(stages=stages).fit(rows)
+    terms = PipelineModel([index, *cut]).transform(rows.select(text, label)).select("_label", "_terms")
+    count = CountVectorizer(inputCol="_terms", outputCol="_counts").fit(terms)
+    counts = stored(count.transform(terms).select("_label", "_counts"))
+    idf = IDF(inputCol="_counts", outputCol="features").fit(counts)
+    regression = LogisticRegression(labelCol="_label", featuresCol="features", regParam=strength / max(1, counts.count()), maxIter=50)
+    return PipelineModel([index, *cut, count, idf, regression.fit(idf.transform(counts))])

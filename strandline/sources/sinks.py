@@ -96,11 +96,18 @@ def write_model(model, path: str) -> None:
 
 
 def scored_by_tables(rows: DataFrame, item: str, text: str, path: str) -> DataFrame:
-    """item, name, logit: what a model written by ``write_model`` says of texts, by joins alone."""
+    """item, name, logit: what a model written by ``write_model`` says of texts, by joins alone.
+
+    A term counts as often as it occurs, so what each occurrence adds is
+    summed where the text is: a text's terms don't move one by one where the
+    table of terms is broadcast.
+    """
     spark = rows.sparkSession
     terms, weights, labels = (spark.read.parquet(f"{path}/{x}") for x in ("terms", "weights", "labels"))
+    adds = terms.join(weights, "place").groupBy("term").agg(F.collect_list(F.struct("label", (F.col("idf") * F.col("weight")).alias("add"))).alias("_adds"))
     one = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     two = F.when(F.size("_one") > 1, F.zip_with(F.slice("_one", 1, F.greatest(F.size("_one") - 1, F.lit(1))), F.slice("_one", 2, F.greatest(F.size("_one") - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    counted = rows.select(item, one.alias("_one")).select(item, F.explode(F.concat("_one", two)).alias("term")).groupBy(item, "term").count()
-    sums = counted.join(terms, "term").join(weights, "place").groupBy(item, "label").agg(F.sum(F.col("count") * F.col("idf") * F.col("weight")).alias("sum"))
+    each = rows.select(item, one.alias("_one")).select(item, F.explode(F.concat("_one", two)).alias("term"))
+    # a model has a vocabulary of bounded size
+    sums = each.join(F.broadcast(adds), "term").select(item, F.inline("_adds")).groupBy(item, "label").agg(F.sum("add").alias("sum"))
     return rows.select(item).join(labels).join(sums, [item, "label"], "left").select(item, "name", (F.col("intercept") + F.coalesce("sum", F.lit(0.0))).alias("logit"))
