@@ -397,6 +397,23 @@ def test_substring_query(spark, sf_dir, documents):
     assert substring_dedup.without_repeats(frame(spark, ODD).select("doc_id", "text").limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [399, 400])
+def test_passages_of_over_50_words_go_from_400_bytes(spark, tmp_path, size):
+    """The contract counts bytes and not words, and n_bytes is the size before removal: only n_removed tells what went."""
+    import hashlib
+
+    pick = random.Random(13)
+    prose = lambda n: " ".join("".join(pick.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage = f"{prose(50)} {'x' * (size - 350)}"
+    assert len(passage) == size and len(passage.split()) == 51
+    parts = [(prose(80) + gap, gap + prose(40)) for gap in " \n\t"]
+    rows = [*((k, before + passage + after) for k, (before, after) in enumerate(parts)), (3, prose(200)), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: tuple(x)[1:] for x in queries.op9_substring_dedup(spark, str(tmp_path)).collect()}
+    kept = {i: text.replace(passage, "") if text and size >= 400 else text or "" for i, text in rows}
+    assert got == {i: (n := len(text or ""), n - len(kept[i]), int(n > len(kept[i])), hashlib.sha256(kept[i].encode()).hexdigest()) for i, text in rows}
+
+
 def plain_ppm(texts, text):
     """Prediction by partial matching with dictionaries, byte by byte."""
     order, contexts = ppm_scoring.ORDER, {}
