@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from . import curation as C
 from . import routing
-from .checkpoints import saved
+from .checkpoints import saved, stored
+from .dealing import text_batches
 from .similar_texts import similar_texts
 
 
@@ -21,20 +22,24 @@ def curated(rows: DataFrame, corrections: DataFrame, most: int, seed: int = 42,
     with a cosine of ``near`` or more over character grams the later or
     non-original goes. Originals are never capped away.
     """
-    keyed = rows.withColumn("key", T.dedup_key(F.col("text")))
-    fixed = C.corrected(keyed, corrections, "key", "label")
-    first = C.keep_first(fixed, ["key"], "ord")
-    first = saved(first)
+    text_batches(rows.sparkSession)
+    fixed = C.corrected(T.with_dedup_key(rows, "text"), corrections, "key", "label").withColumn("key", F.md5("key"))
+    marks = saved(fixed.select("ord", "key", "label", "source"))
+    # where a place names one row, texts are only read where they are compared or given out
+    once = not marks.groupBy("ord").count().filter("count > 1 or ord is null").head(1)
+    first = stored(C.keep_first(marks if once else fixed, ["key"], "ord"))
     own = F.col("source") == "original"
-    pairs = similar_texts(first, "ord", "text", near)
-    apart = first.join(C.greedy_victims(pairs, "ord", first.select("ord", own.alias("is_original"))), "ord", "left_anti")
+    texts = rows.select("ord", "text").join(first.select("ord"), "ord", "left_semi") if once else first
+    pairs = similar_texts(texts, "ord", "text", near)
+    apart = saved(first.join(C.greedy_victims(pairs, "ord", first.select("ord", own.alias("is_original"))), "ord", "left_anti"))
     last = C.capped(apart, "label", most, "ord", own, seed)
     count = lambda name, df: df.agg(F.lit(name).alias("step"), F.count("*").alias("rows"))
-    steps = [count("read", rows), count("conflicts", C.conflict_log(fixed, "key", "label", "ord")), count("first_of_key", first), count("near_duplicates", apart), count("capped", last)]
+    steps = [count("read", rows), count("conflicts", C.conflict_log(marks, "key", "label", "ord")), count("first_of_key", first), count("near_duplicates", apart), count("capped", last)]
     audit = steps[0]
     for step in steps[1:]:
         audit = audit.unionByName(step)
-    return last.select("ord", "text", "label", "source"), audit
+    whole = last.join(rows.select("ord", "text"), "ord") if once else last
+    return whole.select("ord", "text", "label", "source"), audit
 
 
 def cleaned(rows: DataFrame, allowed: list[str], order: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -264,3 +264,21 @@ def test_same_on_any_partitioning(spark):
     rows = spark.range(100).select(F.col("id"), (F.col("id") % 3).alias("label"), (F.col("id") * 7 % 13).cast("double").alias("v"))
     seen = {tuple(sorted(map(tuple, curation.split_exact(rows.repartition(n), "id", "label", [("a", 0.5), ("b", 0.5)]).select("id", "split").collect()))) for n in (1, 4, 9)}
     assert len(seen) == 1
+
+
+def test_curated_keeps_texts_out_of_what_it_stores(spark, tmp_path, monkeypatch):
+    """The rows that steps are counted from have no texts, also where a place is repeated the audit is the same."""
+    from strandline.operators import pipelines
+
+    texts = ["One and two, three.", "one and two three", "quite another text here", "quite another text here now", "something else", None]
+    rows = spark.createDataFrame([(k, x, "a" if k % 2 else "b", "original" if k == 0 else "expansion") for k, x in enumerate(texts)], "ord long, text string, label string, source string")
+    kept = []
+    monkeypatch.setattr(pipelines, "saved", lambda df, own=pipelines.saved: kept.append(df.columns) or own(df))
+    monkeypatch.setattr(pipelines, "stored", lambda df, own=pipelines.stored: kept.append(df.columns) or own(df))
+    out, audit = pipelines.curated(rows, spark.createDataFrame([], "key string, old string, new string"), 100)
+    assert kept and not any("text" in x for x in kept)
+    counts = {x["step"]: x["rows"] for x in audit.collect()}
+    assert counts["read"] == 6 and counts["conflicts"] == 1 and counts["first_of_key"] == 5 and sorted(x["ord"] for x in out.select("ord").collect()) == sorted({0, 2, 3, 4, 5} - ({3} if counts["near_duplicates"] == 4 else set()))
+    assert {x["ord"]: x["text"] for x in out.collect()}[0] == texts[0]
+    again = pipelines.curated(rows.union(rows), spark.createDataFrame([], "key string, old string, new string"), 100)[1]
+    assert {x["step"]: x["rows"] for x in again.collect()}["read"] == 12
