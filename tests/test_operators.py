@@ -282,3 +282,13 @@ def test_curated_keeps_texts_out_of_what_it_stores(spark, tmp_path, monkeypatch)
     assert {x["ord"]: x["text"] for x in out.collect()}[0] == texts[0]
     again = pipelines.curated(rows.union(rows), spark.createDataFrame([], "key string, old string, new string"), 100)[1]
     assert {x["step"]: x["rows"] for x in again.collect()}["read"] == 12
+
+
+def test_linked_rows_of_repeated_items(spark):
+    """An item with two texts links both of its forms' rows, and an item by itself brings its text once."""
+    text = "the same long sentence about harbours and boats"
+    rows = [(1, "x", text), (2, "x", text.upper() + "!"), (3, "x", "nothing like it at all, really"), (4, "y", text)]
+    found = curation.linked_within(spark.createDataFrame(rows, "id long, kind string, text string"), "text", "kind", "id", 0.75)
+    assert {x["id"]: x["component"] for x in found.collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    twice = curation.linked_within(spark.createDataFrame([*rows, (3, "x", text)], "id long, kind string, text string"), "text", "kind", "id", 0.75)
+    assert twice.count() == 5
